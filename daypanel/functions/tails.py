@@ -6,6 +6,7 @@ import math
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def incomplete_beta(a: float, b: float, x: float) -> float:
@@ -45,6 +46,6 @@ def f_tail_value(f: float, df1: float, df2: float) -> float | None:
     return incomplete_beta(df2 / 2, df1 / 2, df2 / (df2 + df1 * f))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def f_tail(f: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
     return pd.Series([f_tail_value(*row) for row in zip(f, df1, df2)], dtype="float64")

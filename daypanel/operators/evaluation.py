@@ -253,8 +253,10 @@ def score_correlations(df: DataFrame, score: str, cols: Sequence[str]) -> DataFr
     """(feature, correlation) of the score with each column; undefined ones are left out."""
     wide = df.select(F.col(score).cast("double").alias("_score"), *[F.col(c).cast("double").alias(c) for c in cols])
     long = melt(wide, ["_score"], cols, "feature", "value")
-    pairs = long.groupBy("feature").agg(F.corr("_score", "value").alias("correlation"))
-    return pairs.where(F.col("correlation").isNotNull() & ~F.isnan("correlation"))
+    both = long.where(F.col("_score").isNotNull() & F.col("value").isNotNull())
+    spread = F.stddev_pop("_score") * F.stddev_pop("value")
+    pairs = both.groupBy("feature").agg(F.try_divide(F.covar_pop("_score", "value"), spread).alias("correlation"))
+    return pairs.where(F.col("correlation").isNotNull())
 
 
 def mean_by_epoch(metrics: DataFrame, epoch: str, cols: Sequence[str]) -> DataFrame:

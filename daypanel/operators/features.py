@@ -9,7 +9,7 @@ referenced more than once.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +30,9 @@ PATTERN_WIDTH = 7
 LARGEST_COUNT = 10
 TAIL_DAYS = 30
 
+# Sums of squares below this are rounding error of a constant series.
+FLAT = 1e-14
+
 # Intermediate peak windows: each is at most twice the one it is built from.
 _PEAK_LADDER = {2: 1, 3: 2, 4: 2, 5: 4, 8: 4, 10: 8, 16: 8, 32: 16, 50: 32}
 
@@ -91,13 +94,13 @@ def _with_patterns(df: DataFrame) -> DataFrame:
 def _skewness(n: Column, m2: Column, m3: Column) -> Column:
     """Adjusted Fisher-Pearson skewness: null below 3 elements, 0 for a constant series."""
     g1 = F.try_divide(m3 / n, F.pow(m2 / n, F.lit(1.5)))
-    return F.when(n < 3, None).when(m2 == 0, 0.0).otherwise(g1 * F.sqrt(n * (n - 1)) / (n - 2))
+    return F.when(n < 3, None).when(m2 < FLAT, 0.0).otherwise(g1 * F.sqrt(n * (n - 1)) / (n - 2))
 
 
 def _kurtosis(n: Column, m2: Column, m4: Column) -> Column:
     """Adjusted excess kurtosis: null below 4 elements, 0 for a constant series."""
     g2 = F.try_divide(m4 / n, F.pow(m2 / n, F.lit(2.0))) - 3
-    return F.when(n < 4, None).when(m2 == 0, 0.0).otherwise(((n + 1) * g2 + 6) * (n - 1) / ((n - 2) * (n - 3)))
+    return F.when(n < 4, None).when(m2 < FLAT, 0.0).otherwise(((n + 1) * g2 + 6) * (n - 1) / ((n - 2) * (n - 3)))
 
 
 def _place(position: Column, n: Column) -> Column:
@@ -140,69 +143,75 @@ def _slope() -> Column:
     return F.try_divide(S.total(pairs), spread)
 
 
-def feature_columns() -> dict[str, Column]:
-    """Name to expression for every feature, over the prepared columns."""
+def feature_columns() -> dict[str, Callable[[], Column]]:
+    """Name to expression maker for every feature, over the prepared columns."""
     x, n, d = F.col("series"), F.col("n"), F.col("d")
     mu, sd, m2 = F.col("mu"), F.col("sd"), F.col("m2")
     hi, lo = F.col("hi"), F.col("lo")
     backwards = F.reverse(x)
-    second_derivative = (S.from_end(x, 1) - S.from_end(x, 2) - S.at(x, 1) + S.at(x, 0)) / (2 * (n - 2))
+
+    def second_derivative() -> Column:
+        ends = S.from_end(x, 1) - S.from_end(x, 2) - S.at(x, 1) + S.at(x, 0)
+        return F.when(n > 2, ends / (2 * (n - 2)))
+
     out = {
-        "abs_energy": F.col("energy"),
-        "maximum": hi,
-        "minimum": lo,
-        "mean": mu,
-        "median": F.col(_q_name(0.5)),
-        "standard_deviation": sd,
-        "sum_values": F.col("s1"),
-        "mean_abs_change": S.share(F.col("abs_d"), F.size(d)),
-        "mean_change": S.share(S.from_end(x, 1) - S.at(x, 0), n - 1),
-        "mean_second_derivative_central": F.when(n > 2, second_derivative),
-        "has_duplicate_max": (S.how_many(x, hi, lambda v, b: v == b) >= 2).cast("double"),
-        "has_duplicate_min": (S.how_many(x, lo, lambda v, b: v == b) >= 2).cast("double"),
-        "variation_coefficient": F.try_divide(sd, mu),
-        "variance": F.col("var"),
-        "skewness": _skewness(n, m2, F.col("m3")),
-        "kurtosis": _kurtosis(n, m2, F.col("m4")),
-        "root_mean_square": F.sqrt(S.share(F.col("energy"), n)),
-        "absolute_sum_of_changes": F.col("abs_d"),
-        "longest_strike_below_mean": S.longest_run(x, mu, lambda v, m: v >= m).cast("double"),
-        "longest_strike_above_mean": S.longest_run(x, mu, lambda v, m: v <= m).cast("double"),
-        "count_above_mean": S.how_many(x, mu, lambda v, m: v > m).cast("double"),
-        "count_below_mean": S.how_many(x, mu, lambda v, m: v < m).cast("double"),
-        "last_location_of_maximum": _last_place(F.array_position(backwards, hi), n),
-        "first_location_of_maximum": _place(F.array_position(x, hi), n),
-        "last_location_of_minimum": _last_place(F.array_position(backwards, lo), n),
-        "first_location_of_minimum": _place(F.array_position(x, lo), n),
-        "percentage_of_reoccurring_values_to_all_values": S.share(F.size("repeated"), F.col("distinct")),
-        "sum_of_reoccurring_values": S.total(F.col("repeated")),
-        "ratio_value_number_to_time_series_length": S.share(F.col("distinct"), n),
-        "cid_ce__normalize_true": F.when(sd == 0, 0.0).otherwise(
+        "abs_energy": lambda: F.col("energy"),
+        "maximum": lambda: hi,
+        "minimum": lambda: lo,
+        "mean": lambda: mu,
+        "median": lambda: F.col(_q_name(0.5)),
+        "standard_deviation": lambda: sd,
+        "sum_values": lambda: F.col("s1"),
+        "mean_abs_change": lambda: S.share(F.col("abs_d"), F.size(d)),
+        "mean_change": lambda: S.share(S.from_end(x, 1) - S.at(x, 0), n - 1),
+        "mean_second_derivative_central": second_derivative,
+        "has_duplicate_max": lambda: (S.how_many(x, hi, lambda v, b: v == b) >= 2).cast("double"),
+        "has_duplicate_min": lambda: (S.how_many(x, lo, lambda v, b: v == b) >= 2).cast("double"),
+        "variation_coefficient": lambda: F.try_divide(sd, mu),
+        "variance": lambda: F.col("var"),
+        "skewness": lambda: _skewness(n, m2, F.col("m3")),
+        "kurtosis": lambda: _kurtosis(n, m2, F.col("m4")),
+        "root_mean_square": lambda: F.sqrt(S.share(F.col("energy"), n)),
+        "absolute_sum_of_changes": lambda: F.col("abs_d"),
+        "longest_strike_below_mean": lambda: S.longest_run(x, mu, lambda v, m: v >= m).cast("double"),
+        "longest_strike_above_mean": lambda: S.longest_run(x, mu, lambda v, m: v <= m).cast("double"),
+        "count_above_mean": lambda: S.how_many(x, mu, lambda v, m: v > m).cast("double"),
+        "count_below_mean": lambda: S.how_many(x, mu, lambda v, m: v < m).cast("double"),
+        "last_location_of_maximum": lambda: _last_place(F.array_position(backwards, hi), n),
+        "first_location_of_maximum": lambda: _place(F.array_position(x, hi), n),
+        "last_location_of_minimum": lambda: _last_place(F.array_position(backwards, lo), n),
+        "first_location_of_minimum": lambda: _place(F.array_position(x, lo), n),
+        "percentage_of_reoccurring_values_to_all_values": lambda: S.share(F.size("repeated"), F.col("distinct")),
+        "sum_of_reoccurring_values": lambda: S.total(F.col("repeated")),
+        "ratio_value_number_to_time_series_length": lambda: S.share(F.col("distinct"), n),
+        "cid_ce__normalize_true": lambda: F.when(sd == 0, 0.0).otherwise(
             F.try_divide(F.sqrt(S.square_total(d)), sd)
         ),
     }
-    out |= {f"quantile__q_{q}": F.col(_q_name(q)) for q in QUANTILES}
-    out |= {f"number_peaks__n_{k}": S.peaks(x, F.col(f"max{k}"), k).cast("double") for k in PEAK_SUPPORTS}
+    out |= {f"quantile__q_{q}": lambda q=q: F.col(_q_name(q)) for q in QUANTILES}
+    out |= {f"number_peaks__n_{k}": lambda k=k: S.peaks(x, F.col(f"max{k}"), k).cast("double") for k in PEAK_SUPPORTS}
     out |= {
-        f"change_quantiles__f_agg_mean__isabs_true__qh_{b}__ql_{a}": _corridor_change(a, b)
+        f"change_quantiles__f_agg_mean__isabs_true__qh_{b}__ql_{a}": lambda a=a, b=b: _corridor_change(a, b)
         for a, b in CHANGE_CORRIDORS
     }
-    out |= {"linear_trend__attr_slope": _slope()}
+    out |= {"linear_trend__attr_slope": _slope}
     out |= {
-        f"energy_ratio_by_chunks__num_segments_{ENERGY_CHUNKS}__segment_focus_{i}": _chunk_energy(i)
+        f"energy_ratio_by_chunks__num_segments_{ENERGY_CHUNKS}__segment_focus_{i}": lambda i=i: _chunk_energy(i)
         for i in range(ENERGY_CHUNKS)
     }
     out |= {
-        f"ratio_beyond_r_sigma__r_{r}": S.share(S.how_many(F.col("gaps"), sd * r, lambda gap, far: F.abs(gap) > far), n)
+        f"ratio_beyond_r_sigma__r_{r}": lambda r=r: S.share(
+            S.how_many(F.col("gaps"), sd * r, lambda gap, far: F.abs(gap) > far), n
+        )
         for r in SIGMA_MULTIPLES
     }
     out |= {
-        f"count_above__t_{HIGH_LEVEL}": S.share(F.size(F.filter(x, lambda v: v >= HIGH_LEVEL)), n),
-        f"count_below__t_{LOW_LEVEL}": S.share(F.size(F.filter(x, lambda v: v <= LOW_LEVEL)), n),
-        f"permutation_entropy__dimension_{PATTERN_WIDTH}__tau_1": F.when(
+        f"count_above__t_{HIGH_LEVEL}": lambda: S.share(F.size(F.filter(x, lambda v: v >= HIGH_LEVEL)), n),
+        f"count_below__t_{LOW_LEVEL}": lambda: S.share(F.size(F.filter(x, lambda v: v <= LOW_LEVEL)), n),
+        f"permutation_entropy__dimension_{PATTERN_WIDTH}__tau_1": lambda: F.when(
             F.size("patterns") > 0, S.entropy_of_runs(F.col("runs"), F.size("patterns"))
         ),
-        f"mean_n_absolute_max__number_of_maxima_{LARGEST_COUNT}": F.when(
+        f"mean_n_absolute_max__number_of_maxima_{LARGEST_COUNT}": lambda: F.when(
             n > LARGEST_COUNT,
             S.total(S.tail(F.array_sort(F.transform(x, lambda v: F.abs(v))), LARGEST_COUNT)) / LARGEST_COUNT,
         ),
@@ -259,14 +268,14 @@ ALL_FEATURES = (
 
 
 def series_features(by_kind: DataFrame, keys: Sequence[str], features: Sequence[str] = ALL_FEATURES) -> DataFrame:
-    """Features of a `series` array column; only what `features` needs is computed."""
+    """Features of a `series` array column; column pruning leaves out what `features` does not use."""
     prepared = _with_moments(by_kind)
     if any(f.startswith("number_peaks") for f in features):
         prepared = _with_peak_maxima(prepared)
     if any(f.startswith("permutation_entropy") for f in features):
         prepared = _with_patterns(prepared)
     made = feature_columns()
-    return prepared.select(*keys, *[made[f].alias(f) for f in features])
+    return prepared.select(*keys, *[made[f]().alias(f) for f in features])
 
 
 def extract_features(

@@ -106,11 +106,11 @@ def best_fold_model(pipeline: Pipeline, df: DataFrame, label: str, score: str, f
 
 
 def uniform(lo: float, hi: float, step: float | None = None) -> Callable[[random.Random], float]:
-    """Uniform draw, rounded to a multiple of `step` when given."""
+    """Uniform draw; with `step` rounded to a multiple of it, but kept in [lo, hi]."""
 
     def draw(rng: random.Random) -> float:
         value = rng.uniform(lo, hi)
-        return round(value / step) * step if step else value
+        return min(hi, max(lo, round(value / step) * step)) if step else value
 
     return draw
 

@@ -12,6 +12,7 @@ from daypanel.operators.neighbours import nearest
 from daypanel.operators.ordered import row_numbers
 from daypanel.operators.panel import replicate
 from daypanel.sources.spine import hash_fraction
+from daypanel.sources.tables import cut_lineage
 
 
 def class_counts(df: DataFrame, label: str) -> DataFrame:
@@ -160,3 +161,33 @@ def smote_nc(
         F.lit(1).alias("synthetic"),
     )
     return originals.unionByName(synthetic)
+
+
+def _keyed(resampled: DataFrame, id: str, label: str, cols: Sequence[str]) -> DataFrame:
+    """A key for every row: originals by their id, synthetic rows by their content.
+
+    Equal synthetic rows share a key; they are the same vector with the same
+    label, so cleaning treats them alike.
+    """
+    key = F.when(F.col("synthetic") == 0, F.concat(F.lit("o"), F.col(id).cast("string"))).otherwise(
+        F.concat(F.lit("s"), F.md5(F.concat_ws(",", *[F.col(c).cast("string") for c in cols])))
+    )
+    return resampled.withColumn("_key", key)
+
+
+def smote_tomek(
+    df: DataFrame,
+    id: str,
+    label: str,
+    numeric: Sequence[str],
+    categorical: Sequence[str],
+    k: int = 5,
+    seed: int = 2143,
+    remove: str = "all",
+) -> DataFrame:
+    """Oversample, then drop the ends of the nearest-neighbour links between the classes."""
+    cols = [*numeric, *categorical]
+    grown = cut_lineage(_keyed(smote_nc(df, id, label, numeric, categorical, k, seed), id, label, cols))
+    points = grown.groupBy("_key").agg(F.max(label).alias(label), F.first(vector_of(cols)).alias("vector"))
+    kept = remove_tomek(points, "_key", label, "vector", remove)
+    return grown.join(kept.select("_key"), "_key", "left_semi").drop("_key")

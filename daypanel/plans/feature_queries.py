@@ -17,7 +17,11 @@ def _features(spark: SparkSession, where: str, names: list[str]) -> DataFrame:
     return rounded(plain, DIGITS)
 
 
+_PARTS: list[tuple[list[str], str]] = []
+
+
 def _register(name: str, features: list[str], sql: str) -> None:
+    _PARTS.append((features, sql))
     query(name, sql)(lambda spark, where: _features(spark, where, features))
 
 
@@ -245,6 +249,18 @@ def feat_wide(spark: SparkSession, where: str) -> DataFrame:
     return rounded(X.pivot_features(long, "user_id", SERIES), DIGITS)
 
 
-@query("feat_all_71")
+def _all_sql() -> str:
+    """All parts side by side; a feature that two parts share is taken from the first."""
+    seen: set[str] = set()
+    joined = ""
+    for features, sql in _PARTS:
+        fresh = [X.plain_name(f) for f in features if f not in seen]
+        seen.update(features)
+        part = f"(SELECT user_id, kind, {', '.join(fresh)} FROM ({sql}))"
+        joined += f" JOIN {part} USING (user_id, kind)" if joined else f"SELECT * FROM {part}"
+    return joined
+
+
+@query("feat_all_71", _all_sql())
 def feat_all(spark: SparkSession, where: str) -> DataFrame:
     return _features(spark, where, X.ALL_FEATURES)

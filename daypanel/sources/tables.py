@@ -65,20 +65,26 @@ def read_report(spark: SparkSession, path: str, schema: T.StructType | str) -> D
     return spark.read.schema(schema).json(path)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder named by `spark.checkpoint.dir`.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by `spark.checkpoint.dir`, which all executors can reach.
 
     The folder comes from the session. Only a local master, where driver and
     executors share one disk, may fall back to a temporary folder.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = _conf(df, "spark.checkpoint.dir", "")
+        folder = spark.conf.get("spark.checkpoint.dir", "") or ""
         if not folder:
             if not context.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
             folder = tempfile.mkdtemp(prefix="daypanel-checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
