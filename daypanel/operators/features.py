@@ -56,7 +56,8 @@ def _with_moments(df: DataFrame) -> DataFrame:
     )
     second = first.withColumns(
         {
-            "mu": F.try_divide("s1", F.col("n").cast("double")),
+            # Kept within the range of the series, so that a constant one has no rounding residue.
+            "mu": F.greatest("lo", F.least("hi", F.try_divide("s1", F.col("n").cast("double")))),
             "abs_d": S.abs_total(F.col("d")),
             "distinct": F.size(F.array_distinct("ordered")),
             "repeated": S.repeated_values(F.col("ordered")),

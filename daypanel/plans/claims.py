@@ -17,6 +17,7 @@ from daypanel.functions import columns as C
 from daypanel.operators import cohort as K
 from daypanel.operators.panel import build_panel, running_distinct
 from daypanel.plans import fixed_values as V
+from daypanel.sources.tables import written
 
 DIAGNOSIS_COLUMNS = [f"dgns_cd{i}" for i in range(1, 13)]
 LINE_COLUMNS = [
@@ -236,8 +237,11 @@ def nursing_home_panel(
 def finished_panel(
     series: DataFrame, targets: DataFrame, conditions: DataFrame, people: DataFrame, homes: DataFrame
 ) -> DataFrame:
-    """The stored panel: everything joined by person, narrowed and filled in."""
-    joined = reduce(lambda a, b: a.join(b, "bene_id"), [targets, conditions, people, homes], series)
+    """The stored panel: everything joined by person, narrowed and filled in.
+
+    The median needs the joined people, so the join is written before it.
+    """
+    joined = written(reduce(lambda a, b: a.join(b, "bene_id"), [targets, conditions, people, homes], series))
     filled = C.fill_median(joined, ["STATIC_DEMO_RUCA1"]).na.fill({"STATIC_DEMO_state_cd": V.UNASSIGNED})
     return C.narrow_arrays(filled)
 
@@ -257,9 +261,13 @@ def claims_panel(
     literal: bool = False,
     null_admission_ok: bool = False,
 ) -> DataFrame:
-    """All of the above in order."""
-    cohort = cohort_lines(lines, enrolment, revenue, inpatient, literal, null_admission_ok)
-    selected = with_prescriber_count(index_people(with_drugs(cohort, drugs)))
+    """All of the above in order.
+
+    The cohort's lines and the finished joins are read by several steps, so
+    each is written once to the shared folder.
+    """
+    cohort = written(with_drugs(cohort_lines(lines, enrolment, revenue, inpatient, literal, null_admission_ok), drugs))
+    selected = written(with_prescriber_count(index_people(cohort)))
     targets = K.label_entities(selected, "bene_id")
     return finished_panel(
         series_panel(selected),

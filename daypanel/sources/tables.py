@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -88,5 +89,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows written once to the shared folder as Parquet and read back.
+
+    For results that several later steps read: they are computed once, survive
+    lost executors, and each step reads only the columns it needs.
+    """
+    path = f"{shared_folder(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _conf(df: DataFrame, key: str, default: str) -> str:
     return df.sparkSession.conf.get(key, default) or default
