@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from daypanel.functions.columns import Expr, any_code, to_column, yes
+from daypanel.operators.joins import split_join
 
 
 def label_events(
@@ -105,14 +106,14 @@ def eligible_entities(
     return kept.select(id, *carried) if literal else kept.select(id, "months", *carried)
 
 
-def exclude(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
+def exclude(df: DataFrame, other: DataFrame, key: str, hot: Sequence | None = None) -> DataFrame:
     """Rows whose key does not occur in `other`."""
-    return df.join(other.select(key), key, "left_anti")
+    return split_join(df, other.select(key), key, "left_anti", hot)
 
 
-def restrict(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
+def restrict(df: DataFrame, other: DataFrame, key: str, hot: Sequence | None = None) -> DataFrame:
     """Rows whose key occurs in `other`; never multiplies rows."""
-    return df.join(other.select(key), key, "left_semi")
+    return split_join(df, other.select(key), key, "left_semi", hot)
 
 
 def join_valid(
@@ -123,20 +124,31 @@ def join_valid(
     at: Column,
     begin: str,
     end: str,
-    how: str = "left",
+    hot: Sequence | None = None,
 ) -> DataFrame:
-    """Dimension lookup where the row's value lies in the entry's validity range.
+    """Left join with the dimension entry whose validity range holds the row's value.
 
-    Code equality drives the join and the range is a residual condition; the
-    size of the dimension decides between broadcast and shuffle.
+    Code equality drives the join. The entries of a code are kept together as
+    one short list, so the join is a lookup of one row per code and a row
+    without a valid entry is kept by an outer explode.
     """
-    left = df.withColumn("_at", at)
-    rule = (left[key] == dim[dim_key]) & left["_at"].between(dim[begin], dim[end])
-    return left.join(dim, rule, how).drop("_at")
+    names = [c for c in dim.columns]
+    entries = dim.groupBy(F.col(dim_key).alias(key)).agg(F.collect_list(F.struct(*names)).alias("_entries"))
+    looked_up = split_join(df.withColumn("_at", at), entries, key, "left", hot)
+    valid = F.filter("_entries", lambda e: F.col("_at").between(e[begin], e[end]))
+    found = looked_up.withColumn("_entry", F.explode_outer(valid))
+    return found.select(*df.columns, *[F.col(f"_entry.{c}").alias(c) for c in names])
 
 
 def join_active(
-    df: DataFrame, dim: DataFrame, key: str, on: Column, begin: str, end: str, values: Sequence[str]
+    df: DataFrame,
+    dim: DataFrame,
+    key: str,
+    on: Column,
+    begin: str,
+    end: str,
+    values: Sequence[str],
+    hot: Sequence | None = None,
 ) -> DataFrame:
     """Left join with the dimension entries active on a fixed date.
 
@@ -144,7 +156,7 @@ def join_active(
     row per key (largest value), so that no row is multiplied.
     """
     active = dim.where(on.between(F.col(begin), F.col(end)))
-    return df.join(active.groupBy(key).agg(*[F.max(v).alias(v) for v in values]), key, "left")
+    return split_join(df, active.groupBy(key).agg(*[F.max(v).alias(v) for v in values]), key, "left", hot)
 
 
 def full_outer(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

@@ -1,0 +1,57 @@
+"""Lookups that hold up when one key has a large share of the rows.
+
+Rows of a few hot keys would all meet in one task. Such keys are found with a
+frequent-items sketch, which merges like a sum and shuffles no keys; at most
+1 / share keys can have more than that share. Their rows stay where they are
+and meet a broadcast of the other side's rows for these keys, the size of
+which is checked first. All other rows are joined as usual.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+HOT_SHARE = 0.001
+HOT_ROWS = 100_000
+HOT_SIDE_ROWS = 100_000
+
+
+def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE, rows: int = HOT_ROWS) -> list:
+    """Keys with more than `share` of all rows and more than `rows` rows.
+
+    A false alarm does no harm, and a key with fewer rows troubles no task.
+    """
+    most = int(1 / share)
+    sketch = F.expr(f"approx_top_k(`{key}`, {most}, {most * 10})")
+    row = df.agg(sketch.alias("top"), F.count("*").alias("n")).first()
+    least = max(rows, share * row["n"])
+    return [e["item"] for e in row["top"] or [] if e["item"] is not None and e["count"] > least]
+
+
+def is_in(key: str, values: Sequence) -> Column:
+    return F.coalesce(F.col(key).isin(list(values)), F.lit(False))
+
+
+def split_join(
+    df: DataFrame, side: DataFrame, key: str, how: str = "inner", hot: Sequence | None = None
+) -> DataFrame:
+    """`df.join(side, key, how)` for how in inner, left, left_semi, left_anti.
+
+    `hot` gives the hot keys where they are known already. If the other side
+    has too many rows for them, the plain join is used.
+    """
+    if how not in ("inner", "left", "left_semi", "left_anti"):
+        raise ValueError(f"not a one-sided join: {how}")
+    hot = hot_keys(df, key) if hot is None else list(hot)
+    if not hot:
+        return df.join(side, key, how)
+    few = side.where(is_in(key, hot))
+    if how in ("left_semi", "left_anti"):
+        few = few.select(key).distinct()
+    if few.limit(HOT_SIDE_ROWS + 1).count() > HOT_SIDE_ROWS:
+        return df.join(side, key, how)
+    usual = df.where(~is_in(key, hot)).join(side, key, how)
+    return usual.unionByName(df.where(is_in(key, hot)).join(F.broadcast(few), key, how))

@@ -18,8 +18,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daypanel.operators.ordered import row_numbers
-from daypanel.sources.spine import hash_fraction
+from daypanel.operators.ordered import hashed_row_numbers
 
 
 def logistic_pipeline(label: str, cols: Sequence[str], weight: str | None = None, **params) -> Pipeline:
@@ -89,7 +88,7 @@ def cross_validate(
 
 def add_folds(df: DataFrame, id: str, label: str, k: int, seed: int = 0, out: str = "fold") -> DataFrame:
     """Stratified folds: each label's rows are dealt out in hashed order, one fold after another."""
-    numbered = row_numbers(df, id, hash_fraction(F.col(id), seed), by=[label], out="_rn")
+    numbered = hashed_row_numbers(df, id, seed, by=[label], out="_rn")
     return numbered.withColumn(out, F.pmod(F.col("_rn") - 1, F.lit(k)).cast("int")).drop("_rn")
 
 

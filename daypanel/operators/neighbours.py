@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from daypanel.operators.joins import split_join
 from daypanel.sources.tables import cut_lineage
 
 BLOCK_ROWS = 4096
@@ -218,7 +219,11 @@ def _result(rows: DataFrame, heads: DataFrame, lists: DataFrame | None, k: int,
     else:
         firsts = heads.where(F.col("copy") == 1).select(F.col("id").alias("query"), "vector")
         answered = firsts.join(lists, "query").select("vector", "near")
-    mine = rows.select("id", "vector").join(answered, "vector")
+    # Copies of one vector may be a large share of the rows; the hash finds them,
+    # the vector itself decides (hash twins share a list of rows to filter).
+    keyed = rows.select("id", "vector").withColumn("hash", F.xxhash64("vector"))
+    sided = answered.select(F.xxhash64("vector").alias("hash"), F.col("vector").alias("head"), "near")
+    mine = split_join(keyed, sided, "hash").where(F.col("vector") == F.col("head"))
     others = F.slice(F.filter("near", lambda e: e["neighbour"] != F.col("id")), 1, k)
     return mine.select("id", F.posexplode(others).alias("pos", "at")).select(
         "id",

@@ -15,6 +15,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from daypanel.sources.spine import hash_fraction
+
 
 def range_edges(df: DataFrame, order: str, ranges: int) -> list[float]:
     """At most ranges + 1 edges that split the rows about evenly."""
@@ -82,16 +84,17 @@ def _place_in_ranges(df: DataFrame, order: str, edges: list[float]) -> DataFrame
     return cut.transform(keyed).drop("_key").withColumn("_range", F.col("_range").cast("int"))
 
 
-def row_numbers(
-    df: DataFrame, id: str, order: Column, by: Sequence[str] = (), out: str = "rn", ranges: int | None = None
+def hashed_row_numbers(
+    df: DataFrame, id: str, seed: int, by: Sequence[str] = (), out: str = "rn", ranges: int | None = None
 ) -> DataFrame:
-    """Add the 1-based place of each row in the order, within `by`.
+    """Add the 1-based place of each row in a pseudo-random order, within `by`.
 
-    `order` is a number and `id` a unique key that breaks ties.
+    The order is a hash of the unique `id`, so it spreads evenly over fixed
+    ranges whatever the data, and each range is numbered by its own task.
     """
-    keyed = df.withColumn("_order", order)
     ranges = ranges or default_ranges(df)
-    placed = _place_in_ranges(keyed, "_order", range_edges(keyed, "_order", ranges))
+    hashed = hash_fraction(F.col(id), seed)
+    placed = df.withColumn("_order", hashed).withColumn("_range", F.floor(F.col("_order") * ranges).cast("int"))
     before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = placed.groupBy(*by, "_range").agg(F.count("*").alias("_n")).select(
         *by, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from daypanel.functions.columns import to_column
 from daypanel.operators.neighbours import nearest
-from daypanel.operators.ordered import row_numbers
+from daypanel.operators.ordered import hashed_row_numbers
 from daypanel.operators.panel import replicate
 from daypanel.sources.spine import hash_fraction
 from daypanel.sources.tables import cut_lineage
@@ -136,7 +136,7 @@ def smote_nc(
     neighbourhood = near.groupBy("id").agg(
         F.array_sort(F.collect_list(F.struct("place", "neighbour_num", "neighbour_cat"))).alias("near")
     )
-    numbered = row_numbers(vectors, "id", hash_fraction(F.col("id"), seed))
+    numbered = hashed_row_numbers(vectors, "id", seed)
     copies = F.lit(missing // fewer) + F.when(F.col("rn") <= missing % fewer, 1).otherwise(0)
     drawn = (
         numbered.join(neighbourhood, "id")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from daypanel.functions import columns as C
 from daypanel.operators import cohort as K
+from daypanel.operators.joins import hot_keys, split_join
 from daypanel.operators.panel import build_panel, running_distinct
 from daypanel.plans import fixed_values as V
 from daypanel.sources.tables import written
@@ -44,7 +45,9 @@ def enrolled() -> Column:
     )
 
 
-def with_enrolled_months(lines: DataFrame, enrolment: DataFrame, literal: bool = False) -> DataFrame:
+def with_enrolled_months(
+    lines: DataFrame, enrolment: DataFrame, literal: bool = False, hot: Sequence | None = None
+) -> DataFrame:
     """Lines of people enrolled all year, or up to the month of their death.
 
     `literal` tests the ordinal of single enrolled months instead of their number.
@@ -61,7 +64,7 @@ def with_enrolled_months(lines: DataFrame, enrolment: DataFrame, literal: bool =
     died_in_november = (n == 10) & death.between("2020-11-01", "2020-11-30")
     old_enough = F.col("bene_age") >= V.MIN_AGE
     alive = death.isNull() | (death >= V.TARGET_START)
-    return lines.join(months, "bene_id").where((full | died_in_december | died_in_november) & old_enough & alive)
+    return split_join(lines, months, "bene_id", "inner", hot).where((full | died_in_december | died_in_november) & old_enough & alive)
 
 
 def cohort_lines(
@@ -85,7 +88,8 @@ def cohort_lines(
         (F.col("SRVC_2") == V.HOSPICE_SERVICE) & C.in_codes("REV_CNTR_CD", V.HOSPICE_REVENUE_CODES)
     )
     in_year = lines.where(F.col("first_srvc_dt").between(f"{V.YEAR}-01-01", V.YEAR_END))
-    kept = K.exclude(with_enrolled_months(in_year, enrolment, literal), hospice, "bene_id")
+    hot = hot_keys(in_year, "bene_id")
+    kept = K.exclude(with_enrolled_months(in_year, enrolment, literal, hot), hospice, "bene_id", hot)
     joined = kept.join(emergency, "clm_id", "left").join(admissions, "clm_id", "left")
     labelled = K.label_events(
         joined,

@@ -46,12 +46,14 @@ def test_quantiles(scores):
     assert {q: pytest.approx(float(np.quantile(values, q))) for q in points} == got
 
 
-def test_row_numbers(scores):
+def test_hashed_row_numbers(scores):
     df, rows = scores
-    got = {r["id"]: r["rn"] for r in O.row_numbers(df, "id", F.col("score"), ["label"]).collect()}
+    got = O.hashed_row_numbers(df, "id", 5, ["label"]).collect()
+    again = {r["id"]: r["rn"] for r in O.hashed_row_numbers(df.repartition(3), "id", 5, ["label"], ranges=3).collect()}
+    assert {r["id"]: r["rn"] for r in got} == again
     for label in (0, 1):
-        ordered = sorted((s, i) for i, s, l in rows if l == label)
-        assert [got[i] for _, i in ordered] == list(range(1, len(ordered) + 1))
+        mine = sorted(r["rn"] for r in got if r["label"] == label)
+        assert mine == list(range(1, sum(l == label for _, _, l in rows) + 1))
 
 
 def test_curve_is_monotone_and_area_is_rank_statistic(scores):
