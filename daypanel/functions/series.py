@@ -125,21 +125,31 @@ def peaks(xs: Column, maxima: Column, n: int) -> Column:
 def order_patterns(xs: Column, width: int) -> Column:
     """For each window of `width` elements, its order pattern as one whole number.
 
-    The pattern lists the positions by value, earlier position first on ties.
+    A pattern is fixed by which of every two elements is larger, the earlier
+    one coming first on ties. Elements are compared once per distance, and each
+    window puts together the bits of its own pairs.
     """
-    placed = F.transform(xs, lambda v, i: F.struct(v.alias("v"), i.alias("i")))
     starts = F.when(F.size(xs) >= width, F.sequence(F.lit(0), F.size(xs) - width)).otherwise(
         F.array().cast("array<int>")
     )
 
-    def pattern(elements: Column, start: Column) -> Column:
-        ranked = F.array_sort(F.slice(elements, start + 1, F.lit(width)))
-        return let(
-            ranked,
-            lambda r: sum((F.get(r, F.lit(k))["i"] - start) * F.lit(width**k) for k in range(width)),
+    def falls(distance: int) -> Column:
+        pairs = F.greatest(F.size(xs) - distance, F.lit(0))
+        return F.zip_with(
+            F.slice(xs, F.lit(1), pairs), F.slice(xs, F.lit(1 + distance), pairs), lambda a, b: F.when(a > b, 1).otherwise(0)
         )
 
-    return let(placed, lambda elements: F.transform(starts, lambda start: pattern(elements, start)))
+    def with_falls(bound: list[Column]) -> Column:
+        distance = len(bound) + 1
+        if distance < width:
+            return let(falls(distance), lambda found: with_falls([*bound, found]))
+        pairs = [(i, j) for i in range(width) for j in range(i + 1, width)]
+        return F.transform(
+            starts,
+            lambda s: sum(F.get(bound[j - i - 1], s + i) * F.lit(2**k) for k, (i, j) in enumerate(pairs)),
+        )
+
+    return with_falls([])
 
 
 def run_lengths(ordered: Column) -> Column:

@@ -44,8 +44,11 @@ def nearest(
     rows = df.select(
         F.col(id).alias("id"), F.col(vector).cast("array<double>").alias("vector"), *carry
     )
-    copies = Window.partitionBy("vector").orderBy("id")
-    heads = rows.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1)
+    # The hash comes first so that sorting seldom compares whole vectors. The limit
+    # on `copy` is applied before the exchange, so copies do not pile up in a task.
+    copies = Window.partitionBy("hash", "vector").orderBy("id")
+    hashed = rows.withColumn("hash", F.xxhash64("vector"))
+    heads = hashed.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1).drop("hash")
     heads = cut_lineage(heads)
     distinct = heads.where(F.col("copy") == 1).count()
     if distinct == 0:

@@ -206,9 +206,10 @@ def build_panel(
     """Event lines to panel in one call: point measures plus interval measures."""
     maxes, spans = dict(maxes or {}), dict(spans or {})
     day = to_column(date).cast("date")
+    # Days outside the window only prove that the id exists: one row per id is enough.
     points = df.select(
         id,
-        day.alias("date"),
+        F.when(day.between(as_date(start), as_date(end)), day).alias("date"),
         *[to_column(v).alias(k) for k, v in {**sums, **maxes}.items()],
     )
     wide = None

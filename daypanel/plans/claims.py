@@ -90,7 +90,9 @@ def cohort_lines(
     in_year = lines.where(F.col("first_srvc_dt").between(f"{V.YEAR}-01-01", V.YEAR_END))
     hot = hot_keys(in_year, "bene_id")
     kept = K.exclude(with_enrolled_months(in_year, enrolment, literal, hot), hospice, "bene_id", hot)
-    joined = kept.join(emergency, "clm_id", "left").join(admissions, "clm_id", "left")
+    hot_claims = hot_keys(in_year, "clm_id")
+    joined = split_join(kept, emergency, "clm_id", "left", hot_claims)
+    joined = split_join(joined, admissions, "clm_id", "left", hot_claims)
     labelled = K.label_events(
         joined,
         DIAGNOSIS_COLUMNS,
@@ -208,7 +210,7 @@ def demographics(enrolment: DataFrame, rural: DataFrame, area: DataFrame) -> Dat
     at_end = F.lit(V.PANEL_END).cast("date")
     people = enrolment.where(F.col("month_end") == at_end)
     codes = rural.groupBy(F.col("ZIP_CODE").alias("zip5_ltst")).agg(F.max("RUCA1").alias("RUCA1"))
-    placed = people.join(codes, "zip5_ltst", "left")
+    placed = split_join(people, codes, "zip5_ltst", "left")
     ranked = K.join_active(
         placed, area, "bene_id", at_end, "drvd_adr_bgn_dt", "drvd_adr_end_dt", ["ADI_NATRANK_BG_2019_v3_1"]
     )
