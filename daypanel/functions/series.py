@@ -113,43 +113,42 @@ def wider_maxima(xs: Column, maxima: Column, width: int, have: int) -> Column:
 
 
 def peaks(xs: Column, maxima: Column, n: int) -> Column:
-    """How many elements exceed their n neighbours on either side, given the n-wide maxima."""
-    inner = F.greatest(F.size(xs) - 2 * n, F.lit(0))
-    left = F.slice(maxima, F.lit(1), inner)
-    right = F.slice(maxima, F.lit(n + 2), inner)
-    middle = F.slice(xs, F.lit(n + 1), inner)
-    rivals = F.zip_with(left, right, lambda a, b: F.greatest(a, b))
-    return F.size(F.filter(F.zip_with(middle, rivals, lambda v, m: v > m), lambda hit: hit))
+    """How many elements exceed their n neighbours on either side, given the n-wide maxima.
+
+    Element i has the maxima starting at i - n on its left and i + 1 on its right.
+    """
+    middle = F.slice(xs, F.lit(n + 1), F.greatest(F.size(xs) - 2 * n, F.lit(0)))
+    return let(
+        maxima,
+        lambda m: F.size(F.filter(middle, lambda v, i: (v > F.get(m, i)) & (v > F.get(m, i + (n + 1))))),
+    )
 
 
 def order_patterns(xs: Column, width: int) -> Column:
     """For each window of `width` elements, its order pattern as one whole number.
 
     A pattern is fixed by which of every two elements is larger, the earlier
-    one coming first on ties. Elements are compared once per distance, and each
-    window puts together the bits of its own pairs.
+    one coming first on ties. Each element gets a bit per following element
+    that is smaller; a window then takes from each of its elements the bits
+    that stay within the window.
     """
     starts = F.when(F.size(xs) >= width, F.sequence(F.lit(0), F.size(xs) - width)).otherwise(
         F.array().cast("array<int>")
     )
-
-    def falls(distance: int) -> Column:
-        pairs = F.greatest(F.size(xs) - distance, F.lit(0))
-        return F.zip_with(
-            F.slice(xs, F.lit(1), pairs), F.slice(xs, F.lit(1 + distance), pairs), lambda a, b: F.when(a > b, 1).otherwise(0)
-        )
-
-    def with_falls(bound: list[Column]) -> Column:
-        distance = len(bound) + 1
-        if distance < width:
-            return let(falls(distance), lambda found: with_falls([*bound, found]))
-        pairs = [(i, j) for i in range(width) for j in range(i + 1, width)]
-        return F.transform(
+    falls = F.transform(
+        xs, lambda v, i: sum(F.when(v > F.get(xs, i + ahead), 2 ** (ahead - 1)).otherwise(0) for ahead in range(1, width))
+    )
+    shifts = [sum(range(width - i, width)) for i in range(width - 1)]
+    return let(
+        falls,
+        lambda bits: F.transform(
             starts,
-            lambda s: sum(F.get(bound[j - i - 1], s + i) * F.lit(2**k) for k, (i, j) in enumerate(pairs)),
-        )
-
-    return with_falls([])
+            lambda s: sum(
+                F.get(bits, s + i).bitwiseAND(F.lit(2 ** (width - 1 - i) - 1)) * F.lit(2**shift)
+                for i, shift in enumerate(shifts)
+            ),
+        ),
+    )
 
 
 def run_lengths(ordered: Column) -> Column:

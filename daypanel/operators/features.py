@@ -41,7 +41,7 @@ def _q_name(q: float) -> str:
     return f"q{round(q * 100):03d}"
 
 
-def _with_moments(df: DataFrame) -> DataFrame:
+def _with_moments(df: DataFrame, quantiles: Sequence[float]) -> DataFrame:
     x = F.col("series")
     first = df.withColumns(
         {
@@ -50,7 +50,7 @@ def _with_moments(df: DataFrame) -> DataFrame:
             "energy": S.square_total(x),
             "lo": F.array_min(x),
             "hi": F.array_max(x),
-            "ordered": F.array_sort(x),
+            "ordered": F.sort_array(x),
             "d": S.steps(x),
         }
     )
@@ -61,7 +61,7 @@ def _with_moments(df: DataFrame) -> DataFrame:
             "abs_d": S.abs_total(F.col("d")),
             "distinct": F.size(F.array_distinct("ordered")),
             "repeated": S.repeated_values(F.col("ordered")),
-            **{_q_name(q): S.sorted_quantile(F.col("ordered"), q) for q in _needed_quantiles()},
+            **{_q_name(q): S.sorted_quantile(F.col("ordered"), q) for q in quantiles},
         }
     )
     third = second.withColumn("gaps", S.gaps_from(x, F.col("mu")))
@@ -76,8 +76,13 @@ def _with_moments(df: DataFrame) -> DataFrame:
     )
 
 
-def _needed_quantiles() -> list[float]:
-    return sorted({0.5, *QUANTILES, *[q for pair in CHANGE_CORRIDORS for q in pair]})
+def _needed_quantiles(features: Sequence[str]) -> list[float]:
+    """Quantiles that the features use; each costs analysis time even where it is pruned later."""
+    needed = {0.5} if "median" in features else set()
+    needed |= {q for q in QUANTILES if f"quantile__q_{q}" in features}
+    if any(f.startswith("change_quantiles") for f in features):
+        needed |= {q for pair in CHANGE_CORRIDORS for q in pair}
+    return sorted(needed)
 
 
 def _with_peak_maxima(df: DataFrame) -> DataFrame:
@@ -88,7 +93,7 @@ def _with_peak_maxima(df: DataFrame) -> DataFrame:
 
 
 def _with_patterns(df: DataFrame) -> DataFrame:
-    sorted_patterns = F.array_sort(S.order_patterns(F.col("series"), PATTERN_WIDTH))
+    sorted_patterns = F.sort_array(S.order_patterns(F.col("series"), PATTERN_WIDTH))
     return df.withColumn("patterns", sorted_patterns).withColumn("runs", S.run_lengths(F.col("patterns")))
 
 
@@ -214,7 +219,7 @@ def feature_columns() -> dict[str, Callable[[], Column]]:
         ),
         f"mean_n_absolute_max__number_of_maxima_{LARGEST_COUNT}": lambda: F.when(
             n > LARGEST_COUNT,
-            S.total(S.tail(F.array_sort(F.transform(x, lambda v: F.abs(v))), LARGEST_COUNT)) / LARGEST_COUNT,
+            S.total(S.tail(F.sort_array(F.transform(x, lambda v: F.abs(v))), LARGEST_COUNT)) / LARGEST_COUNT,
         ),
     }
     return out
@@ -270,7 +275,7 @@ ALL_FEATURES = (
 
 def series_features(by_kind: DataFrame, keys: Sequence[str], features: Sequence[str] = ALL_FEATURES) -> DataFrame:
     """Features of a `series` array column; column pruning leaves out what `features` does not use."""
-    prepared = _with_moments(by_kind)
+    prepared = _with_moments(by_kind, _needed_quantiles(features))
     if any(f.startswith("number_peaks") for f in features):
         prepared = _with_peak_maxima(prepared)
     if any(f.startswith("permutation_entropy") for f in features):

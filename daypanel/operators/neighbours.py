@@ -67,7 +67,7 @@ def nearest(
     asked = {r["cell"]: r["n"] for r in sent.groupBy("cell").agg(F.count("*").alias("n")).collect()}
     best = _search_blocks(placed, sent, sizes, asked, k, carry, block_rows)
     lists = best.groupBy("query").agg(
-        F.slice(F.array_sort(F.collect_list(F.struct("distance", "neighbour", *carry))), 1, k + 1).alias("near")
+        F.slice(F.sort_array(F.collect_list(F.struct("distance", "neighbour", *carry))), 1, k + 1).alias("near")
     )
     return _result(rows, heads, lists, k, carry)
 

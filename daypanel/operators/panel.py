@@ -94,7 +94,7 @@ def fill_days(
         offset.alias("day"),
         *[F.coalesce(F.col(m), F.lit(fill).cast(types[m])).alias(m) for m in measures],
     )
-    sparse = daily.groupBy(id).agg(F.array_sort(F.collect_list(F.when(in_window, present))).alias("seen"))
+    sparse = daily.groupBy(id).agg(F.sort_array(F.collect_list(F.when(in_window, present))).alias("seen"))
 
     empty = F.struct(F.lit(0).alias("day"), *[F.lit(fill).cast(types[m]).alias(m) for m in measures])
 
@@ -132,7 +132,7 @@ def to_panel(
 
 def collect_series(long: DataFrame, id: str, date: str, measures: Sequence[str]) -> DataFrame:
     """Panel from an already dense long table, all measures in one aggregate."""
-    at = F.array_sort(F.collect_list(F.struct(date, *measures)))
+    at = F.sort_array(F.collect_list(F.struct(date, *measures)))
     return long.groupBy(id).agg(at.alias("at")).select(id, *[F.col(f"at.{m}").alias(m) for m in measures])
 
 

@@ -134,7 +134,7 @@ def smote_nc(
     )
     near = nearest(vectors, "id", "vector", k, carry=["num", "cat"])
     neighbourhood = near.groupBy("id").agg(
-        F.array_sort(F.collect_list(F.struct("place", "neighbour_num", "neighbour_cat"))).alias("near")
+        F.sort_array(F.collect_list(F.struct("place", "neighbour_num", "neighbour_cat"))).alias("near")
     )
     numbered = hashed_row_numbers(vectors, "id", seed)
     copies = F.lit(missing // fewer) + F.when(F.col("rn") <= missing % fewer, 1).otherwise(0)
