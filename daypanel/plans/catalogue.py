@@ -1,6 +1,7 @@
 """All named queries; importing this module registers them."""
 
 from daypanel.plans import (  # noqa: F401
+    claims_queries,
     cohort_queries,
     evaluation_queries,
     feature_queries,
