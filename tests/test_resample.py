@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from daypanel.operators import joins, neighbours
 from daypanel.operators import resample as B
 from daypanel.operators.neighbours import nearest
 from daypanel.plans.standins import vectors
@@ -42,6 +43,22 @@ def test_nearest_equals_brute_force(clustered, block_rows):
     assert {i: [n[p] for p in sorted(n)] for i, n in got.items()} == brute(rows, 4)
 
 
+def test_nearest_with_split_copies(clustered, monkeypatch):
+    df, rows = clustered
+    seen = []
+
+    def split_small(left, side, key):
+        seen.extend(joins.hot_keys(left, key, rows=20))
+        return joins.split_join(left, side, key, hot=seen)
+
+    monkeypatch.setattr(neighbours, "split_join", split_small)
+    got = {}
+    for r in nearest(df, "id", "vector", 4).collect():
+        got.setdefault(r["id"], {})[r["place"]] = r["neighbour"]
+    assert len(seen) == 1
+    assert {i: [n[p] for p in sorted(n)] for i, n in got.items()} == brute(rows, 4)
+
+
 def test_nearest_with_few_rows(spark):
     df = spark.createDataFrame([(1, [0.0]), (2, [3.0])], "id long, vector array<double>")
     assert [(r["id"], r["neighbour"]) for r in nearest(df, "id", "vector", 5).orderBy("id").collect()] == [(1, 2), (2, 1)]
