@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -67,19 +66,15 @@ def read_report(spark: SparkSession, path: str, schema: T.StructType | str) -> D
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by `spark.checkpoint.dir`, which all executors can reach.
+    """The folder for intermediate tables, which driver and executors can all reach.
 
-    The folder comes from the session. Only a local master, where driver and
-    executors share one disk, may fall back to a temporary folder.
+    `spark.checkpoint.dir` names it; where that is unset it is a subfolder of
+    the session's warehouse, never a temporary folder of one machine.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", "") or ""
-        if not folder:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-            folder = tempfile.mkdtemp(prefix="daypanel-checkpoint-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_intermediate")
     return context.getCheckpointDir()
 
 
@@ -89,14 +84,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows written once to the shared folder as Parquet and read back.
+def written(df: DataFrame, path: str | None = None) -> DataFrame:
+    """The rows written once as Parquet and read back.
 
     For results that several later steps read: they are computed once, survive
-    lost executors, and each step reads only the columns it needs.
+    lost executors, and each step reads only the columns it needs. `path` names
+    a target to overwrite; by default each call has its own in the shared folder.
     """
-    path = f"{shared_folder(df.sparkSession)}/written-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = path or f"{shared_folder(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
