@@ -25,7 +25,8 @@ SCAN_COST = 4
 #: N-grams counted as frequent; they only change in which order a set's n-grams are tried.
 FREQUENT = 1 << 18
 FREQUENT_SHARE = 0.001
-SKETCH = 1024
+#: Cells of the smallest and the largest sketch; in between a set has two to four for each n-gram.
+SKETCHES = (256, 1 << 17)
 #: Stands for a null key inside.
 NO_KEY = -(1 << 63)
 #: Place given to subsets, which have none in a set's order.
@@ -88,15 +89,24 @@ def _identity(tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def _sketches(tokens: np.ndarray, bounds: np.ndarray) -> list[bytes]:
-    """For each set, the parity of its n-grams in each of `SKETCH` cells.
+    """For each set, the parity of its n-grams in each cell, of which larger sets have more.
 
     Two sets differ in at least as many n-grams as their sketches differ in bits.
+    The n-grams of cell c lie in cell c modulo any smaller number of cells, so a
+    larger sketch folds onto a smaller one by exclusive or.
     """
-    cells = (tokens & np.uint64(SKETCH - 1)).astype(np.int64)
-    return [
-        np.packbits((np.bincount(cells[a:b], minlength=SKETCH) & 1).astype(np.uint8)).tobytes()
-        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)
-    ]
+    out = []
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        cells = min(max(1 << (2 * (b - a)).bit_length(), SKETCHES[0]), SKETCHES[1])
+        found = np.bincount((tokens[a:b] & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
+        out.append(np.packbits((found & 1).astype(np.uint8)).tobytes())
+    return out
+
+
+def _differing(one: bytes, two: bytes) -> int:
+    """Bits in which two sketches differ, the larger folded onto the smaller."""
+    x, y = sorted((np.frombuffer(v, np.uint64) for v in (one, two)), key=len)
+    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum())
 
 
 def describe(docs: DataFrame) -> DataFrame:
@@ -302,8 +312,7 @@ def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, m = batch.column(2).to_numpy(), batch.column(4).to_numpy()
-            bits = [np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, SKETCH // 64) for i in (3, 5)]
-            differing = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1, dtype=np.int64)
+            differing = np.array([_differing(x.as_buffer(), y.as_buffer()) for x, y in zip(batch.column(3), batch.column(5), strict=True)])
             # |A ^ B| = n + m - 2 |A & B|
             most = n + m - 2 * -(-PER_CENT * (n + m) // (100 + PER_CENT))
             near = (differing <= most) & (100 * np.minimum(n, m) >= PER_CENT * np.maximum(n, m))
@@ -360,7 +369,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     sizes = {r["n"]: r["k"] for r in sets.filter(F.col("n").between(1, SMALL_LIMIT)).groupBy("n").agg(F.count(F.lit(1)).alias("k")).collect()}
     listed = postings(own, boundary(sizes), frequent(described, total))
     ordered = listed.repartition("token").sortWithinPartitions("token", "key")
-    shared = written(ordered.mapInArrow(_shared, "token long, key long, held long"))
+    shared = ordered.mapInArrow(_shared, "token long, key long, held long")
 
     # Equal sets: the smallest key stands for them.
     classes = sets.filter("n > 0").groupBy("n", "a", "b").agg(F.min("key").alias("class"))
@@ -376,13 +385,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     links = written(_linked(tried, own))
 
     grouped = components(links)
-    placed = written(
-        lists.join(grouped, lists["key"] == grouped["node"], "left").select(
-            "token", "key", "held", F.coalesce("component", "key").alias("component")
-        )
-    )
+    of_node = grouped.select(F.col("node").alias("key"), "component")
+    placed = lists.select("token", "key").join(of_node, "key", "left").withColumn("component", F.coalesce("component", "key"))
     torn = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("token")
-    left = placed.join(torn, "token")
+    left = lists.join(torn, "token").join(of_node, "key", "left")
+    left = written(left.select("token", "key", "held", F.coalesce("component", "key").alias("component")))
     right = left.select("token", F.col("key").alias("other"), F.col("held").alias("other_held"), F.col("component").alias("other_component"))
     rest = left.join(right, "token").filter(F.col("component") < F.col("other_component")).filter(_reach("held", "other_held"))
     rest = rest.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
