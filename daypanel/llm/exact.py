@@ -65,8 +65,13 @@ def find_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         .agg(F.count(F.lit(1)).alias("copies"), F.first("sha").alias("sha"))
     )
     groups = recipes.groupBy("recipe").agg(F.max("key").alias("keep_id"), F.sum("copies").alias("group_size"))
+    # Stored, so that the join deals both sides anew and can split a large group.
+    groups = written(groups.filter("group_size > 1"))
+    joined = recipes.join(groups, "recipe", "left").withColumns(
+        {"keep_id": F.coalesce("keep_id", "key"), "group_size": F.coalesce("group_size", F.lit(1))}
+    )
     # One copy of each row beyond the first: repeats of a whole row are told apart by number.
-    rows = recipes.join(groups, "recipe").withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
+    rows = joined.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     return rows.select(
         F.col("key").alias(key),
         "keep_id",
