@@ -372,8 +372,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     shared = ordered.mapInArrow(_shared, "token long, key long, held long")
 
     # Equal sets: the smallest key stands for them.
-    classes = sets.filter("n > 0").groupBy("n", "a", "b").agg(F.min("key").alias("class"))
-    members = written(sets.filter("n > 0").join(classes, ["n", "a", "b"]).select("key", "class", "n"))
+    full = sets.filter("n > 0").select("key", "n", "a", "b")
+    classes = full.groupBy("n", "a", "b").agg(F.min("key").alias("class"), F.count(F.lit(1)).alias("k"))
+    # Stored, so that the join deals both sides anew and can split a large class.
+    classes = written(classes.filter("k > 1").drop("k"))
+    members = written(full.join(classes, ["n", "a", "b"], "left").select("key", F.coalesce("class", "key").alias("class"), "n"))
     heads = sets.join(members.filter("key = class").select("key").distinct(), "key").select("key", "n", "sketch")
     sketches = written(heads.dropDuplicates(["key", "n", "sketch"]))
     of_class = members.select("key", "class").distinct()
