@@ -26,7 +26,7 @@ def count_words(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, part in spans.parts(batch.column(0), 16 << 20):
+            for _, part in spans.parts(batch.column(0)):
                 data, offsets = spans.buffers(part)
                 low, starts, ends, odd = spans.plain_words(data, offsets)
                 if odd.any():

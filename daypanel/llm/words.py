@@ -18,7 +18,7 @@ UNPLAIN = re.compile("[^\t-\r -~À-ÖØ-öø-ÿ]")
 PLAIN_WORD = re.compile("[a-zß-öø-ÿ]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[!-/:-@\\[-`{-~]+")
 BESIDES_LETTERS = re.compile("'(?:s|t|re|ve|m|ll|d)|[0-9]|[!-/:-@\\[-`{-~]+")
 #: Words that a worker remembers; beyond that it forgets all and learns again.
-REMEMBERED = 2_000_000
+REMEMBERED = 500_000
 
 
 def split_words(text: str, special: tuple[str, ...]) -> list[str]:
