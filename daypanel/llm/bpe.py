@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -78,6 +79,52 @@ def _encoder_with(table, path: str) -> Encoder:
     return _given["encoder"]
 
 
+def _encoding(columns: list[str], carried: list[str], text: str, ids: str, sent, path: str):
+    """Batches of `columns` to batches of `carried` and the ids of `text`."""
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, part in spans.parts(batch.column(columns.index(text))):
+                flat, bounds = _encoder_with(sent, path).encode_batch(part)
+                column = pa.Array.from_buffers(
+                    pa.large_binary(), len(part), [None, pa.py_buffer(bounds * 4), pa.py_buffer(flat.astype("<u4"))]
+                ).cast(pa.binary())
+                others = [batch.column(columns.index(c)).slice(at, len(part)) for c in carried]
+                yield pa.RecordBatch.from_arrays([*others, column], [*carried, ids])
+
+    return encode
+
+
+def _decoding(columns: list[str], ids: str, text: str, path: str):
+    """Batches of `columns` to batches of them and the text of `ids`."""
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pieces(path)
+        for batch in batches:
+            for at, part in spans.parts(batch.column(columns.index(ids))):
+                data, offsets = spans.buffers(part)
+                flat = pa.array(np.frombuffer(data.tobytes(), "<u4").astype(np.int64))
+                known = pc.less(flat, len(table))
+                found = table.take(pc.if_else(known, flat, pa.scalar(None, pa.int64())))
+                bounds = offsets // 4
+                if found.null_count:
+                    valid = np.append(0, np.cumsum(found.is_valid().to_numpy(zero_copy_only=False)))
+                    found, bounds = found.drop_null(), valid[bounds]
+                lists = pa.LargeListArray.from_arrays(pa.array(bounds, pa.int64()), found)
+                joined = pc.binary_join(lists, " ").cast(pa.string())
+                others = [batch.column(columns.index(c)).slice(at, len(part)) for c in columns]
+                yield pa.RecordBatch.from_arrays([*others, joined], [*columns, text])
+
+    return decode
+
+
+def _sent_table(docs: DataFrame, path: str, text: str, most: int):
+    """The table of frequent words as a broadcast variable."""
+    table = word_table(written(count_words(docs, path, text)), path, most).toPandas()
+    words, ids = table["word"].tolist(), [bytes(x) for x in table["ids"]]
+    return docs.sparkSession.sparkContext.broadcast({"id": uuid.uuid4().hex, "words": words, "ids": ids})
+
+
 def encode_texts(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", table_words: int = TABLE_WORDS) -> DataFrame:
     """`docs` with `ids`: the token ids of each whole text as little-endian unsigned 32-bit integers in a binary.
 
@@ -92,39 +139,10 @@ def encode_texts(docs: DataFrame, path: str, text: str = "text", ids: str = "ids
     Null counts as empty and gives no ids. An empty table gives no rows. All
     columns of `docs` stay; one named like `ids` is replaced.
     """
-    spark = docs.sparkSession
-    table = word_table(written(count_words(docs, path, text)), path, table_words).toPandas()
-    sent = spark.sparkContext.broadcast(
-        {"id": hash((tuple(table["word"][:1000]), len(table))), "words": table["word"].tolist(), "ids": table["ids"].tolist()}
-    )
     kept = [c for c in docs.columns if c != ids]
     ordered = docs.select(*kept)
     schema = ordered.withColumn(ids, F.lit(b"")).schema
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, part in spans.parts(batch.column(kept.index(text))):
-                flat, bounds = _encoder_with(sent, path).encode_batch(part)
-                column = pa.Array.from_buffers(
-                    pa.large_binary(),
-                    len(part),
-                    [None, pa.py_buffer((bounds * 4).astype(np.int64)), pa.py_buffer(flat.astype("<u4"))],
-                ).cast(pa.binary())
-                columns = [batch.column(i).slice(at, len(part)) for i in range(len(kept))]
-                yield pa.RecordBatch.from_arrays([*columns, column], [*kept, ids])
-
-    return ordered.mapInArrow(encode, schema)
-
-
-def pieces(path: str) -> pa.Array:
-    """The vocabulary's id-to-piece table: the piece of id i at place i, null where there is none."""
-    from tokenizers import Tokenizer
-
-    vocabulary = Tokenizer.from_file(path).get_vocab(with_added_tokens=True)
-    out: list[str | None] = [None] * (max(vocabulary.values(), default=-1) + 1)
-    for piece, i in vocabulary.items():
-        out[i] = piece
-    return pa.array(out, pa.string())
+    return ordered.mapInArrow(_encoding(kept, kept, text, ids, _sent_table(docs, path, text, table_words), path), schema)
 
 
 def decode_ids(encoded: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -138,26 +156,19 @@ def decode_ids(encoded: DataFrame, path: str, ids: str = "ids", text: str = "dec
     """
     kept = [c for c in encoded.columns if c != text]
     ordered = encoded.select(*kept)
-    schema = ordered.withColumn(text, F.lit("")).schema
-
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pieces(path)
-        for batch in batches:
-            for at, part in spans.parts(batch.column(kept.index(ids))):
-                data, offsets = spans.buffers(part)
-                flat = pa.array(np.frombuffer(data.tobytes(), "<u4").astype(np.int64))
-                known = pc.less(flat, len(table))
-                found = table.take(pc.if_else(known, flat, pa.scalar(None, pa.int64())))
-                bounds = offsets // 4
-                if found.null_count:
-                    valid = np.append(0, np.cumsum(found.is_valid().to_numpy(zero_copy_only=False)))
-                    found, bounds = found.drop_null(), valid[bounds]
-                lists = pa.LargeListArray.from_arrays(pa.array(bounds, pa.int64()), found)
-                joined = pc.binary_join(lists, " ").cast(pa.string())
-                columns = [batch.column(i).slice(at, len(part)) for i in range(len(kept))]
-                yield pa.RecordBatch.from_arrays([*columns, joined], [*kept, text])
-
-    return ordered.mapInArrow(decode, schema)
+    return ordered.mapInArrow(_decoding(kept, ids, text, path), ordered.withColumn(text, F.lit("")).schema)
+
+
+def encode_and_decode(
+    docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded", table_words: int = TABLE_WORDS
+) -> DataFrame:
+    """`docs` without `text`, with its `ids` and their text `decoded`: both operators in one pass of one worker."""
+    carried = [c for c in docs.columns if c not in (text, ids, decoded)]
+    ordered = docs.select(*carried, text)
+    schema = docs.select(*carried, F.lit(b"").alias(ids), F.lit("").alias(decoded)).schema
+    encode = _encoding(ordered.columns, carried, text, ids, _sent_table(docs, path, text, table_words), path)
+    decode = _decoding([*carried, ids], ids, decoded, path)
+    return ordered.mapInArrow(lambda batches: decode(encode(batches)), schema)
 
 
 def vocabulary_table(spark: SparkSession, path: str) -> DataFrame:

@@ -109,8 +109,7 @@ def op6_line_dedup(spark: SparkSession, where: str) -> DataFrame:
 
 def op7_bpe(spark: SparkSession, where: str) -> DataFrame:
     docs = load(spark, where, "documents").select("doc_id", "text")
-    encoded = bpe.encode_texts(docs, vocabulary()).drop("text")
-    decoded = bpe.decode_ids(encoded, vocabulary())
+    decoded = bpe.encode_and_decode(docs, vocabulary())
     return decoded.select(
         "doc_id",
         F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
