@@ -20,8 +20,9 @@ WORDS = 5
 PER_CENT = 80
 #: The largest size for which enumerating subsets is weighed against lists.
 SMALL_LIMIT = 24
-#: What scanning a list entry and checking what it brings costs, in rows written.
-SCAN_COST = 4
+#: What a list entry costs against a subset's row: it is dealt like one, but what it brings is mostly no link and
+#: goes through the joins with classes, first members and both sketches before it is told apart.
+SCAN_COST = 8
 #: N-grams counted as frequent; they only change in which order a set's n-grams are tried.
 FREQUENT = 1 << 18
 FREQUENT_SHARE = 0.001

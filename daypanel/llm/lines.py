@@ -10,7 +10,7 @@ SHARE = 3
 #: A line of more words is a chunk by itself; such a line may be a passage that stands on one line.
 LONG_WORDS = 50
 #: Words that a chunk of several lines has at least if it may go.
-LEAST_WORDS = 20
+LEAST_WORDS = 10
 MODULUS = 1_000_003
 NO_KEY = -(1 << 63)
 
