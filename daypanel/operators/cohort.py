@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from daypanel.functions.columns import Expr, any_code, to_column, yes
-from daypanel.operators.joins import split_join
 
 
 def label_events(
@@ -106,14 +105,14 @@ def eligible_entities(
     return kept.select(id, *carried) if literal else kept.select(id, "months", *carried)
 
 
-def exclude(df: DataFrame, other: DataFrame, key: str, hot: Sequence | None = None) -> DataFrame:
+def exclude(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
     """Rows whose key does not occur in `other`."""
-    return split_join(df, other.select(key), key, "left_anti", hot)
+    return df.join(other.select(key), key, "left_anti")
 
 
-def restrict(df: DataFrame, other: DataFrame, key: str, hot: Sequence | None = None) -> DataFrame:
+def restrict(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
     """Rows whose key occurs in `other`; never multiplies rows."""
-    return split_join(df, other.select(key), key, "left_semi", hot)
+    return df.join(other.select(key), key, "left_semi")
 
 
 def join_valid(
@@ -124,20 +123,17 @@ def join_valid(
     at: Column,
     begin: str,
     end: str,
-    hot: Sequence | None = None,
 ) -> DataFrame:
     """Left join with the dimension entry whose validity range holds the row's value.
 
-    Code equality drives the join. The entries of a code are kept together as
-    one short list, so the join is a lookup of one row per code and a row
-    without a valid entry is kept by an outer explode.
+    Code equality drives the join and the range is tested on its matches, so
+    a code's entries are never gathered; a row without a valid entry is kept.
     """
-    names = [c for c in dim.columns]
-    entries = dim.groupBy(F.col(dim_key).alias(key)).agg(F.collect_list(F.struct(*names)).alias("_entries"))
-    looked_up = split_join(df.withColumn("_at", at), entries, key, "left", hot)
-    valid = F.filter("_entries", lambda e: F.col("_at").between(e[begin], e[end]))
-    found = looked_up.withColumn("_entry", F.explode_outer(valid))
-    return found.select(*df.columns, *[F.col(f"_entry.{c}").alias(c) for c in names])
+    inner = {c: f"_dim_{c}" for c in dim.columns}
+    entries = dim.withColumnsRenamed(inner)
+    valid = F.col("_at").between(F.col(inner[begin]), F.col(inner[end]))
+    found = df.withColumn("_at", at).join(entries, (F.col(key) == F.col(inner[dim_key])) & valid, "left")
+    return found.select(*df.columns, *[F.col(hidden).alias(c) for c, hidden in inner.items()])
 
 
 def join_active(
@@ -148,7 +144,6 @@ def join_active(
     begin: str,
     end: str,
     values: Sequence[str],
-    hot: Sequence | None = None,
 ) -> DataFrame:
     """Left join with the dimension entries active on a fixed date.
 
@@ -156,7 +151,7 @@ def join_active(
     row per key (largest value), so that no row is multiplied.
     """
     active = dim.where(on.between(F.col(begin), F.col(end)))
-    return split_join(df, active.groupBy(key).agg(*[F.max(v).alias(v) for v in values]), key, "left", hot)
+    return df.join(active.groupBy(key).agg(*[F.max(v).alias(v) for v in values]), key, "left")
 
 
 def full_outer(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

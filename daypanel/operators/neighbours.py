@@ -25,7 +25,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from daypanel.operators.joins import split_join
 from daypanel.sources.tables import cut_lineage
 
 BLOCK_ROWS = 4096
@@ -80,12 +79,20 @@ def _pivots(heads: DataFrame, count: int) -> np.ndarray:
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean distances, row by row of `a` in slices that keep temporaries small."""
-    step = max(1, 4_000_000 // max(1, b.size))
+    """Euclidean distances, in slices of `a` that keep temporaries small.
+
+    The squares are summed one dimension after the other: every machine adds in
+    the same order, and d(a, b) equals d(b, a) to the last bit. Equal distances
+    are then ordered by id.
+    """
+    step = max(1, 4_000_000 // max(1, len(b)))
     out = np.empty((len(a), len(b)))
     for i in range(0, len(a), step):
-        gap = a[i : i + step, None, :] - b[None, :, :]
-        out[i : i + step] = np.sqrt(np.einsum("rsd,rsd->rs", gap, gap))
+        total = np.zeros((len(a[i : i + step]), len(b)))
+        for d in range(a.shape[1]):
+            gap = a[i : i + step, d, None] - b[None, :, d]
+            total += gap * gap
+        out[i : i + step] = np.sqrt(total)
     return out
 
 
@@ -226,7 +233,7 @@ def _result(rows: DataFrame, heads: DataFrame, lists: DataFrame | None, k: int,
     # the vector itself decides (hash twins share a list of rows to filter).
     keyed = rows.select("id", "vector").withColumn("hash", F.xxhash64("vector"))
     sided = answered.select(F.xxhash64("vector").alias("hash"), F.col("vector").alias("head"), "near")
-    mine = split_join(keyed, sided, "hash").where(F.col("vector") == F.col("head"))
+    mine = keyed.join(sided, "hash").where(F.col("vector") == F.col("head"))
     others = F.slice(F.filter("near", lambda e: e["neighbour"] != F.col("id")), 1, k)
     return mine.select("id", F.posexplode(others).alias("pos", "at")).select(
         "id",

@@ -33,9 +33,15 @@ def class_weights(df: DataFrame, label: str, out: str = "classWeightCol") -> Dat
 
 
 def upsample(df: DataFrame, label: str, shuffle_seed: int | None = None) -> DataFrame:
-    """Repeat each positive row int(negatives / positives) times; majority rows stay as they are."""
+    """Repeat each positive row int(negatives / positives) times; majority rows stay as they are.
+
+    With more positives than negatives that number would be 0 and lose every
+    positive; here each stays once. Labels other than 0 and 1 are an error.
+    """
     zeros, ones = _two_counts(df, label)
-    times = zeros // ones if ones else 0
+    if df.where(F.coalesce(~F.col(label).isin(0, 1), F.lit(True))).limit(1).count():
+        raise ValueError(f"{label} must be 0 or 1 in every row")
+    times = max(1, zeros // ones) if ones else 1
     copies = replicate(df.where(F.col(label) == 1), times)
     out = df.where(F.col(label) == 0).unionByName(copies)
     return out if shuffle_seed is None else out.orderBy(F.rand(shuffle_seed))
@@ -118,8 +124,10 @@ def smote_nc(
     base = df.select(id, label, *[F.col(c).cast("double").alias(c) for c in cols])
     originals = base.withColumn("synthetic", F.lit(0))
     missing = more - fewer
-    if missing <= 0 or fewer < 2:
+    if missing <= 0:
         return originals
+    if fewer < 2:
+        raise ValueError("synthetic rows need at least two minority rows")
 
     spread = rare.agg(*[F.stddev_pop(c).alias(c) for c in numeric]).first()
     ordered = sorted(float(spread[c] or 0.0) for c in numeric)

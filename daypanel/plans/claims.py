@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from daypanel.functions import columns as C
 from daypanel.operators import cohort as K
-from daypanel.operators.joins import hot_keys, split_join
 from daypanel.operators.panel import build_panel, running_distinct
 from daypanel.plans import fixed_values as V
 from daypanel.sources.tables import written
@@ -46,7 +45,7 @@ def enrolled() -> Column:
 
 
 def with_enrolled_months(
-    lines: DataFrame, enrolment: DataFrame, literal: bool = False, hot: Sequence | None = None
+    lines: DataFrame, enrolment: DataFrame, literal: bool = False
 ) -> DataFrame:
     """Lines of people enrolled all year, or up to the month of their death.
 
@@ -64,7 +63,7 @@ def with_enrolled_months(
     died_in_november = (n == 10) & death.between("2020-11-01", "2020-11-30")
     old_enough = F.col("bene_age") >= V.MIN_AGE
     alive = death.isNull() | (death >= V.TARGET_START)
-    return split_join(lines, months, "bene_id", "inner", hot).where((full | died_in_december | died_in_november) & old_enough & alive)
+    return lines.join(months, "bene_id").where((full | died_in_december | died_in_november) & old_enough & alive)
 
 
 def cohort_lines(
@@ -88,11 +87,8 @@ def cohort_lines(
         (F.col("SRVC_2") == V.HOSPICE_SERVICE) & C.in_codes("REV_CNTR_CD", V.HOSPICE_REVENUE_CODES)
     )
     in_year = lines.where(F.col("first_srvc_dt").between(f"{V.YEAR}-01-01", V.YEAR_END))
-    hot = hot_keys(in_year, "bene_id")
-    kept = K.exclude(with_enrolled_months(in_year, enrolment, literal, hot), hospice, "bene_id", hot)
-    hot_claims = hot_keys(in_year, "clm_id")
-    joined = split_join(kept, emergency, "clm_id", "left", hot_claims)
-    joined = split_join(joined, admissions, "clm_id", "left", hot_claims)
+    kept = K.exclude(with_enrolled_months(in_year, enrolment, literal), hospice, "bene_id")
+    joined = kept.join(emergency, "clm_id", "left").join(admissions, "clm_id", "left")
     labelled = K.label_events(
         joined,
         DIAGNOSIS_COLUMNS,
@@ -210,7 +206,7 @@ def demographics(enrolment: DataFrame, rural: DataFrame, area: DataFrame) -> Dat
     at_end = F.lit(V.PANEL_END).cast("date")
     people = enrolment.where(F.col("month_end") == at_end)
     codes = rural.groupBy(F.col("ZIP_CODE").alias("zip5_ltst")).agg(F.max("RUCA1").alias("RUCA1"))
-    placed = split_join(people, codes, "zip5_ltst", "left")
+    placed = people.join(codes, "zip5_ltst", "left")
     ranked = K.join_active(
         placed, area, "bene_id", at_end, "drvd_adr_bgn_dt", "drvd_adr_end_dt", ["ADI_NATRANK_BG_2019_v3_1"]
     )

@@ -15,7 +15,7 @@ from daypanel.plans.standins import vectors
 from daypanel.sources.tables import load
 
 _NEAR = """v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, CASE WHEN label = 9 THEN 1 ELSE 0 END AS label FROM embeddings),
-near AS (SELECT a.vec_id AS id, b.vec_id AS neighbour, a.label AS label, b.label AS other, list_distance(a.e, b.e) AS d,
+near AS MATERIALIZED (SELECT a.vec_id AS id, b.vec_id AS neighbour, a.label AS label, b.label AS other, list_distance(a.e, b.e) AS d,
   row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.e, b.e), b.vec_id) AS place
   FROM v a JOIN v b ON a.vec_id <> b.vec_id)"""
 

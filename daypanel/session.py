@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -23,4 +28,18 @@ def build_session(master: str | None = None, name: str = "daypanel", **conf: str
         builder = builder.master(master).config("spark.ui.enabled", "false")
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    session = builder.getOrCreate()
+    if not session.sparkContext.master.startswith("local["):
+        ship_package(session)
+    return session
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to all executors, where it need not be installed then.
+
+    The archive is built beside the driver and handed out by Spark's own file
+    distribution.
+    """
+    root = Path(__file__).resolve().parent
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(), root.name), "zip", root.parent, root.name)
+    spark.sparkContext.addPyFile(archive)

@@ -4,7 +4,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from daypanel.operators import cohort as K
-from daypanel.operators.joins import hot_keys, split_join
 
 
 @pytest.fixture(scope="module")
@@ -15,23 +14,19 @@ def skewed(spark):
     return df, side.unionByName(spark.createDataFrame([(7, 70)], "k long, w long"))
 
 
-def test_hot_keys(skewed):
-    df, side = skewed
-    assert hot_keys(df, "k", rows=100) == [7]
-    assert hot_keys(df, "k") == [] == hot_keys(side, "k", rows=100)
-
-
-@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_split_join_equals_join(skewed, how):
+@pytest.mark.parametrize("keep, how", [(K.exclude, "left_anti"), (K.restrict, "left_semi")])
+def test_exclusion_and_restriction_with_a_hot_key(skewed, keep, how):
     df, side = skewed
     rows = lambda d: sorted(map(repr, d.collect()))
-    assert rows(split_join(df, side, "k", how, hot=[7])) == rows(df.join(side, "k", how))
+    assert rows(keep(df, side, "k")) == rows(df.join(side, "k", how))
 
 
-def test_hot_rows_are_not_shuffled(skewed):
-    df, side = skewed
-    plan = split_join(df, side, "k", "left", hot=[7])._jdf.queryExecution().executedPlan().toString()
-    assert "Union" in plan and "BroadcastHashJoin" in plan
+def test_cohort_reads_its_lines_once(spark):
+    lines = spark.createDataFrame([], "k long, code string, at int")
+    kept = K.exclude(K.restrict(lines, spark.range(5).toDF("k"), "k"), spark.range(3).toDF("k"), "k")
+    dim = spark.createDataFrame([("a", 0, 9)], "c string, lo int, hi int")
+    plan = K.join_valid(kept, dim, "code", "c", F.col("at"), "lo", "hi")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and plan.count("at#") and plan.count("LogicalRDD") <= 2
 
 
 def test_valid_entries(spark):
@@ -39,8 +34,3 @@ def test_valid_entries(spark):
     dim = spark.createDataFrame([("a", 0, 9, "x"), ("a", 4, 6, "y"), ("b", 8, 9, "z")], "c string, lo int, hi int, name string")
     got = K.join_valid(lines, dim, "code", "c", F.col("at"), "lo", "hi").select("id", "name").collect()
     assert sorted((r["id"], r["name"] or "") for r in got) == [(1, "x"), (1, "y"), (2, ""), (3, ""), (4, "")]
-
-
-def test_unknown_kind_of_join(skewed):
-    with pytest.raises(ValueError):
-        split_join(*skewed, "k", "full_outer")

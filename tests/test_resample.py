@@ -6,16 +6,23 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from daypanel.operators import joins, neighbours
 from daypanel.operators import resample as B
 from daypanel.operators.neighbours import nearest
 from daypanel.plans.standins import vectors
 
 
+def distance(v, w):
+    """Squares summed one dimension after the other, as on every machine."""
+    total = 0.0
+    for x, y in zip(v, w, strict=True):
+        total += (x - y) * (x - y)
+    return float(np.sqrt(total))
+
+
 def brute(rows, k):
     out = {}
     for i, v in rows:
-        d = sorted((float(np.linalg.norm(np.array(v) - np.array(w))), j) for j, w in rows if j != i)
+        d = sorted((distance(v, w), j) for j, w in rows if j != i)
         out[i] = [j for _, j in d[:k]]
     return out
 
@@ -43,20 +50,28 @@ def test_nearest_equals_brute_force(clustered, block_rows):
     assert {i: [n[p] for p in sorted(n)] for i, n in got.items()} == brute(rows, 4)
 
 
-def test_nearest_with_split_copies(clustered, monkeypatch):
-    df, rows = clustered
-    seen = []
-
-    def split_small(left, side, key):
-        seen.extend(joins.hot_keys(left, key, rows=20))
-        return joins.split_join(left, side, key, hot=seen)
-
-    monkeypatch.setattr(neighbours, "split_join", split_small)
+def test_nearest_with_exact_ties(spark):
+    """Whole-number vectors, many at equal distances: the smaller id comes first."""
+    rows = [(i, [float(i % 5), float(i // 5 % 5), float(i % 2)]) for i in range(100)]
+    df = spark.createDataFrame(rows, "id long, vector array<double>")
     got = {}
-    for r in nearest(df, "id", "vector", 4).collect():
+    for r in nearest(df, "id", "vector", 3, block_rows=16).collect():
         got.setdefault(r["id"], {})[r["place"]] = r["neighbour"]
-    assert len(seen) == 1
-    assert {i: [n[p] for p in sorted(n)] for i, n in got.items()} == brute(rows, 4)
+    assert {i: [n[p] for p in sorted(n)] for i, n in got.items()} == brute(rows, 3)
+
+
+def test_upsample_never_loses_a_class(spark):
+    more = spark.createDataFrame([(i, int(i < 7)) for i in range(10)], "id int, y int")
+    assert {r["y"]: r["n"] for r in B.class_counts(B.upsample(more, "y"), "y").collect()} == {0: 3, 1: 7}
+    for label in (None, 2):
+        with pytest.raises(ValueError):
+            B.upsample(more.unionByName(spark.createDataFrame([(99, label)], "id int, y int")), "y")
+
+
+def test_smote_needs_two_minority_rows(spark):
+    df = spark.createDataFrame([(i, int(i == 0), float(i)) for i in range(5)], "id long, y int, x double")
+    with pytest.raises(ValueError):
+        B.smote_nc(df, "id", "y", ["x"], [])
 
 
 def test_nearest_with_few_rows(spark):

@@ -139,3 +139,23 @@ def test_one_hot_unknown_value(spark):
     assert one_hot(df, vocabulary, unknown="ignore").collect()[1].asDict() == {"c_x": 0.0, "c_y_z": 0.0}
     with pytest.raises(Exception, match="not in the vocabulary"):
         one_hot(df, vocabulary).collect()
+
+
+def test_correlation_uses_every_row_of_a_pair(spark):
+    rows = [(1.0, 2.0, None), (2.0, 1.0, 1.0), (3.0, 5.0, 2.0), (4.0, 2.5, 0.0), (5.0, 2.0, None), (None, 7.0, 5.0)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    got = {(r["index"], r["variable"]): r["value"] for r in S.correlation_long(df, ["a", "b", "c"]).collect()}
+    frame = df.toPandas()
+    assert len(got) == 6
+    for (i, j), value in got.items():
+        assert value == pytest.approx(frame[i].corr(frame[j]), abs=1e-12)
+
+
+def test_gamma_ratio_keeps_its_digits():
+    from daypanel.functions.tails import f_tail_value, log_gamma_ratio
+
+    for d in (0.5, 1.0, 3.5):
+        assert log_gamma_ratio(99_999.0, d) == pytest.approx(log_gamma_ratio(100_001.0, d), abs=d * 3e-5)
+    # With one and very many degrees of freedom F is the square of a normal value.
+    for rows in (1e9, 1e11):
+        assert f_tail_value(1.959963984540054**2, 1.0, rows) == pytest.approx(0.05, rel=1e-7)
