@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import os
 import shutil
-import tempfile
 from pathlib import Path
 
+from pyspark import SparkFiles
 from pyspark.sql import SparkSession
 
 
@@ -37,9 +37,8 @@ def build_session(master: str | None = None, name: str = "daypanel", **conf: str
 def ship_package(spark: SparkSession) -> None:
     """Send this package to all executors, where it need not be installed then.
 
-    The archive is built beside the driver and handed out by Spark's own file
-    distribution.
+    The archive lies in the driver's own folder of files that Spark hands out.
     """
     root = Path(__file__).resolve().parent
-    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(), root.name), "zip", root.parent, root.name)
+    archive = shutil.make_archive(os.path.join(SparkFiles.getRootDirectory(), root.name), "zip", root.parent, root.name)
     spark.sparkContext.addPyFile(archive)
