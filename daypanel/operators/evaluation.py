@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from daypanel.operators.ordered import exact_quantiles, running_sums
 from daypanel.operators.panel import melt
+from daypanel.sources.tables import written
 
 
 def _counts(label: str) -> dict[str, Column]:
@@ -21,7 +22,28 @@ def _counts(label: str) -> dict[str, Column]:
 
 def score_curve(df: DataFrame, label: str, score: str) -> DataFrame:
     """Per distinct score: positives and negatives at it and at or above it."""
-    sums = running_sums(df, score, _counts(label), descending=True)
+    return _as_curve(running_sums(df, score, _counts(label), descending=True), score)
+
+
+def score_sums(df: DataFrame, label: str, score: str) -> DataFrame:
+    """Per distinct `score`, null included: what curves, confusion counts and Brier scores are made of.
+
+    `pos` and `neg` as in `score_curve`, `sure_neg` without rows of a null label,
+    `squares` the squared distances of score and label and `known` their number.
+    """
+    gap = F.col(label).cast("double") - F.col(score)
+    sums = {k: F.sum(c) for k, c in _counts(label).items()}
+    sums["sure_neg"] = F.count_if(F.col(label).cast("double") != 1.0)
+    sums |= {"squares": F.sum(gap * gap), "known": F.count(gap)}
+    return df.groupBy(F.col(score).alias("score")).agg(*[c.alias(k) for k, c in sums.items()])
+
+
+def curve_of_sums(sums: DataFrame) -> DataFrame:
+    """`score_curve` of the rows behind `score_sums`."""
+    return _as_curve(running_sums(sums, "score", {k: F.col(k) for k in ("pos", "neg")}, descending=True), "score")
+
+
+def _as_curve(sums: DataFrame, score: str) -> DataFrame:
     return sums.select(
         F.col(score).cast("double").alias("threshold"),
         "pos",
@@ -52,14 +74,14 @@ def pr_points(df: DataFrame, label: str, score: str) -> DataFrame:
     )
 
 
-def curve_areas(df: DataFrame, label: str, score: str) -> DataFrame:
+def curve_areas(df: DataFrame, label: str, score: str, curve: DataFrame | None = None) -> DataFrame:
     """One row: area under ROC and PR (trapezoids) and average precision.
 
     A group of tied scores adds its negatives times the mean of the positives
     before and after it to the ROC area, so no neighbour is needed. The first
     PR trapezoid starts at recall 0 with the precision of the first point.
     """
-    curve = score_curve(df, label, score)
+    curve = curve if curve is not None else score_curve(df, label, score)
     precision = F.col("tp") / (F.col("tp") + F.col("fp"))
     prior_tp, prior_all = F.col("tp") - F.col("pos"), F.col("tp") + F.col("fp") - F.col("pos") - F.col("neg")
     prior_precision = F.when(prior_all > 0, prior_tp / prior_all).otherwise(precision)
@@ -101,13 +123,15 @@ def corner_points(curve: DataFrame) -> DataFrame:
     return met.where(first | F.col("next").isNull() | turns).select("own.*", "tp", "fp")
 
 
-def best_threshold(df: DataFrame, label: str, score: str, digits: int = 8, corners_only: bool = True) -> DataFrame:
+def best_threshold(
+    df: DataFrame, label: str, score: str, digits: int = 8, corners_only: bool = True, curve: DataFrame | None = None
+) -> DataFrame:
     """One row: the threshold with the largest geometric mean of tpr and 1 - fpr.
 
     Only corners of the curve are tried, unless `corners_only` is off; of equal
     means the highest threshold wins.
     """
-    curve = score_curve(df, label, score)
+    curve = curve if curve is not None else score_curve(df, label, score)
     points = roc_points(df, label, score, corner_points(curve) if corners_only else curve)
     gmean = F.sqrt(F.col("tpr") * (1 - F.col("fpr")))
     ranked = F.struct(F.round(gmean, 12).alias("rounded"), "threshold", gmean.alias("gmean"), "tpr", "fpr")
@@ -265,10 +289,20 @@ def mean_by_epoch(metrics: DataFrame, epoch: str, cols: Sequence[str]) -> DataFr
 
 
 def evaluate_scores(df: DataFrame, label: str, score: str) -> DataFrame:
-    """One row with the areas, the best threshold, the confusion metrics at it and the Brier score."""
-    best = best_threshold(df, label, score).first()["threshold"]
-    counts = with_metrics(confusion(df, label, score, best)).withColumn("threshold", F.lit(best))
-    areas = curve_areas(df, label, score)
-    parts = [counts, areas, brier(df, label, score)]
-    keyed = [p.withColumn("_row", F.lit(1)) for p in parts]
-    return keyed[0].join(keyed[1], "_row").join(keyed[2], "_row").drop("_row")
+    """One row with the areas, the best threshold, the confusion metrics at it and the Brier score.
+
+    The scored rows are read once, summed per distinct score, and everything
+    else is derived from these stored sums and the one curve over them.
+    """
+    sums = written(score_sums(df, label, score))
+    curve = written(curve_of_sums(sums))
+    best = F.lit(best_threshold(df, label, score, curve=curve).first()["threshold"]).cast("double")
+    called = F.col("score") >= best
+    parts = {"tn": (~called, "sure_neg"), "tp": (called, "pos"), "fn": (~called, "pos"), "fp": (called, "sure_neg")}
+    counts = sums.agg(
+        *[F.coalesce(F.sum(F.when(side, F.col(n))), F.lit(0)).alias(k) for k, (side, n) in parts.items()],
+        F.try_divide(F.sum("squares"), F.sum("known")).alias("brier"),
+    )
+    areas = curve_areas(df, label, score, curve=curve).withColumn("_row", F.lit(1))
+    whole = with_metrics(counts).withColumns({"threshold": best, "_row": F.lit(1)})
+    return whole.join(areas, "_row").drop("_row")

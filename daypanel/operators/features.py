@@ -292,12 +292,17 @@ def extract_features(
 
 
 def pivot_features(long: DataFrame, id: str, kinds: Sequence[str], kind: str = "kind") -> DataFrame:
-    """One row per id, one column `{kind}__{feature}` per kind and feature."""
+    """One row per id, one column `{kind}__{feature}` per kind and feature.
+
+    All features of a kind move as one struct, so the aggregate has one
+    expression per kind. Of rows that repeat id and kind the largest stays, in
+    order of the features.
+    """
     names = [c for c in long.columns if c not in (id, kind)]
-    picked = [
-        F.max(F.when(F.col(kind) == k, F.col(f"`{f}`"))).alias(feature_name(k, f)) for k in kinds for f in names
-    ]
-    return long.groupBy(id).agg(*picked)
+    row = F.struct(*[F.col(f"`{f}`") for f in names])
+    places = {k: f"_kind_{i}" for i, k in enumerate(kinds)}
+    met = long.groupBy(id).agg(*[F.max(F.when(F.col(kind) == k, row)).alias(p) for k, p in places.items()])
+    return met.select(id, *[F.col(p)[f].alias(feature_name(k, f)) for k, p in places.items() for f in names])
 
 
 def pivot_long(long: DataFrame, id: str, variable: str, value: str, names: Sequence[str]) -> DataFrame:

@@ -231,24 +231,6 @@ def feat_abridged(spark: SparkSession, where: str) -> DataFrame:
     return rounded(X.abridged_features(event_panel(spark, where), "user_id", SERIES, TAIL), DIGITS)
 
 
-_WIDE = ["mean", "maximum", "count_above_mean"]
-
-
-def _wide_sql() -> str:
-    columns = []
-    for c in SERIES:
-        columns.append(f"{_r(f'''avg(x) FILTER (WHERE kind = '{c}')''')} AS {c}__mean")
-        columns.append(f"{_r(f'''max(x) FILTER (WHERE kind = '{c}')''')} AS {c}__maximum")
-        columns.append(f"{_r(f'''count(*) FILTER (WHERE kind = '{c}' AND x > mu)''')} AS {c}__count_above_mean")
-    return f"WITH {STATS} SELECT user_id, {', '.join(columns)} FROM long JOIN stats USING (user_id, kind) GROUP BY user_id"
-
-
-@query("feat_wide", _wide_sql())
-def feat_wide(spark: SparkSession, where: str) -> DataFrame:
-    long = X.extract_features(event_panel(spark, where), "user_id", SERIES, _WIDE)
-    return rounded(X.pivot_features(long, "user_id", SERIES), DIGITS)
-
-
 def _all_sql() -> str:
     """All parts side by side; a feature that two parts share is taken from the first."""
     seen: set[str] = set()
@@ -264,3 +246,16 @@ def _all_sql() -> str:
 @query("feat_all_71", _all_sql())
 def feat_all(spark: SparkSession, where: str) -> DataFrame:
     return _features(spark, where, X.ALL_FEATURES)
+
+
+def _wide_sql() -> str:
+    columns = [
+        f"max(CASE WHEN kind = '{c}' THEN {X.plain_name(f)} END) AS {X.feature_name(c, f)}" for c in SERIES for f in X.ALL_FEATURES
+    ]
+    return f"SELECT user_id, {', '.join(columns)} FROM ({_all_sql()}) GROUP BY user_id"
+
+
+@query("feat_wide", _wide_sql())
+def feat_wide(spark: SparkSession, where: str) -> DataFrame:
+    """All features of all series."""
+    return X.pivot_features(_features(spark, where, X.ALL_FEATURES), "user_id", SERIES)
