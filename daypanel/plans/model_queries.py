@@ -59,18 +59,21 @@ def logistic_cross_validated(spark: SparkSession, where: str) -> DataFrame:
 
 
 @query("random_search")
-def random_search(spark: SparkSession, where: str) -> DataFrame:
-    train, test = _halves(spark, where)
+def random_search(spark: SparkSession, where: str, trials: int = 20) -> DataFrame:
+    """Trials of the linear model, scored on validation rows that neither the fits nor a test see."""
+    rows = matrix(spark, where).select("user_id", F.col("target").cast("double").alias("labels"), *COLS)
+    parts = split_by_mod(rows, "user_id").where("split <> 'test'").persist()
+    train, validation = parts.where("split = 'train'"), parts.where("split = 'val'")
     evaluator = M.pr_evaluator("labels", "prediction")
 
     def fit(params: dict):
         model = M.fit_logistic(train, "labels", COLS, **params)
-        return evaluator.evaluate(model.transform(test)), model
+        return evaluator.evaluate(model.transform(validation)), model
 
     space = {"regParam": M.uniform(0.01, 0.5, 0.05), "tol": M.uniform(1e-8, 1e-6, 5e-7)}
-    trials, _, _ = M.random_search(fit, space, 4, 42, spark)
-    train.unpersist()
-    return rounded(trials.select("trial", "score", F.to_json("params").alias("params")))
+    table, _, _ = M.random_search(fit, space, trials, 42, spark)
+    parts.unpersist()
+    return rounded(table.select("trial", "score", F.to_json("params").alias("params")))
 
 
 @query("gbt_scores")

@@ -34,6 +34,15 @@ tests AS (SELECT feature, sum(n * (m - g) * (m - g)) AS ss_target, sum((n - 1) *
   CAST(count(*) - 1 AS DOUBLE) AS df_target, CAST(sum(n) - count(*) AS DOUBLE) AS df_residual
   FROM parts JOIN grand USING (feature) GROUP BY feature)"""
 
+# With two groups F is the square of a t, whose tail is an integral of a power of the cosine: Simpson's rule over 2,000 steps.
+P_VALUES = f"""{TESTS},
+fs AS (SELECT *, (ss_target / df_target) / (ss_residual / df_residual) AS F FROM tests),
+angles AS (SELECT *, atan(sqrt(F / df_residual)) AS a, pi() / 2 AS b FROM fs),
+nodes AS (SELECT i / 2000 AS part, CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END AS w FROM range(0, 2001) t(i)),
+tails AS (SELECT feature, (b - a) * sum(w * pow(cos(a + (b - a) * part), df_residual - 1)) / (b * sum(w * pow(cos(b * part), df_residual - 1))) AS p_value
+  FROM angles, nodes GROUP BY feature, a, b),
+tested AS (SELECT * FROM fs JOIN tails USING (feature))"""
+
 
 def matrix(spark: SparkSession, where: str) -> DataFrame:
     """One row per user: counts, totals, a constant column and a column with nulls."""
@@ -78,23 +87,23 @@ def usable_columns(spark: SparkSession, where: str) -> DataFrame:
     return rounded(S.drop_constant_or_null(matrix(spark, where), COLS))
 
 
-@query(
-    "anova_f",
-    f"""WITH {TESTS} SELECT feature, round(ss_target, 4) + 0.0 AS ss_target, round(ss_residual, 4) + 0.0 AS ss_residual,
-    df_target, df_residual, round((ss_target / df_target) / (ss_residual / df_residual), 4) + 0.0 AS F FROM tests""",
-)
+_ANOVA_COLUMNS = """feature, round(ss_target, 4) + 0.0 AS ss_target, round(ss_residual, 4) + 0.0 AS ss_residual,
+    df_target, df_residual, round(F, 4) + 0.0 AS F, round(p_value, 4) + 0.0 AS p_value"""
+
+
+@query("anova_f", f"WITH {P_VALUES} SELECT {_ANOVA_COLUMNS} FROM tested")
 def anova_f(spark: SparkSession, where: str) -> DataFrame:
-    return rounded(S.anova(matrix(spark, where), USABLE, "target").drop("p_value"), 4)
+    return rounded(S.anova(matrix(spark, where), USABLE, "target"), 4)
 
 
 @query(
     "anova_table",
-    f"""WITH {TESTS} SELECT feature, 'target' AS level, round(ss_target, 4) + 0.0 AS sum_sq, df_target AS df,
-      round((ss_target / df_target) / (ss_residual / df_residual), 4) + 0.0 AS F FROM tests
-    UNION ALL SELECT feature, 'Residual', round(ss_residual, 4) + 0.0, df_residual, NULL FROM tests""",
+    f"""WITH {P_VALUES} SELECT feature, 'target' AS level, round(ss_target, 4) + 0.0 AS sum_sq, df_target AS df,
+      round(F, 4) + 0.0 AS F, round(p_value, 4) + 0.0 AS p_value FROM tested
+    UNION ALL SELECT feature, 'Residual', round(ss_residual, 4) + 0.0, df_residual, NULL, NULL FROM tested""",
 )
 def anova_table(spark: SparkSession, where: str) -> DataFrame:
-    return rounded(S.anova_table(S.anova(matrix(spark, where), USABLE, "target")).drop("p_value"), 4)
+    return rounded(S.anova_table(S.anova(matrix(spark, where), USABLE, "target")), 4)
 
 
 @query(
@@ -109,9 +118,9 @@ def anova_on_lines(spark: SparkSession, where: str) -> DataFrame:
     return rounded(tests.select("feature", "F"), 4)
 
 
-@query("anova_select")
+@query("anova_select", f"WITH {P_VALUES} SELECT {_ANOVA_COLUMNS} FROM tested WHERE p_value <= 0.05")
 def anova_select(spark: SparkSession, where: str) -> DataFrame:
-    return rounded(S.passing(S.anova(matrix(spark, where), USABLE, "target"), alpha=0.05))
+    return rounded(S.passing(S.anova(matrix(spark, where), USABLE, "target"), alpha=0.05), 4)
 
 
 _PAIRS = " UNION ALL ".join(
