@@ -57,6 +57,13 @@ def test_carry_maximum(spark):
     assert P.carry_maximum(df, ["x"]).first()["x"] == [0, 2, 2, 2, 5, 5]
 
 
+def test_carry_maximum_of_odd_arrays(spark):
+    long = [(i * 37) % 101 for i in range(700)]
+    rows = [(1, []), (2, None), (3, [None, 4, None, 1]), (4, [7]), (5, long)]
+    got = {r["id"]: r["x"] for r in P.carry_maximum(spark.createDataFrame(rows, "id long, x array<int>"), ["x"]).collect()}
+    assert got == {1: [], 2: None, 3: [None, 4, 4, 4], 4: [7], 5: [max(long[: i + 1]) for i in range(len(long))]}
+
+
 def test_sample_is_repeatable_and_whole(spark, small):
     df = events(spark, small)
     one = {r[0] for r in entity_sample(df, "user_id", 0.5, 1).select("user_id").distinct().collect()}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from daypanel.functions.tails import f_tail_value, incomplete_beta
 from daypanel.operators import evaluation as V
+from daypanel.operators.features import pivot_features
 from daypanel.operators import ordered as O
 from daypanel.operators import selection as S
 from daypanel.operators.encoding import one_hot
@@ -159,3 +160,21 @@ def test_gamma_ratio_keeps_its_digits():
     # With one and very many degrees of freedom F is the square of a normal value.
     for rows in (1e9, 1e11):
         assert f_tail_value(1.959963984540054**2, 1.0, rows) == pytest.approx(0.05, rel=1e-7)
+
+
+def test_summary_equals_its_parts_with_nulls(spark):
+    rows = [(1, 0.9), (0, 0.8), (1, 0.8), (0, 0.1), (None, 0.7), (1, None), (0, 0.3)]
+    df = spark.createDataFrame(rows, "label int, score double")
+    got = V.evaluate_scores(df, "label", "score").first().asDict()
+    best = V.best_threshold(df, "label", "score").first()["threshold"]
+    parts = {"threshold": best}
+    for part in (V.with_metrics(V.confusion(df, "label", "score", best)), V.curve_areas(df, "label", "score"), V.brier(df, "label", "score")):
+        parts |= part.first().asDict()
+    assert got == pytest.approx(parts)
+
+
+def test_pivot_keeps_kinds_apart(spark):
+    rows = [(1, "a", 1.0, 2.0), (1, "b", None, 4.0), (2, "b", 5.0, 6.0)]
+    wide = pivot_features(spark.createDataFrame(rows, "id long, kind string, f double, `g__q_0.1` double"), "id", ["a", "b"])
+    assert wide.columns == ["id", "a__f", "a__g__q_01", "b__f", "b__g__q_01"]
+    assert sorted(map(tuple, wide.collect())) == [(1, 1.0, 2.0, None, 4.0), (2, None, None, 5.0, 6.0)]
