@@ -28,8 +28,8 @@ def language_id(spark: SparkSession, docs: DataFrame, where: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, where: str) -> DataFrame:
-    """Documents without the chunks of lines that an earlier document has; `n_chars` follows a changed text."""
-    cleaned = lines.drop_repeated_chunks(docs)
+    """Documents without the passages and chunks of lines that an earlier document has; `n_chars` follows a changed text."""
+    cleaned = lines.drop_repeated_passages(docs)
     n_chars = F.when(F.col("lines_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return cleaned.withColumn("n_chars", n_chars).select(*COLUMNS)
 

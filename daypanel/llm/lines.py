@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from daypanel.sources.tables import written
+
 # Parameters of the chunking: a boundary after one line in SHARE, by a rolling hash over two line hashes.
 SHARE = 3
 #: A line of more words is a chunk by itself; such a line may be a passage that stands on one line.
@@ -95,21 +97,132 @@ def drop_repeated_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text
         .groupBy(F.col("key").alias("gone_key"), F.col("print").alias("gone_print"))
         .agg(F.collect_set(F.struct("start", "size")).alias("gone"))
     )
+    return _without(docs, gone, key, text)
+
+
+def _merged(units: Column) -> Column:
+    """The ranges (start, end) of lines that units (start, size) cover, in order and apart."""
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    one = lambda s, e: F.struct(s.cast("int").alias("start"), e.cast("int").alias("end"))
+
+    def step(at: Column, u: Column) -> Column:
+        end = u["start"] + u["size"]
+        return F.when(
+            u["start"] <= at["end"],
+            F.struct(at["done"].alias("done"), at["start"].alias("start"), F.greatest(at["end"], end).alias("end")),
+        ).otherwise(
+            F.struct(
+                F.when(at["end"] < 0, at["done"]).otherwise(F.concat(at["done"], F.array(one(at["start"], at["end"])))).alias("done"),
+                u["start"].alias("start"),
+                end.alias("end"),
+            )
+        )
+
+    first = F.struct(none.alias("done"), F.lit(-1).alias("start"), F.lit(-1).alias("end"))
+    return F.aggregate(F.array_sort(units), first, step, lambda at: F.concat(at["done"], F.array(one(at["start"], at["end"]))))
+
+
+def _without(docs: DataFrame, gone: DataFrame, key: str, text: str) -> DataFrame:
+    """`docs` without the lines of `gone`, (gone_key, gone_print, gone: array of (start, size)), with the two counts."""
     kept = [c for c in docs.columns if c not in ("lines_total", "lines_removed")]
     row = F.struct(*[F.col(c) for c in kept]).alias("row")
     rows = docs.select(
         F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("gone_key"), F.xxhash64(F.col(text)).alias("gone_print"), row
     )
-    joined = rows.join(gone.hint("shuffle_hash"), ["gone_key", "gone_print"], "left")
-    lines = F.split(F.col("row")[text], "\n")
-    left = F.filter(lines, lambda _, i: ~F.exists("gone", lambda g: (i >= g["start"]) & (i < g["start"] + g["size"])))
-    cleaned = F.when(F.col("gone").isNull(), F.col("row")[text]).otherwise(F.array_join(left, "\n"))
-    removed = F.aggregate(F.coalesce("gone", F.array().cast("array<struct<start:int,size:int>>")), F.lit(0), lambda n, g: n + g["size"])
-    return joined.select(
+    ranges = gone.select("gone_key", "gone_print", _merged(F.col("gone")).alias("ranges"))
+    joined = rows.join(ranges.hint("shuffle_hash"), ["gone_key", "gone_print"], "left")
+    # Two references each below keep `lines` and `gaps` from being inlined into the lambdas and made anew per element.
+    split = joined.withColumn("lines", F.split(F.col("row")[text], "\n"))
+    stops = F.concat("ranges", F.array(F.struct(F.size("lines").alias("start"), F.size("lines").alias("end"))))
+    between = lambda r, k: F.struct(F.coalesce(F.get("ranges", k - 1)["end"], F.lit(0)).alias("from"), r["start"].alias("to"))
+    gaps = split.withColumn("gaps", F.transform(stops, between))
+    left = F.flatten(F.transform("gaps", lambda g: F.slice("lines", g["from"] + 1, g["to"] - g["from"])))
+    cleaned = F.when(F.col("ranges").isNull(), F.col("row")[text]).otherwise(F.array_join(left, "\n"))
+    removed = F.size("lines") - F.aggregate("gaps", F.lit(0), lambda n, g: n + g["to"] - g["from"])
+    return gaps.select(
         *[cleaned.alias(c) if c == text else F.col("row")[c].alias(c) for c in kept],
-        F.when(F.col("row")[text].isNull(), 0).otherwise(F.size(lines)).alias("lines_total"),
-        removed.alias("lines_removed"),
+        F.when(F.col("row")[text].isNull(), 0).otherwise(F.size("lines")).alias("lines_total"),
+        F.when(F.col("ranges").isNull(), 0).otherwise(removed).alias("lines_removed"),
+    )
+
+
+def with_units(docs: DataFrame, text: str) -> DataFrame:
+    """`docs` with `lines` and `units`, an array of (start, size, id): all that a repeated passage can consist of.
+
+    For each line with words these are the shortest run from it on and the
+    shortest run up to it of more than `LONG_WORDS` words. Both depend on their
+    own lines only, and any passage of more words is covered by those inside it,
+    whatever stands around it. The removable chunks of `with_chunks` are units
+    too. `id` is the SHA-256 of a unit's bytes.
+    """
+    known = with_chunks(docs, text)
+    facts = F.transform("lines", lambda x, i: F.struct(i.alias("i"), F.regexp_count(x, F.lit(r"\S+")).alias("words")))
+    full = known.withColumn("full", F.filter(facts, lambda f: f["words"] > 0))
+    packed = lambda start, size: start.cast("long") * F.lit(1 << 31) + size
+
+    # Places are read by number: a slice inside a lambda would copy the whole array each time.
+    def reach(places: Column) -> Column:
+        none = F.struct(F.lit(0).alias("words"), F.lit(-1).alias("i"))
+        add = lambda at, f: F.struct((at["words"] + f["words"]).alias("words"), f["i"].alias("i"))
+        step = lambda at, x: F.when(at["words"] > LONG_WORDS, at).otherwise(add(at, F.get("full", x)))
+        end = F.aggregate(places, none, step)
+        return F.when(end["words"] > LONG_WORDS, end["i"])
+
+    # Every line here has a word, so no run is longer than LONG_WORDS + 1 of them.
+    last = lambda k: F.least(k + LONG_WORDS, F.size("full") - 1)
+    since = lambda k: F.greatest(k - LONG_WORDS, F.lit(0))
+    ahead = F.transform("full", lambda f, k: F.struct(f["i"].alias("start"), reach(F.sequence(k, last(k))).alias("end")))
+    behind = F.transform("full", lambda f, k: F.struct(reach(F.sequence(k, since(k))).alias("start"), f["i"].alias("end")))
+    runs = lambda x: F.transform(
+        F.filter(x, lambda r: r["start"].isNotNull() & r["end"].isNotNull()), lambda r: packed(r["start"], r["end"] - r["start"] + 1)
+    )
+    chunks = F.transform(F.filter("chunks", _removable), lambda c: packed(c["start"], c["size"]))
+    spans = full.withColumn("spans", F.array_union(F.array_union(runs(ahead), runs(behind)), chunks)).drop("full", "chunks")
+
+    def unit(span: Column) -> Column:
+        start, size = F.shiftright(span, 31).cast("int"), span.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
+        own = F.transform(F.sequence(start, start + size - 1), lambda i: F.get("lines", i))
+        digest = F.unhex(F.sha2(F.array_join(own, "\n"), 256))
+        return F.struct(start.alias("start"), size.alias("size"), digest.alias("id"))
+
+    return spans.withColumn("units", F.transform("spans", unit)).drop("spans")
+
+
+def drop_repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """`docs` without the lines of repeated passages, and `lines_total`, `lines_removed`.
+
+    Every run of whole lines with more than `LONG_WORDS` words that stands at an
+    earlier place too goes whole, whatever lines are before or behind it in
+    either document (`with_units`), and so do the chunks that
+    `drop_repeated_chunks` removes. The earliest place is that of the smallest
+    key, in it of one text after another, in it of the first line. A run that
+    overlaps its own first occurrence stays. Units meet by the SHA-256 of their
+    bytes, which stands for comparing them.
+
+    One row of some 70 bytes per unit moves, about one or two units per line;
+    texts of very short lines have as many, with runs of up to 51 lines to
+    hash for each. Nulls, repeated rows, empty tables and columns are dealt with
+    as in `drop_repeated_chunks`.
+    """
+    own = docs.select(
+        F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("key"), F.xxhash64(F.col(text)).alias("print"), F.col(text).alias("text")
+    )
+    # A plain explode gets a filter on its array, which is pushed below and makes the lines anew for each unit.
+    placed = with_units(own, "text").select("key", "print", F.explode_outer("units").alias("unit")).filter("unit IS NOT NULL")
+    placed = written(placed.select("key", "print", "unit.start", "unit.size", "unit.id"))
+    place = F.struct("key", "print", "start")
+    repeated = placed.groupBy("id").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last")
+    # Stored, so that the join deals both sides anew and can split a large group.
+    repeated = written(repeated.select("id", "first"))
+    same = (F.col("key") == F.col("first.key")) & (F.col("print") == F.col("first.print"))
+    kept = same & (F.col("start") < F.col("first.start") + F.col("size"))
+    gone = (
+        placed.join(repeated, "id")
+        .filter(~kept)
+        .groupBy(F.col("key").alias("gone_key"), F.col("print").alias("gone_print"))
+        .agg(F.collect_set(F.struct("start", "size")).alias("gone"))
     )
+    return _without(docs, gone, key, text)
 
 
 # What `drop_repeated_chunks` gives for doc_id and text, for distinct documents, in the SQL of the check.

@@ -107,6 +107,12 @@ def op6_line_dedup(spark: SparkSession, where: str) -> DataFrame:
     return lines.drop_repeated_chunks(docs)
 
 
+def op6_passages(spark: SparkSession, where: str) -> DataFrame:
+    """Line dedup with every repeated passage whole; `op6_line_dedup` is what its SQL fixes."""
+    docs = load(spark, where, "documents").select("doc_id", "text")
+    return lines.drop_repeated_passages(docs)
+
+
 def op7_bpe(spark: SparkSession, where: str) -> DataFrame:
     docs = load(spark, where, "documents").select("doc_id", "text")
     decoded = bpe.encode_and_decode(docs, vocabulary())
@@ -170,6 +176,7 @@ QUERIES = {
         op4_warc,
         op5_language,
         op6_line_dedup,
+        op6_passages,
         op7_bpe,
         op8_near_vectors,
         op9_sharding,

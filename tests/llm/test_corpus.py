@@ -300,6 +300,70 @@ def test_repeated_passages_go_and_clean_texts_stay(spark):
         assert got[d]["lines_removed"] >= 8 and got[d]["lines_total"] - got[d]["lines_removed"] == len(left)
 
 
+def brute_repeats(texts, least=50):
+    """Lines of each text covered by a run of lines of more than `least` words that stands at an earlier place too."""
+    seen, gone = set(), []
+    for text in texts:
+        own, covered = text.split("\n"), set()
+        for a in range(len(own)):
+            for b in range(a + 1, len(own) + 1):
+                run = "\n".join(own[a:b])
+                if len(run.split()) > least:
+                    if run in seen:
+                        covered |= set(range(a, b))
+        for a in range(len(own)):
+            for b in range(a + 1, len(own) + 1):
+                seen.add("\n".join(own[a:b]))
+        gone.append(covered)
+    return gone
+
+
+@pytest.mark.parametrize("share", [1_000_003, 3])
+def test_passages_in_differing_contexts_go_whole(spark, monkeypatch, share):
+    rng = np.random.default_rng(9)
+    monkeypatch.setattr(lines, "SHARE", share)
+    line = lambda n, w="c": " ".join(f"{w}{x}" for x in rng.integers(10**9, size=n))
+    texts = []
+    for size, words in ((2, 30), (2, 45), (3, 25), (4, 20), (5, 15), (6, 11), (12, 5), (2, 20)):
+        passage = [line(words, "p") for _ in range(size)]
+        if size == 4:
+            passage.insert(2, "")
+        for _ in range(4):
+            before, after = ([line(int(rng.integers(1, 40))) for _ in range(int(rng.integers(4)))] for _ in range(2))
+            texts.append("\n".join([*before, *passage, *after]))
+    want = brute_repeats(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in lines.drop_repeated_passages(df).collect()}
+    assert sum(map(len, want)) == 3 * (2 + 2 + 3 + 5 + 5 + 6 + 12)
+    for d, text in enumerate(texts):
+        own = text.split("\n")
+        least = "\n".join(x for i, x in enumerate(own) if i not in want[d])
+        if d < 28:
+            assert got[d]["text"] == least and got[d]["lines_removed"] == len(want[d])
+        # Of the passage of 40 words only what is a chunk of its own may go.
+        assert [x for x in got[d]["text"].split("\n") if x[:1] == "c"] == [x for x in own if x[:1] == "c"]
+
+
+def test_passages_keep_their_first_place(spark):
+    same = "\n".join(["a line that comes again and again, of ten words"] * 30)
+    df = spark.createDataFrame([(1, same), (2, same + "\nthe end")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in lines.drop_repeated_passages(df).collect()}
+    assert got[2]["text"] == "the end"
+    assert len(got[1]["text"].split()) > 50 and 0 < got[1]["lines_removed"] < 30
+
+
+def test_passages_of_odd_rows(odd_docs):
+    got = lines.drop_repeated_passages(odd_docs)
+    assert got.columns == [*odd_docs.columns, "lines_total", "lines_removed"]
+    rows = {r["doc_id"]: r for r in got.collect()}
+    assert got.count() == odd_docs.count()
+    assert (rows[3]["text"], rows[3]["lines_total"], rows[4]["text"], rows[4]["lines_total"]) == (None, 0, "", 1)
+    before = {r["doc_id"]: r["text"] for r in odd_docs.collect()}
+    assert all(rows[i]["text"] == before[i] for i in (1, 2, 5, 7, 8, None))
+    assert rows[6]["text"].endswith("one more") and rows[6]["lines_removed"] >= 30_000 - 1
+    assert lines.drop_repeated_passages(empty(odd_docs)).count() == 0
+
+
 def test_line_dedup_of_odd_rows(odd_docs):
     got = lines.drop_repeated_chunks(odd_docs)
     assert got.columns == [*odd_docs.columns, "lines_total", "lines_removed"]
