@@ -414,11 +414,24 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `docs` that stand for their component, those with the smallest key; one of rows that repeat it."""
-    found = near_duplicates(docs, key, text).filter(F.col(key).eqNullSafe(F.col("component_id")))
-    kept = found.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("kept_key")).distinct()
-    keyed = docs.withColumn("kept_key", F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)))
-    return keyed.join(kept, "kept_key", "left_semi").dropDuplicates(["kept_key"]).select(*docs.columns)
+    """One row of `docs` per component: that of the smallest key, a null one being smaller than any other.
+
+    Rows link by their texts alone, so rows of a null or repeated key fall
+    together only where their n-grams do. Rows without n-grams all stay.
+    """
+    numbered = docs.select(
+        F.struct(*[F.col(c) for c in docs.columns]).alias("row"),
+        F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("key"),
+        F.xxhash64(F.col(text)).alias("print"),
+        F.monotonically_increasing_id().alias("row_id"),
+    )
+    # Stored, so that each later reading finds the same numbers.
+    numbered = written(numbered)
+    found = near_duplicates(numbered.select("row_id", F.col("row")[text].alias("text")), "row_id", "text")
+    placed = found.select("row_id", "component_id").join(numbered.select("row_id", "key", "print"), "row_id")
+    least = placed.groupBy("component_id").agg(F.min(F.struct("key", "print", "row_id")).alias("least"))
+    kept = least.select(F.col("least.row_id").alias("row_id"))
+    return numbered.join(kept, "row_id", "left_semi").select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def _reach(one: str, two: str) -> Column:

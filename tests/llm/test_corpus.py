@@ -193,6 +193,14 @@ def test_near_duplicates_of_odd_rows(odd_docs):
     assert jaccard.near_duplicates(empty(odd_docs)).count() == 0
 
 
+def test_keep_first_goes_by_texts_where_keys_are_null_or_repeat(spark):
+    text = lambda w: " ".join(f"{w}{i}" for i in range(40))
+    rows = [(None, text("a")), (None, text("b")), (7, text("c")), (7, text("d")), (8, text("b")), (9, text("d")), (9, text("d")), (10, text("e"))]
+    kept = jaccard.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(None, text("a")), (None, text("b")), (7, text("c")), (7, text("d")), (10, text("e"))]
+    assert Counter(map(tuple, kept)) == Counter(want)
+
+
 def test_hot_copies_and_near_copies_make_no_pairs(spark):
     rng = np.random.default_rng(5)
     base = [f"w{i}" for i in range(80)]
