@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from daypanel.sources.spine import TWO_WAY_SPLIT, split_by_mod
 
 # TS_ALL is the sum of the counts, so it is left out of the linear model.
 COLS = [*EVENT_SERIES, "TS_UNITS", "TS_TOP"]
+# Full fits as published: 50 epochs of these layers; 100 rounds of depth 6 are the boosting library's defaults.
+LAYERS, EPOCHS, ROUNDS, DEPTH = (128, 128, 128, 64, 32, 16, 3), 50, 100, 6
 
 
 def _halves(spark: SparkSession, where: str) -> tuple[DataFrame, DataFrame]:
@@ -77,18 +81,18 @@ def random_search(spark: SparkSession, where: str, trials: int = 20) -> DataFram
 
 
 @query("gbt_scores")
-def gbt_scores(spark: SparkSession, where: str) -> DataFrame:
+def gbt_scores(spark: SparkSession, where: str, rounds: int = ROUNDS, depth: int = DEPTH) -> DataFrame:
     train, test = _halves(spark, where)
     weighted = M.positive_weight(train, "labels", 3.0)
-    model = M.fit_gbt(weighted, "labels", COLS, "weight", maxDepth=3, stepSize=0.1, minInfoGain=0.0, maxIter=8, seed=11)
+    model = M.fit_gbt(weighted, "labels", COLS, "weight", maxDepth=depth, stepSize=0.1, minInfoGain=0.0, maxIter=rounds, seed=11)
     train.unpersist()
     return rounded(M.with_probability(model.transform(test)).select("user_id", "labels", "score"))
 
 
 @query("gbt_importance")
-def gbt_importance(spark: SparkSession, where: str) -> DataFrame:
+def gbt_importance(spark: SparkSession, where: str, rounds: int = ROUNDS, depth: int = DEPTH) -> DataFrame:
     train, _ = _halves(spark, where)
-    model = M.fit_gbt(train, "labels", COLS, maxDepth=3, maxIter=5, seed=11)
+    model = M.fit_gbt(train, "labels", COLS, maxDepth=depth, maxIter=rounds, seed=11)
     train.unpersist()
     return rounded(M.importances(model, train, top=20))
 
@@ -106,17 +110,17 @@ def best_fold_model(spark: SparkSession, where: str) -> DataFrame:
 
 
 @query("mlp_scores")
-def mlp_scores(spark: SparkSession, where: str) -> DataFrame:
+def mlp_scores(spark: SparkSession, where: str, layers: Sequence[int] = LAYERS, iterations: int = EPOCHS) -> DataFrame:
     train, test = _halves(spark, where)
-    model = M.fit_mlp(upsample(train, "labels"), "labels", COLS, [8, 3], seed=5, maxIter=20)
+    model = M.fit_mlp(upsample(train, "labels"), "labels", COLS, layers, seed=5, maxIter=iterations)
     train.unpersist()
     return rounded(M.with_probability(model.transform(test)).select("user_id", "labels", "score"))
 
 
 @query("hidden_representation")
-def hidden_representation(spark: SparkSession, where: str) -> DataFrame:
+def hidden_representation(spark: SparkSession, where: str, layers: Sequence[int] = LAYERS, iterations: int = EPOCHS) -> DataFrame:
     train, test = _halves(spark, where)
-    model = M.fit_mlp(train, "labels", COLS, [8, 3], seed=5, maxIter=10)
+    model = M.fit_mlp(train, "labels", COLS, layers, seed=5, maxIter=iterations)
     train.unpersist()
     hidden = M.hidden_representation(model, test, ["user_id", "labels"])
-    return rounded(hidden.select("user_id", "labels", *[F.get("hidden", F.lit(i)).alias(f"h{i}") for i in range(3)]))
+    return rounded(hidden.select("user_id", "labels", *[F.get("hidden", F.lit(i)).alias(f"h{i}") for i in range(layers[-1])]))

@@ -75,3 +75,18 @@ def test_hidden_layer_gives_the_models_output(train):
         raw = hidden[r["id"]] @ last + bias
         p = np.exp(raw - raw.max())
         assert p[1] / p.sum() == pytest.approx(r["score"], abs=1e-6)
+
+
+def test_named_queries_fit_whole_models(monkeypatch, spark, small):
+    from daypanel.plans import model_queries as Q
+
+    fitted = []
+    for name in ("fit_gbt", "fit_mlp"):
+        monkeypatch.setattr(Q.M, name, lambda *a, f=getattr(M, name), **b: fitted.append(f(*a, **b)) or fitted[-1])
+    Q.gbt_scores(spark, small)
+    Q.mlp_scores(spark, small)
+    trees, net = (m.stages[-1] for m in fitted)
+    assert trees.getNumTrees == 100 and trees.getOrDefault("maxDepth") == 6
+    assert list(net.getLayers()[1:-1]) == [128, 128, 128, 64, 32, 16, 3] and net.getOrDefault("maxIter") == 50
+    assert Q.gbt_importance(spark, small, rounds=2, depth=2).count() > 0
+    assert Q.hidden_representation(spark, small, layers=[4, 2], iterations=3).columns == ["user_id", "labels", "h0", "h1"]
