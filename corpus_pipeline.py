@@ -15,7 +15,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, where: str) -> DataFrame:
-    """Documents in some language; what has no letter at all goes.
+    """Documents in some language, with the predicted one as `lang` where it is null; what has no letter at all goes.
 
     The model learns from the documents' own labels; without labels, nothing is
     identified and only letters decide. Null texts go, all columns stay.
@@ -24,7 +24,7 @@ def language_id(spark: SparkSession, docs: DataFrame, where: str) -> DataFrame:
     if not model["languages"]:
         return docs.filter(language.has_letter(F.col("text"))).select(*COLUMNS)
     found = language.identify(docs, model)
-    return found.filter(F.col("lang_pred") != language.UNKNOWN).select(*COLUMNS)
+    return found.filter(F.col("lang_pred") != language.UNKNOWN).withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, where: str) -> DataFrame:

@@ -270,6 +270,17 @@ def test_language_held_out_accuracy_and_mixtures(spark, medium):
     assert set(shares) == {one, two} and 0.55 < shares[one] < 0.78 and abs(sum(shares.values()) - 1) < 1e-9
 
 
+def test_pipeline_writes_the_predicted_language_where_it_is_null(spark, small):
+    import corpus_pipeline as pipeline
+
+    docs = load(spark, small, "documents")
+    hidden = docs.withColumn("lang", F.when(~held_out("doc_id"), F.col("lang")))
+    rows = {r["doc_id"]: r["lang"] for r in pipeline.language_id(spark, hidden, small).collect()}
+    before = {r["doc_id"]: r["lang"] for r in hidden.collect() if r["doc_id"] in rows}
+    assert None in before.values() and all(rows.values())
+    assert all(rows[i] == v for i, v in before.items() if v is not None)
+
+
 def test_language_of_odd_rows(spark, odd_docs):
     labelled = spark.createDataFrame(
         [(1, "the cat and the dog", "en"), (2, "le chat et le chien", "fr"), (3, None, "de"), (4, "x", None)], "doc_id long, text string, lang string"
