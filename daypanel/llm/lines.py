@@ -82,8 +82,8 @@ def drop_repeated_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text
         F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("key"), F.xxhash64(F.col(text)).alias("print"), F.col(text).alias("text")
     )
     found = with_chunks(own, "text").select("key", "print", "lines", F.explode(F.filter("chunks", _removable)).alias("chunk"))
-    # Documents in order of their keys, lines in order inside them: one number for the place of a chunk.
-    place = F.col("key").cast("decimal(20,0)") * F.lit(10**9).cast("decimal(10,0)") + F.col("chunk.start").cast("decimal(10,0)")
+    # Documents in order of their keys, texts and lines in order inside them: different rows are never one place.
+    place = F.struct(F.col("key"), F.col("print"), F.col("chunk.start").alias("start"))
     placed = found.select("key", "print", place.alias("place"), "chunk.start", "chunk.size", _text_of(F.col("chunk")).alias("bytes"))
     repeated = (
         placed.groupBy("bytes")

@@ -363,6 +363,13 @@ def test_passages_in_differing_contexts_go_whole(spark, monkeypatch, share):
         assert [x for x in got[d]["text"].split("\n") if x[:1] == "c"] == [x for x in own if x[:1] == "c"]
 
 
+def test_chunks_at_one_line_of_different_rows_of_a_key_go(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(k, f"{passage}\n{k} {w}") for k in (None, 7) for w in ("own", "other")]
+    got = lines.drop_repeated_chunks(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(passage in r["text"] for r in got) == 1 and sum(r["lines_removed"] for r in got) == 3
+
+
 def test_passages_keep_their_first_place(spark):
     same = "\n".join(["a line that comes again and again, of ten words"] * 30)
     df = spark.createDataFrame([(1, same), (2, same + "\nthe end")], "doc_id long, text string")
