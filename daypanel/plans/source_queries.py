@@ -27,6 +27,14 @@ def csv_round_trip(spark: SparkSession, where: str) -> DataFrame:
     return T.read_csv(spark, path, "c_custkey bigint, c_name string, c_acctbal double")
 
 
+@query("csv_round_trip_whole", "SELECT c_custkey, c_name, c_acctbal FROM customer")
+def csv_round_trip_whole(spark: SparkSession, where: str) -> DataFrame:
+    """The whole table; `csv_round_trip` is the split-filtered scan, as its SQL fixes it."""
+    customer = T.load(spark, where, "customer").select("c_custkey", "c_name", "c_acctbal")
+    path = T.save_csv(customer, _folder(spark, "csv"))
+    return T.read_csv(spark, path, "c_custkey bigint, c_name string, c_acctbal double")
+
+
 @query(
     "parquet_overwrite",
     "SELECT c_custkey, c_acctbal * 2 AS doubled FROM customer",
