@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daypanel.llm import bpe, chat, exact, jaccard, language, lines, packing, shards, vectors, warc
+from daypanel.llm import bpe, chat, exact, jaccard, language, lines, packing, shards, tokens, vectors, warc
 from daypanel.sources.tables import load, shared_folder
 
 SHARDS = 24
@@ -167,6 +167,14 @@ SELECT n.doc_id, g.keep_id, g.group_size::BIGINT AS group_size, n.doc_id = g.kee
 FROM normal n JOIN grouped g ON g.t = n.t
 """
 
+
+def op13_token_counts(spark: SparkSession, where: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = load(spark, where, "documents")
+    return tokens.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -181,6 +189,7 @@ QUERIES = {
         op8_near_vectors,
         op9_sharding,
         op10_exact_dedup,
+        op13_token_counts,
     )
 }
 
