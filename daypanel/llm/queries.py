@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daypanel.llm import bpe, chat, exact, jaccard, language, lines, packing, shards, tokens, vectors, warc
+from daypanel.llm import bpe, chat, exact, jaccard, language, lines, negatives, packing, shards, tokens, vectors, warc, whitening
 from daypanel.sources.tables import load, shared_folder
 
 SHARDS = 24
@@ -168,6 +168,60 @@ FROM normal n JOIN grouped g ON g.t = n.t
 """
 
 
+def finite(vector: str):
+    """Whether a vector is not null and holds neither nulls nor anything that isn't finite."""
+    return F.coalesce(F.forall(vector, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))), F.lit(False))
+
+
+def op11_hard_negatives(spark: SparkSession, where: str) -> DataFrame:
+    table = load(spark, where, "embeddings").filter(finite("embedding"))
+    rows = table.select(
+        "vec_id",
+        F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"),
+        F.transform("embedding", lambda c: F.floor(c.cast("double") * 256).cast("long")).alias("vector"),
+    )
+    return negatives.mine_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
+OP11_SQL = """
+WITH whole AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda c: c IS NOT NULL AND isfinite(c))) = len(embedding)),
+scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS alike, list_dot_product(a.v, b.v)::BIGINT AS score
+  FROM whole a JOIN whole b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+positive AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score FROM scored WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT p.anchor_id, p.positive_id, s.other AS negative_id, p.positive_score, s.score AS negative_score,
+       row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.other)::INT AS rank
+FROM positive p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.alike
+WHERE 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score
+QUALIFY rank <= 10
+"""
+
+
+def op12_whitening(spark: SparkSession, where: str) -> DataFrame:
+    table = load(spark, where, "embeddings").filter(finite("embedding"))
+    fixed = table.select("vec_id", F.transform("embedding", lambda c: F.floor(c.cast("double") * 64) + 1_000_000).alias("vector"))
+    model, fit = whitening.fit_whitening(fixed, components=16)
+    error = whitening.identity_error(fit, model)
+    explained = F.array(*[F.lit(float(e)) for e in model.explained]).cast("array<double>")
+    coordinates = whitening.whiten(fixed, model).select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    return coordinates.select(
+        "vec_id",
+        (F.col("at") + 1).alias("component"),
+        F.lit(model.n).cast("long").alias("n"),
+        "deviation",
+        "whitened",
+        F.get(explained, "at").alias("explained"),
+        F.lit(error).alias("identity_error"),
+    )
+
+
 def op13_token_counts(spark: SparkSession, where: str) -> DataFrame:
     import public_tokenizers
 
@@ -189,6 +243,8 @@ QUERIES = {
         op8_near_vectors,
         op9_sharding,
         op10_exact_dedup,
+        op11_hard_negatives,
+        op12_whitening,
         op13_token_counts,
     )
 }
@@ -199,4 +255,5 @@ TWINS = {
     "op6_line_dedup": lines.SQL,
     "op8_near_vectors": OP8_SQL,
     "op10_exact_dedup": OP10_SQL,
+    "op11_hard_negatives": OP11_SQL,
 }
