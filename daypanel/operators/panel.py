@@ -13,9 +13,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from daypanel.functions.columns import Expr, add_measures, to_column
 from daypanel.functions.series import let
+from daypanel.operators.intervals import covered, exact_type, interval_deltas, measure_types, plain_type, running_totals
 from daypanel.sources.spine import as_date, day_count
 
 
@@ -45,13 +47,8 @@ def expand_intervals(
     the last one out. Clipping happens before the rows are made, and no join
     with the calendar is needed.
     """
-    if closed not in ("both", "left"):
-        raise ValueError("closed is 'both' or 'left'")
-    first = to_column(start).cast("date")
-    length = to_column(days).cast("int") - (0 if closed == "both" else 1)
-    last = F.date_add(first, length)
-    clipped = F.sequence(F.greatest(first, as_date(lo)), F.least(last, as_date(hi)), F.expr("interval 1 day"))
-    overlaps = (last >= first) & (last >= as_date(lo)) & (first <= as_date(hi))
+    first, last, overlaps = covered(start, days, lo, hi, closed)
+    clipped = F.sequence(first, last, F.expr("interval 1 day"))
     return add_measures(df.where(overlaps), measures).select(
         id, F.explode(clipped).alias("date"), *measures.keys()
     )
@@ -80,13 +77,14 @@ def combine_daily(
 
 
 def fill_days(
-    daily: DataFrame, id: str, date: str, measures: Sequence[str], start: str, end: str, fill=0
+    daily: DataFrame, id: str, date: str, measures: Sequence[str], start: str, end: str, fill=0, running: Sequence[str] = ()
 ) -> DataFrame:
     """Per id, an array `days` of structs, one for every day from start to end.
 
     Every id of `daily` appears, also when none of its days is in the window.
     `daily` must hold one row per (id, date), so the collected list is bounded
-    by the window.
+    by the window. Measures in `running` are differences: each day gets their
+    sum over the days up to it.
     """
     n = day_count(start, end)
     types = {f.name: f.dataType for f in daily.schema.fields}
@@ -98,16 +96,24 @@ def fill_days(
     )
     sparse = daily.groupBy(id).agg(F.sort_array(F.collect_list(F.when(in_window, present))).alias("seen"))
 
-    empty = F.struct(F.lit(0).alias("day"), *[F.lit(fill).cast(types[m]).alias(m) for m in measures])
+    if running:
+        ran = running_totals(F.col("seen"), ["day"], measures, running, types)
+        sparse = sparse.select(id, ran.alias("seen"))
+
+    def empty(before: Column) -> Column:
+        """A day without rows, after the entry `before`."""
+        held = {m: F.lit(fill).cast(types[m]) for m in measures}
+        held |= {m: F.coalesce(before[m], F.lit(0).cast(types[m])) for m in running}
+        return F.struct(F.lit(0).alias("day"), *[held[m].alias(m) for m in measures])
 
     def with_gap(entry: Column, i: Column) -> Column:
-        before = F.coalesce(F.get(F.col("seen"), i - 1)["day"], F.lit(-1))
-        return F.concat(F.array_repeat(empty, entry["day"] - before - 1), F.array(entry))
+        before = F.get(F.col("seen"), i - 1)
+        return F.concat(F.array_repeat(empty(before), entry["day"] - F.coalesce(before["day"], F.lit(-1)) - 1), F.array(entry))
 
-    last = F.coalesce(F.get(F.col("seen"), F.size("seen") - 1)["day"], F.lit(-1))
+    last = F.get(F.col("seen"), F.size("seen") - 1)
     filled = F.concat(
         F.flatten(F.transform("seen", with_gap)),
-        F.array_repeat(empty, F.lit(n - 1) - last),
+        F.array_repeat(empty(last), F.lit(n - 1) - F.coalesce(last["day"], F.lit(-1))),
     )
     return sparse.select(id, filled.alias("days"))
 
@@ -125,10 +131,10 @@ def densify(
 
 
 def to_panel(
-    daily: DataFrame, id: str, date: str, measures: Sequence[str], start: str, end: str, fill=0
+    daily: DataFrame, id: str, date: str, measures: Sequence[str], start: str, end: str, fill=0, running: Sequence[str] = ()
 ) -> DataFrame:
-    """One row per id, one array per measure, one element per day."""
-    filled = fill_days(daily, id, date, measures, start, end, fill)
+    """One row per id, one array per measure, one element per day; `running` as in `fill_days`."""
+    filled = fill_days(daily, id, date, measures, start, end, fill, running)
     return filled.select(id, *[F.col(f"days.{m}").alias(m) for m in measures])
 
 
@@ -138,11 +144,12 @@ def collect_series(long: DataFrame, id: str, date: str, measures: Sequence[str])
     return long.groupBy(id).agg(at.alias("at")).select(id, *[F.col(f"at.{m}").alias(m) for m in measures])
 
 
-def carry_maximum(panel: DataFrame, cols: Sequence[str]) -> DataFrame:
+def carry_maximum(panel: DataFrame, cols: Sequence[str], days: int | None = None) -> DataFrame:
     """Replace each array by its running maximum over the days.
 
     After the step of width w each element is the maximum of the last 2w; steps
     wider than the array are passed over, so n days cost n log n comparisons.
+    `days`, the most elements that an array has, keeps the plan short.
     """
 
     def widened(xs: Column, width: int) -> Column:
@@ -153,7 +160,8 @@ def carry_maximum(panel: DataFrame, cols: Sequence[str]) -> DataFrame:
 
     def running(name: str) -> Column:
         # An array holds fewer than 2**31 elements.
-        return reduce(widened, [1 << k for k in range(31)], F.col(name)).alias(name)
+        widths = 31 if days is None else max(days - 1, 0).bit_length()
+        return reduce(widened, [1 << k for k in range(widths)], F.col(name)).alias(name)
 
     return panel.select(*[running(c) if c in cols else F.col(c) for c in panel.columns])
 
@@ -215,8 +223,13 @@ def build_panel(
     span_days: Expr | None = None,
     carried: Sequence[str] = (),
     closed: str = "both",
+    expand: bool = False,
 ) -> DataFrame:
-    """Event lines to panel in one call: point measures plus interval measures."""
+    """Event lines to panel in one call: point measures plus interval measures.
+
+    Intervals go through the shuffle as differences, two rows each, unless
+    `expand` makes a row of every covered day.
+    """
     maxes, spans = dict(maxes or {}), dict(spans or {})
     day = to_column(date).cast("date")
     # Days outside the window only prove that the id exists: one row per id is enough.
@@ -225,11 +238,16 @@ def build_panel(
         F.when(day.between(as_date(start), as_date(end)), day).alias("date"),
         *[to_column(v).alias(k) for k, v in {**sums, **maxes}.items()],
     )
-    wide = None
+    wide, running, types = None, [], {}
     if spans:
         chosen = df.where(to_column(span_filter)) if span_filter is not None else df
-        wide = expand_intervals(chosen, id, day, span_days, spans, start, end, closed)
+        make = expand_intervals if expand else interval_deltas
+        wide = make(chosen, id, day, span_days, spans, start, end, closed)
+        if not expand:
+            running, types = [*spans], measure_types(chosen, spans)
     measures = [*sums, *maxes, *spans]
     daily = combine_daily(points, wide, id, sums=[*sums, *spans], maxes=list(maxes))
-    panel = to_panel(daily, id, "date", measures, start, end)
-    return carry_maximum(panel, carried) if carried else panel
+    daily = daily.withColumns({m: F.col(m).cast(exact_type(types[m])) for m in running})
+    panel = to_panel(daily, id, "date", measures, start, end, running=running)
+    panel = panel.withColumns({m: F.col(m).cast(T.ArrayType(plain_type(types[m]))) for m in running})
+    return carry_maximum(panel, carried, day_count(start, end)) if carried else panel

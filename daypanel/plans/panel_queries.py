@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from daypanel.functions.columns import add_measures, narrow_arrays, yes
 from daypanel.operators import panel as P
 from daypanel.operators.features import pivot_long
+from daypanel.operators.intervals import interval_days
 from daypanel.plans.registry import query, r, rounded
 from daypanel.plans.standins import (
     DENSE,
@@ -90,6 +91,38 @@ def interval_expand_daily(spark: SparkSession, where: str) -> DataFrame:
     return rounded(P.interval_totals(_spread(spark, where), "user_id", ["active", "rate"]))
 
 
+@query(
+    "interval_difference_daily",
+    f"WITH {EV}, {SPINE}, {EXPANDED} SELECT user_id, date, active, round(rate, 6) + 0.0 AS rate FROM spread",
+)
+def interval_difference_daily(spark: SparkSession, where: str) -> DataFrame:
+    fills = events(spark, where).where(F.col("event_type") == "purchase")
+    measures = {"active": F.lit(1), "rate": spend_rate()}
+    return rounded(interval_days(fills, "user_id", "date", days_supply(), measures, START, END))
+
+
+@query(
+    "interval_difference_panel",
+    f"""WITH {DENSE}, {EXPANDED} SELECT user_id, CAST(date - DATE '{START}' AS INTEGER) AS time, TS_CLMLINES_VIEW AS views,
+      CAST(coalesce(active, 0) AS BIGINT) AS active, round(coalesce(rate, 0), 6) + 0.0 AS rate
+    FROM dense LEFT JOIN spread USING (user_id, date)""",
+)
+def interval_difference_panel(spark: SparkSession, where: str) -> DataFrame:
+    panel = P.build_panel(
+        events(spark, where),
+        "user_id",
+        "date",
+        START,
+        END,
+        sums={"views": yes(F.col("event_type") == "view")},
+        spans={"active": F.lit(1), "rate": spend_rate()},
+        span_filter=F.col("event_type") == "purchase",
+        span_days=days_supply(),
+    )
+    days = panel.select("user_id", F.posexplode(F.arrays_zip("views", "active", "rate")).alias("time", "at"))
+    return rounded(days.select("user_id", "time", "at.views", "at.active", "at.rate"))
+
+
 @query(
     "long_daily_panel",
     f"""WITH {DENSE}, {EXPANDED}
