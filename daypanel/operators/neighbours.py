@@ -1,13 +1,14 @@
 """Exact k nearest neighbours within one table.
 
-The usual all-pairs form is avoided in four ways:
+The usual all-pairs form is avoided in five ways:
 
 * equal vectors are answered once, and only their k + 1 smallest ids are
   candidates, so a large group of copies costs what one vector costs;
-* candidates are kept in cells around pivot vectors, and a vector is sent only
-  to the cells that the triangle inequality cannot rule out;
-* large cells, and large sets of vectors sent to a cell, are cut into blocks of
-  bounded size by a hash of the id;
+* a tree of pivots deals the candidates to leaves, with few distances each;
+* a vector is first compared in its own leaf, then only with leaves that may
+  hold something nearer than the k + 1 best found there;
+* leaves, and sets of vectors sent to one, are cut into blocks of bounded size
+  by a hash of the id, and two blocks of one leaf meet once for both;
 * each block returns its k + 1 best candidates per vector, never its pairs.
 
 The result is exact: pruning uses true bounds and nothing is capped. In very
@@ -25,15 +26,24 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from daypanel.operators.pivot_tree import PivotTree, distances
 from daypanel.sources.tables import cut_lineage
 
 BLOCK_ROWS = 4096
-MAX_PIVOTS = 1024
-MIN_PIVOTS = 16
+#: Vectors per leaf that are aimed at, and most leaves; beyond that leaves grow and are cut into more blocks.
+LEAF_ROWS, MAX_LEAVES = 1024, 16_384
+#: Vectors that the tree is fitted on, about. Any sample gives the same neighbours.
+SAMPLE = 65_536
 
 
 def nearest(
-    df: DataFrame, id: str, vector: str, k: int, carry: Sequence[str] = (), block_rows: int = BLOCK_ROWS
+    df: DataFrame,
+    id: str,
+    vector: str,
+    k: int,
+    carry: Sequence[str] = (),
+    block_rows: int = BLOCK_ROWS,
+    leaf_rows: int = LEAF_ROWS,
 ) -> DataFrame:
     """(id, neighbour, distance, place, neighbour_<carried>), `place` 1..k.
 
@@ -43,181 +53,185 @@ def nearest(
     rows = df.select(
         F.col(id).alias("id"), F.col(vector).cast("array<double>").alias("vector"), *carry
     )
+    heads = distinct_heads(rows, k)
+    if heads.isEmpty():
+        return _result(rows, heads, None, k, carry)
+    placed, tree = plant(heads, leaf_rows)
+    first = cut_lineage(_within_leaves(placed, tree, k, carry, block_rows))
+    sent = cut_lineage(visits(placed, _best(first, k, carry), tree, k))
+    further = _search_blocks(placed, sent, tree, k, carry, block_rows)
+    return _result(rows, heads, _best(first.unionByName(further), k, carry), k, carry)
+
+
+def distinct_heads(rows: DataFrame, k: int) -> DataFrame:
+    """Of equal vectors the k + 1 rows with the smallest ids, numbered by `copy`."""
     # The hash comes first so that sorting seldom compares whole vectors. The limit
     # on `copy` is applied before the exchange, so copies do not pile up in a task.
     copies = Window.partitionBy("hash", "vector").orderBy("id")
     hashed = rows.withColumn("hash", F.xxhash64("vector"))
-    heads = hashed.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1).drop("hash")
-    heads = cut_lineage(heads)
-    distinct = heads.where(F.col("copy") == 1).count()
-    if distinct == 0:
-        return _result(rows, heads, None, k, carry)
+    return cut_lineage(hashed.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1).drop("hash"))
 
-    pivots = _pivots(heads, min(MAX_PIVOTS, max(MIN_PIVOTS, math.ceil(distinct / block_rows)), distinct))
-    placed = cut_lineage(_place(heads, pivots))
-    cells = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("own").alias("radius")).collect()
-    sizes = np.zeros(len(pivots), dtype=np.int64)
-    radii = np.zeros(len(pivots))
-    for row in cells:
-        sizes[row["cell"]], radii[row["cell"]] = row["n"], row["radius"]
-
-    sent = _send(placed.where(F.col("copy") == 1), pivots, sizes, radii, k)
-    sent = cut_lineage(sent)
-    asked = {r["cell"]: r["n"] for r in sent.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    best = _search_blocks(placed, sent, sizes, asked, k, carry, block_rows)
-    lists = best.groupBy("query").agg(
-        F.slice(F.sort_array(F.collect_list(F.struct("distance", "neighbour", *carry))), 1, k + 1).alias("near")
-    )
-    return _result(rows, heads, lists, k, carry)
-
-
-def _pivots(heads: DataFrame, count: int) -> np.ndarray:
-    """`count` distinct vectors, chosen by a hash of their id."""
-    firsts = heads.where(F.col("copy") == 1).select("id", "vector")
-    chosen = firsts.orderBy(F.xxhash64("id"), "id").limit(count).collect()
-    return np.array([r["vector"] for r in chosen], dtype=float)
 
+def plant(heads: DataFrame, leaf_rows: int = LEAF_ROWS) -> tuple[DataFrame, PivotTree]:
+    """`heads` with the `path` to their leaves and the distances `far` to its pivots, and the tree with its counts and radii."""
+    firsts = heads.where(F.col("copy") == 1)
+    distinct = firsts.count()
+    share = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < math.ceil(min(1.0, SAMPLE / distinct) * (1 << 30))
+    chosen = firsts.where(share).orderBy(F.xxhash64("id"), "id").select("vector").toPandas()["vector"]
+    sample = _matrix(chosen if len(chosen) else firsts.select("vector").limit(1).toPandas()["vector"])
+    tree = PivotTree(sample, max(1, min(MAX_LEAVES, math.ceil(distinct / leaf_rows))))
+    sent = heads.sparkSession.sparkContext.broadcast(tree)
 
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean distances, in slices of `a` that keep temporaries small.
+    def place(batches):
+        for batch in batches:
+            if len(batch):
+                paths, far = sent.value.place(_matrix(batch["vector"]))
+                yield batch.assign(path=paths, far=far, leaf=np.array([p[-1] if p else 0 for p in paths], np.int32))
 
-    The squares are summed one dimension after the other: every machine adds in
-    the same order, and d(a, b) equals d(b, a) to the last bit. Equal distances
-    are then ordered by id.
-    """
-    step = max(1, 4_000_000 // max(1, len(b)))
-    out = np.empty((len(a), len(b)))
-    for i in range(0, len(a), step):
-        total = np.zeros((len(a[i : i + step]), len(b)))
-        for d in range(a.shape[1]):
-            gap = a[i : i + step, d, None] - b[None, :, d]
-            total += gap * gap
-        out[i : i + step] = np.sqrt(total)
-    return out
+    placed = cut_lineage(heads.mapInPandas(place, f"{_ddl(heads)}, path array<int>, far array<double>, leaf int"))
+    steps = placed.select(F.inline(F.arrays_zip("path", "far")))
+    nodes = steps.groupBy("path").agg(F.count("*").alias("n"), F.max("far").alias("radius")).collect()
+    tree.measure({r["path"]: (r["n"], r["radius"]) for r in nodes}, placed.count())
+    return placed, tree
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=float) for v in vectors])
 
 
-def _place(heads: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """Add the nearest pivot (`cell`) and the distance to it (`own`)."""
+def _blocks(tree: PivotTree, spark, asked: dict[int, int] | None, block_rows: int) -> DataFrame:
+    """(leaf, chunks, parts): blocks of the candidates of each leaf and of the vectors asked there; a row per leaf."""
+    n = lambda rows: max(1, math.ceil(rows / block_rows))
+    leaves = np.flatnonzero((tree.children == 0) & (tree.counts > 0)).tolist()
+    rows = [(leaf, n(int(tree.counts[leaf])), n(asked.get(leaf, 0) if asked else 0)) for leaf in leaves if asked is None or leaf in asked]
+    return F.broadcast(spark.createDataFrame(rows, "leaf int, chunks int, parts int"))
+
+
+def _nearest_of(ids: np.ndarray, vectors: np.ndarray, block: pd.DataFrame, k: int, carry: Sequence[str], limit: np.ndarray | None = None) -> pd.DataFrame:
+    """The k + 1 best of `block`, which is ordered by id, for each id; with a limit only those within it."""
+    other = _matrix(block["vector"])
+    keep, found = min(k + 1, len(block)), []
+    for i in range(0, len(ids), 512):
+        d = distances(vectors[i : i + 512], other)
+        # Stable sort on distance over rows ordered by id: ties go to the smaller id.
+        best = d.argsort(axis=1, kind="stable")[:, :keep]
+        near = np.take_along_axis(d, best, axis=1)
+        kept = np.ones(near.shape, bool) if limit is None else near <= limit[i : i + 512, None]
+        flat = best[kept]
+        found.append(
+            pd.DataFrame(
+                {
+                    "query": np.repeat(ids[i : i + 512], kept.sum(axis=1)),
+                    "distance": near[kept],
+                    "neighbour": block["id"].to_numpy()[flat],
+                    **{c: block[c].to_numpy()[flat] for c in carry},
+                }
+            )
+        )
+    return pd.concat(found, ignore_index=True) if found else _none(carry)
 
-    def place(batches):
-        for batch in batches:
-            if len(batch):
-                d = _distances(_matrix(batch["vector"]), pivots)
-                cell = d.argmin(axis=1)
-                yield batch.assign(cell=cell.astype("int32"), own=d[np.arange(len(d)), cell])
 
-    return heads.mapInPandas(place, f"{_ddl(heads)}, cell int, own double")
+def _none(carry: Sequence[str]) -> pd.DataFrame:
+    return pd.DataFrame(columns=["query", "distance", "neighbour", *carry])
+
 
+def _found_ddl(placed: DataFrame, carry: Sequence[str]) -> str:
+    kind = placed.schema["id"].dataType.simpleString()
+    return f"query {kind}, distance double, neighbour {kind}" + "".join(f", {c} {placed.schema[c].dataType.simpleString()}" for c in carry)
+
+
+def _within_leaves(placed: DataFrame, tree: PivotTree, k: int, carry: Sequence[str], block_rows: int) -> DataFrame:
+    """(query, distance, neighbour, carried): the k + 1 best of every block of the vector's own leaf."""
+    plan = _blocks(tree, placed.sparkSession, None, block_rows).drop("parts")
+    chunk = F.pmod(F.xxhash64("id"), "chunks").cast("int")
+    dealt = placed.join(plan, "leaf").withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    met = dealt.select(
+        "leaf", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "id", "vector", "copy", *carry
+    )
+
+    def search(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("id", kind="stable")
+        i, j = frame["i"].iloc[0], frame["j"].iloc[0]
+        one, two = frame[frame["chunk"] == i], frame[frame["chunk"] == j]
+        sides = [(one, two)] if i == j else [(one, two), (two, one)]
+        out = []
+        for asking, asked in sides:
+            asking = asking[asking["copy"] == 1]
+            if len(asking) and len(asked):
+                out.append(_nearest_of(asking["id"].to_numpy(), _matrix(asking["vector"]), asked, k, carry))
+        return pd.concat(out, ignore_index=True) if out else _none(carry)
 
-def _send(queries: DataFrame, pivots: np.ndarray, sizes: np.ndarray, radii: np.ndarray, k: int) -> DataFrame:
-    """(query, vector, cell): the cells that may hold one of the k + 1 nearest."""
-    between = _distances(pivots, pivots)
-    total = int(sizes.sum())
+    return met.groupBy("leaf", "i", "j").applyInPandas(search, _found_ddl(placed, carry))
+
+
+def _best(found: DataFrame, k: int, carry: Sequence[str]) -> DataFrame:
+    """(query, near): the k + 1 best candidates found for each vector, in order."""
+    near = F.slice(F.sort_array(F.collect_list(F.struct("distance", "neighbour", *carry))), 1, k + 1)
+    return found.groupBy("query").agg(near.alias("near"))
+
+
+def visits(placed: DataFrame, first: DataFrame, tree: PivotTree, k: int) -> DataFrame:
+    """(query, vector, limit, leaf): the leaves besides its own that may hold one of a vector's k + 1 nearest.
+
+    `limit` is the distance of the last of the k + 1 found so far, or, with
+    fewer, a radius that holds as many.
+    """
+    sent = placed.sparkSession.sparkContext.broadcast(tree)
+    kind = placed.schema["id"].dataType.simpleString()
+    last = first.select("query", F.get("near", F.lit(k))["distance"].alias("found"))
+    firsts = placed.where(F.col("copy") == 1).select("id", "vector", "path", "far", "leaf")
+    asking = firsts.join(last, firsts["id"] == last["query"], "left").select("id", "vector", "path", "far", "leaf", "found")
 
     def send(batches):
         for batch in batches:
             if not len(batch):
                 continue
-            d = _distances(_matrix(batch["vector"]), pivots)
-            own_cell = batch["cell"].to_numpy()
-            own = d[np.arange(len(d)), own_cell]
-            # Every candidate of a cell is at most `far` away: the nearest cells
-            # that together hold k + 1 candidates bound the search radius.
-            far = np.where(sizes > 0, d + radii, np.inf)
-            order = far.argsort(axis=1)
-            enough = sizes[order].cumsum(axis=1) >= min(k + 1, total)
-            reach = far[np.arange(len(d)), order[np.arange(len(d)), enough.argmax(axis=1)]]
-            apart = between[own_cell]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                beyond = np.where(apart > 0, (d**2 - own[:, None] ** 2) / (2 * apart), 0.0)
-            least = np.maximum(d - radii, beyond)
-            wanted = (least <= reach[:, None] * (1 + 1e-9) + 1e-9) & (sizes > 0)
+            known = sent.value
+            bound = np.array([known.reach(list(p), list(f), k + 1) for p, f in zip(batch["path"], batch["far"], strict=True)])
+            limit = np.fmin(batch["found"].to_numpy(float), bound)
+            row, leaf = known.visits(_matrix(batch["vector"]), limit)
+            other = leaf != batch["leaf"].to_numpy()[row]
+            order = np.argsort(row[other], kind="stable")
+            row, leaf = row[other][order], leaf[other][order]
+            edges = np.searchsorted(row, np.arange(len(batch) + 1))
             yield pd.DataFrame(
                 {
                     "query": batch["id"],
                     "vector": batch["vector"],
-                    "cells": [np.flatnonzero(w).astype("int32") for w in wanted],
+                    "limit": limit,
+                    "leaves": [leaf[a:b].astype("int32") for a, b in zip(edges[:-1], edges[1:], strict=True)],
                 }
             )
 
-    kind = queries.schema["id"].dataType.simpleString()
-    mapped = queries.select("id", "vector", "cell").mapInPandas(
-        send, f"query {kind}, vector array<double>, cells array<int>"
-    )
-    return mapped.select("query", "vector", F.explode("cells").alias("cell"))
+    mapped = asking.mapInPandas(send, f"query {kind}, vector array<double>, limit double, leaves array<int>")
+    return mapped.select("query", "vector", "limit", F.explode("leaves").alias("leaf"))
 
 
-def _search_blocks(
-    placed: DataFrame,
-    sent: DataFrame,
-    sizes: np.ndarray,
-    asked: dict[int, int],
-    k: int,
-    carry: Sequence[str],
-    block_rows: int,
-) -> DataFrame:
-    """(query, distance, neighbour, carried): the k + 1 best of each block."""
-    spark = placed.sparkSession
-    plan = spark.createDataFrame(
-        [
-            (cell, max(1, math.ceil(int(sizes[cell]) / block_rows)), max(1, math.ceil(n / block_rows)))
-            for cell, n in asked.items()
-        ],
-        "cell int, chunks int, parts int",
-    )
-    small = F.broadcast(plan)  # one row per pivot, at most MAX_PIVOTS
+def _search_blocks(placed: DataFrame, sent: DataFrame, tree: PivotTree, k: int, carry: Sequence[str], block_rows: int) -> DataFrame:
+    """(query, distance, neighbour, carried): the best of each block of the leaves that are visited, within the limit."""
+    asked = {r["leaf"]: r["n"] for r in sent.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
+    plan = _blocks(tree, placed.sparkSession, asked, block_rows)
     candidates = (
-        placed.join(small, "cell")
+        placed.join(plan, "leaf")
         .withColumn("chunk", F.pmod(F.xxhash64("id"), "chunks").cast("int"))
         .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("cell", "chunk", "part", "id", "vector", *carry)
+        .select("leaf", "chunk", "part", "id", "vector", *carry)
     )
     asking = (
-        sent.join(small, "cell")
+        sent.join(plan, "leaf")
         .withColumn("part", F.pmod(F.xxhash64("query"), "parts").cast("int"))
         .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .select("cell", "chunk", "part", "query", "vector")
+        .select("leaf", "chunk", "part", "query", "vector", "limit")
     )
-    carried = list(carry)
 
     def search(queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(block):
-            return pd.DataFrame(columns=["query", "distance", "neighbour", *carried])
+            return _none(carry)
         block = block.sort_values("id", kind="stable").reset_index(drop=True)
-        found = []
-        other = _matrix(block["vector"])
-        ids = queries["query"].to_numpy()
-        vectors = _matrix(queries["vector"])
-        keep = min(k + 1, len(block))
-        for i in range(0, len(ids), 512):
-            d = _distances(vectors[i : i + 512], other)
-            # Stable sort on distance over rows ordered by id: ties go to the smaller id.
-            best = d.argsort(axis=1, kind="stable")[:, :keep]
-            flat = best.ravel()
-            found.append(
-                pd.DataFrame(
-                    {
-                        "query": np.repeat(ids[i : i + 512], keep),
-                        "distance": np.take_along_axis(d, best, axis=1).ravel(),
-                        "neighbour": block["id"].to_numpy()[flat],
-                        **{c: block[c].to_numpy()[flat] for c in carried},
-                    }
-                )
-            )
-        return pd.concat(found, ignore_index=True)
+        return _nearest_of(queries["query"].to_numpy(), _matrix(queries["vector"]), block, k, carry, queries["limit"].to_numpy())
 
-    kind = placed.schema["id"].dataType.simpleString()
-    extra = "".join(f", {c} {placed.schema[c].dataType.simpleString()}" for c in carried)
-    key = ["cell", "chunk", "part"]
-    return (
-        asking.groupBy(*key)
-        .cogroup(candidates.groupBy(*key))
-        .applyInPandas(search, f"query {kind}, distance double, neighbour {kind}{extra}")
-    )
+    key = ["leaf", "chunk", "part"]
+    return asking.groupBy(*key).cogroup(candidates.groupBy(*key)).applyInPandas(search, _found_ddl(placed, carry))
 
 
 def _result(rows: DataFrame, heads: DataFrame, lists: DataFrame | None, k: int, carry: Sequence[str]) -> DataFrame:

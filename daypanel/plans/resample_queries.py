@@ -19,6 +19,12 @@ near AS MATERIALIZED (SELECT a.vec_id AS id, b.vec_id AS neighbour, a.label AS l
   row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.e, b.e), b.vec_id) AS place
   FROM v a JOIN v b ON a.vec_id <> b.vec_id)"""
 
+# The nearest other vector of each, without a window over all pairs: the least of (distance, id).
+_FIRST = """v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, CASE WHEN label = 9 THEN 1 ELSE 0 END AS label FROM embeddings),
+first AS MATERIALIZED (SELECT a.vec_id AS id, any_value(a.label) AS label,
+  arg_min(b.vec_id, {'d': list_distance(a.e, b.e), 'i': b.vec_id}) AS neighbour
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id GROUP BY a.vec_id)"""
+
 
 @query("class_counts", "SELECT toxic, count(*) AS n FROM labels GROUP BY toxic")
 def class_counts(spark: SparkSession, where: str) -> DataFrame:
@@ -52,9 +58,8 @@ def nearest_neighbours(spark: SparkSession, where: str) -> DataFrame:
 
 @query(
     "tomek_links",
-    f"""WITH {_NEAR}, first AS (SELECT * FROM near WHERE place = 1)
-    SELECT x.id AS a, x.neighbour AS b FROM first x JOIN first y ON y.id = x.neighbour AND y.neighbour = x.id
-    WHERE x.id < x.neighbour AND x.label <> x.other""",
+    f"""WITH {_FIRST} SELECT x.id AS a, x.neighbour AS b FROM first x JOIN first y ON y.id = x.neighbour AND y.neighbour = x.id
+    WHERE x.id < x.neighbour AND x.label <> y.label""",
 )
 def tomek_links(spark: SparkSession, where: str) -> DataFrame:
     return B.tomek_links(vectors(spark, where), "vec_id", "label", "vector")
@@ -62,8 +67,7 @@ def tomek_links(spark: SparkSession, where: str) -> DataFrame:
 
 @query(
     "tomek_clean",
-    f"""WITH {_NEAR}, first AS (SELECT * FROM near WHERE place = 1),
-    links AS (SELECT x.id FROM first x JOIN first y ON y.id = x.neighbour AND y.neighbour = x.id WHERE x.label <> x.other)
+    f"""WITH {_FIRST}, links AS (SELECT x.id FROM first x JOIN first y ON y.id = x.neighbour AND y.neighbour = x.id WHERE x.label <> y.label)
     SELECT vec_id, label FROM v WHERE vec_id NOT IN (SELECT id FROM links)""",
 )
 def tomek_clean(spark: SparkSession, where: str) -> DataFrame:

@@ -6,8 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from daypanel.operators import neighbours as N
 from daypanel.operators import resample as B
 from daypanel.operators.neighbours import nearest
+from daypanel.operators.pivot_tree import PivotTree, distances
 from daypanel.plans.standins import vectors
 
 
@@ -41,11 +43,11 @@ def clustered(spark):
     return spark.createDataFrame(rows, "id long, vector array<double>"), rows
 
 
-@pytest.mark.parametrize("block_rows", [7, 64, 4096])
-def test_nearest_equals_brute_force(clustered, block_rows):
+@pytest.mark.parametrize(("block_rows", "leaf_rows"), [(7, 20), (64, 5), (4096, 1024), (16, 300)])
+def test_nearest_equals_brute_force(clustered, block_rows, leaf_rows):
     df, rows = clustered
     got = {}
-    for r in nearest(df, "id", "vector", 4, block_rows=block_rows).collect():
+    for r in nearest(df, "id", "vector", 4, block_rows=block_rows, leaf_rows=leaf_rows).collect():
         got.setdefault(r["id"], {})[r["place"]] = r["neighbour"]
     assert {i: [n[p] for p in sorted(n)] for i, n in got.items()} == brute(rows, 4)
 
@@ -55,11 +57,52 @@ def test_nearest_with_exact_ties(spark):
     rows = [(i, [float(i % 5), float(i // 5 % 5), float(i % 2)]) for i in range(100)]
     df = spark.createDataFrame(rows, "id long, vector array<double>")
     got = {}
-    for r in nearest(df, "id", "vector", 3, block_rows=16).collect():
+    for r in nearest(df, "id", "vector", 3, block_rows=16, leaf_rows=9).collect():
         got.setdefault(r["id"], {})[r["place"]] = r["neighbour"]
     assert {i: [n[p] for p in sorted(n)] for i, n in got.items()} == brute(rows, 3)
 
 
+def test_tree_bounds_hold_and_clusters_meet_few_leaves():
+    rng = np.random.default_rng(3)
+    centres = rng.normal(0, 30, (40, 6))
+    rows = centres[rng.integers(0, 40, 4000)] + rng.normal(0, 1, (4000, 6))
+    tree = PivotTree(rows[::5], 64)
+    paths, far = tree.place(rows)
+    assert (tree.children == 0).sum() == 64 and max(map(len, paths)) >= 2
+    nodes = {}
+    for p, f in zip(paths, far, strict=True):
+        for node, d in zip(p, f, strict=True):
+            n, radius = nodes.get(node, (0, 0.0))
+            nodes[node] = (n + 1, max(radius, d))
+    tree.measure(nodes, len(rows))
+    leaf = np.array([p[-1] for p in paths])
+    d = distances(rows[:300], rows)
+    tenth = np.sort(d, axis=1)[:, 9]
+    row, found = tree.visits(rows[:300], tenth)
+    visited = {(r, f) for r, f in zip(row.tolist(), found.tolist(), strict=True)}
+    for i in range(300):
+        assert {(i, leaf[j]) for j in np.flatnonzero(d[i] <= tenth[i])} <= visited
+        assert np.sort(d[i])[9] <= tree.reach(paths[i], far[i], 10)
+    assert sum(tree.counts[f] for _, f in visited) < 0.1 * 300 * len(rows)
+    assert tree.reach([], [], 1) == np.inf
+
+
+def test_candidate_pairs_stay_far_below_all_pairs(spark):
+    """Round one compares a vector with its leaf, round two with the leaves still in reach."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(0, 30, (50, 8))
+    vectors_ = centres[rng.integers(0, 50, 6000)] + rng.normal(0, 1, (6000, 8))
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors_)], "id long, vector array<double>")
+    heads = N.distinct_heads(df, 3)
+    placed, tree = N.plant(heads, leaf_rows=100)
+    first = N._within_leaves(placed, tree, 3, [], 4096)
+    sent = N.visits(placed, N._best(first, 3, []), tree, 3)
+    leaf_sizes = {int(n): int(tree.counts[n]) for n in np.flatnonzero(tree.children == 0)}
+    own = sum(n * n for n in leaf_sizes.values())
+    further = sum(r["n"] * leaf_sizes[r["leaf"]] for r in sent.groupBy("leaf").agg(F.count("*").alias("n")).collect())
+    assert own + further < 0.1 * 6000**2
+
+
 def test_upsample_never_loses_a_class(spark):
     more = spark.createDataFrame([(i, int(i < 7)) for i in range(10)], "id int, y int")
     assert {r["y"]: r["n"] for r in B.class_counts(B.upsample(more, "y"), "y").collect()} == {0: 3, 1: 7}
