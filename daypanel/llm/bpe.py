@@ -12,57 +12,48 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daypanel.llm import spans
-from daypanel.llm.words import Encoder, encoder
+from daypanel.llm.text import least_count, named
+from daypanel.llm.words import LONG_WORD, Encoder, encoder
 from daypanel.sources.tables import written
 
-#: Most words in the table that is sent to all executors; some ten megabytes.
-TABLE_WORDS = 1 << 18
+#: Most words, and most bytes of them, in the table that is sent to all executors.
+TABLE_WORDS, TABLE_BYTES = 1 << 18, 8 << 20
 
 
-def count_words(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """(word, n): every distinct plain word of all texts and how often it occurs.
+def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(word, n): every distinct word of all texts, of whatever script, and how often it occurs.
 
-    A task counts by fingerprint before any row leaves it.
+    Words of more than `words.LONG_WORD` bytes are left out. A task counts before any row leaves it.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, part in spans.parts(batch.column(0)):
-                data, offsets = spans.buffers(part)
-                low, starts, ends, odd = spans.plain_words(data, offsets)
-                if odd.any():
-                    # Their bytes may be cut anywhere.
-                    sound = ~odd[np.searchsorted(offsets, starts, "right") - 1]
-                    starts, ends = starts[sound], ends[sound]
-                prints, inverse, first = spans.runs(spans.fingerprints(low, starts, ends))
-                whole, n = low.tobytes(), np.bincount(inverse, minlength=len(prints))
-                words = [whole[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-                word = pa.array(words, pa.binary()).cast(pa.string())
+                low, starts, ends = spans.word_spans(*spans.buffers(part))
+                short = ends - starts <= LONG_WORD
+                found, inverse = spans.distinct(low, starts[short], ends[short])
+                n = np.bincount(inverse, minlength=len(found))
+                word = pa.array(found, pa.binary()).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([word, pa.array(n, pa.int64())], ["word", "n"])
 
-    counted = docs.select(F.col(text)).mapInArrow(count, "word string, n long")
+    counted = docs.select(named(text).alias("text")).mapInArrow(count, "word string, n long")
     return counted.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def word_table(counts: DataFrame, path: str, most: int = TABLE_WORDS) -> DataFrame:
-    """(word, ids): the most frequent words, at most `most`, each encoded once.
+def word_table(counts: DataFrame, path: str, most: int = TABLE_WORDS, most_bytes: int = TABLE_BYTES) -> DataFrame:
+    """(word, ids): the most frequent words, at most `most` of `most_bytes` in all, each encoded once.
 
     The least count that qualifies is the power of two that keeps them within
-    `most`; the words of equal class stay or go together.
+    both bounds; the words of equal class stay or go together.
     """
-    level = F.floor(F.log2("n")).cast("int").alias("level")
-    levels = {r["level"]: r["words"] for r in counts.groupBy(level).agg(F.count(F.lit(1)).alias("words")).collect()}
-    least, held = 64, 0
-    while least > 0 and held + levels.get(least - 1, 0) <= most:
-        least -= 1
-        held += levels.get(least, 0)
+    least = least_count(counts, most, most_bytes)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = [encoder(path).encode_word(w) for w in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["word", "ids"])
 
-    return counts.filter(F.col("n") >= F.lit(2.0) ** least).select("word").mapInArrow(encode, "word string, ids binary")
+    return counts.filter(F.col("n") >= least).select("word").mapInArrow(encode, "word string, ids binary")
 
 
 _given: dict = {}
@@ -71,11 +62,7 @@ _given: dict = {}
 def _encoder_with(table, path: str) -> Encoder:
     """One per worker and table."""
     if _given.get("id") != (table.value["id"], path):
-        words = [w.encode() for w in table.value["words"]]
-        data = np.frombuffer(b"".join(words), np.uint8)
-        ends = np.cumsum([len(w) for w in words], dtype=np.int64)
-        starts = ends - np.array([len(w) for w in words], np.int64)
-        _given.update(id=(table.value["id"], path), encoder=Encoder(path, (spans.fingerprints(data, starts, ends), table.value["ids"])))
+        _given.update(id=(table.value["id"], path), encoder=Encoder(path, table.value["ids"]))
     return _given["encoder"]
 
 
@@ -131,19 +118,20 @@ def _decoding(columns: list[str], ids: str, text: str, path: str):
 
 def _sent_table(docs: DataFrame, path: str, text: str, most: int):
     """The table of frequent words as a broadcast variable."""
-    table = word_table(written(count_words(docs, path, text)), path, most).toPandas()
-    words, ids = table["word"].tolist(), [bytes(x) for x in table["ids"]]
-    return docs.sparkSession.sparkContext.broadcast({"id": uuid.uuid4().hex, "words": words, "ids": ids})
+    table = word_table(written(count_words(docs, text)), path, most).toPandas()
+    ids = {word.encode(): bytes(x) for word, x in zip(table["word"], table["ids"], strict=True)}
+    return docs.sparkSession.sparkContext.broadcast({"id": uuid.uuid4().hex, "ids": ids})
 
 
 def encode_texts(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", table_words: int = TABLE_WORDS) -> DataFrame:
     """`docs` with `ids`: the token ids of each whole text as little-endian unsigned 32-bit integers in a binary.
 
     Spark splits all texts into words and counts the distinct ones; the most
-    frequent, `table_words` at most and so of bounded size, are encoded once and
-    sent to every executor. A task joins their ids to its words by position, and
-    encodes those beyond the table once each itself: the documents need not
-    move to meet the table. The ids are those of the tokenizers library with no
+    frequent, `table_words` of `TABLE_BYTES` at most, are encoded once and sent
+    to every executor. A task joins their ids to its words by position, and
+    encodes those beyond the table itself, once while it remembers them: the
+    documents need not move to meet the table. Words are told apart by their
+    bytes, in texts of any script. The ids are those of the tokenizers library with no
     special tokens added, without truncation and padding; `path` names its file
     on every executor.
 

@@ -1,19 +1,13 @@
-"""Words of many texts at once: where they lie in a batch's bytes, and 64-bit fingerprints of them."""
+"""Words of many texts at once: where they lie in a batch's bytes, the distinct ones among them, and their hashes."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-#: Bytes whose powers are held at once.
-SEGMENT = 1 << 20
-#: An odd base, random once; its inverse modulo 2**64 undoes its powers.
-BASE = 0x9E6C63D0876A9A35
-_INVERSE = pow(BASE, -1, 1 << 64)
-_powers: list[np.ndarray] = []
-
 # Which bytes are white space, letters, digits and signs in UTF-8 of plain Latin text.
 SPACE, LETTER, DIGIT, SIGN, ODD = 0, 1, 2, 3, 4
 CLASSES = np.full(256, ODD, np.uint8)
@@ -59,30 +53,24 @@ def lower(data: np.ndarray) -> np.ndarray:
     return data + np.where((data >= 65) & (data <= 90), np.uint8(32), np.uint8(0))
 
 
-def _powers_to(n: int) -> list[np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        n = max(n, SEGMENT + (1 << 16))
-        _powers[:] = [
-            np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, x, np.uint64))]) for x in (BASE, _INVERSE)
-        ]
-    return _powers
-
-
-def fingerprints(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A mixed polynomial hash of each span; spans are in order and don't overlap."""
-    out = np.empty(len(starts), np.uint64)
-    i = 0
-    while i < len(starts):
-        lo = int(starts[i])
-        j = max(i + 1, int(np.searchsorted(starts, lo + SEGMENT)))
-        seg = data[lo : int(ends[j - 1])]
-        powers, inverse = _powers_to(len(seg) + 1)
-        sums = np.zeros(len(seg) + 1, np.uint64)
-        np.cumsum((seg.astype(np.uint64) + np.uint64(1)) * powers[: len(seg)], out=sums[1:])
-        s, e = starts[i:j] - lo, ends[i:j] - lo
-        out[i:j] = (sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64)
-        i = j
-    return mix(out)
+def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The distinct spans, told apart by their bytes, in order of appearance, and for each span its place among them.
+
+    Spans are in order and don't overlap.
+    """
+    inside = np.zeros(len(data) + 1, np.int8)
+    inside[starts] += 1
+    inside[ends] -= 1
+    held = data[np.cumsum(inside[:-1], dtype=np.int8).view(bool)]
+    bounds = np.append(0, np.cumsum(ends - starts))
+    spans = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(held)])
+    coded = spans.dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+
+
+def hashes(words: list[bytes]) -> np.ndarray:
+    """64 bits of a cryptographic hash of each word: two given words agree with a chance of 2**-64."""
+    return np.frombuffer(b"".join([hashlib.blake2b(w, digest_size=8).digest() for w in words]), "<u8").astype(np.uint64)
 
 
 def blank_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -97,11 +85,13 @@ def blank_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return np.flatnonzero(begin), np.flatnonzero(stop) + 1
 
 
-def plain_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(lower-case bytes, starts, ends, odd): words of plain Latin texts as the vocabulary cuts them.
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, starts, ends) of the words that the vocabulary's tokens don't reach across.
 
-    Runs of letters, single digits, runs of signs, and contractions. `odd` marks
-    the texts with anything else in them, or with `<|`; their words here don't count.
+    Plain Latin is put in lower case and cut into runs of letters, single
+    digits, runs of signs, and contractions, as the vocabulary does. A run
+    between white space with anything else in it, or with `<|`, is one word as
+    it stands.
     """
     kind = CLASSES[data]
     before = np.empty_like(data)
@@ -114,8 +104,6 @@ def plain_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     second = high & (before == 0xC3)
     bad = (kind == ODD) | high & (data != 0xC3) & ~second | second & ((data == 0x97) | (data == 0xB7))
     bad |= (data == 124) & (before == 60)
-    odd = np.zeros(len(offsets) - 1, bool)
-    odd[np.searchsorted(offsets, np.flatnonzero(bad), "right") - 1] = True
     low = lower(data)
     low[second & (data >= 0x80) & (data <= 0x9E)] += 32
     begin = kind != SPACE
@@ -139,16 +127,17 @@ def plain_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     cut = begin | (kind == SPACE)
     places = np.flatnonzero(cut)
     is_word = begin[places]
-    ends = np.append(places[1:], len(data))[is_word]
-    return low, places[is_word], ends, odd
-
-
-def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct values in order, for each value its place among them, and where each first occurs."""
-    order = np.argsort(values, kind="stable")
-    ordered = values[order]
-    new = np.ones(len(values), bool)
-    new[1:] = ordered[1:] != ordered[:-1]
-    inverse = np.empty(len(values), np.int64)
-    inverse[order] = np.cumsum(new) - 1
-    return ordered[new], inverse, order[new]
+    starts, ends = places[is_word], np.append(places[1:], len(data))[is_word]
+    if not bad.any():
+        return low, starts, ends
+    first, last = blank_words(data, offsets)
+    odd = np.zeros(len(first), bool)
+    odd[np.searchsorted(first, np.flatnonzero(bad), "right") - 1] = True
+    plain = ~odd[np.searchsorted(first, starts, "right") - 1]
+    starts, ends = np.concatenate([starts[plain], first[odd]]), np.concatenate([ends[plain], last[odd]])
+    inside = np.zeros(len(data) + 1, np.int8)
+    inside[first[odd]] += 1
+    inside[last[odd]] -= 1
+    whole = np.cumsum(inside[:-1], dtype=np.int8).view(bool)
+    order = np.argsort(starts, kind="stable")
+    return np.where(whole, data, low), starts[order], ends[order]

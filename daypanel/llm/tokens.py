@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daypanel.llm.text import named
+from daypanel.llm.text import least_count, named
 from daypanel.sources.tables import written
 
 #: Most pre-tokens, and most bytes of them, in the table that is sent to all executors.
@@ -117,20 +117,6 @@ def piece_counts(counts: DataFrame, path: str) -> DataFrame:
     return counts.select("word", "n").mapInArrow(encode, "word string, n long, pieces long")
 
 
-def _least_count(table: DataFrame, most_words: int, most_bytes: int) -> int:
-    """The power of two from which on a pre-token's count makes it frequent, so that these keep within both bounds."""
-    level = F.floor(F.log2("n")).cast("int").alias("level")
-    sizes = table.groupBy(level).agg(F.count(F.lit(1)).alias("words"), F.sum(F.octet_length("word")).alias("bytes"))
-    levels = {r["level"]: (r["words"], r["bytes"]) for r in sizes.collect()}
-    least, words, size = 63, 0, 0
-    while least > 0:
-        more, larger = levels.get(least - 1, (0, 0))
-        if words + more > most_words or size + larger > most_bytes:
-            break
-        least, words, size = least - 1, words + more, size + larger
-    return 1 << least
-
-
 def count_tokens(
     docs: DataFrame,
     path: str,
@@ -157,7 +143,7 @@ def count_tokens(
     which holds it, its distinct pre-tokens and their counts.
     """
     counted = written(piece_counts(pretoken_counts(docs, path, text), path))
-    least = _least_count(counted, table_words, table_bytes)
+    least = least_count(counted, table_words, table_bytes)
     frequent = counted.filter(F.col("n") >= least).select("word", "pieces").toPandas()
     sent = docs.sparkSession.sparkContext.broadcast(dict(zip(frequent["word"], frequent["pieces"], strict=True)))
 

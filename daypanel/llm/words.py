@@ -17,8 +17,10 @@ SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 UNPLAIN = re.compile("[^\t-\r -~À-ÖØ-öø-ÿ]")
 PLAIN_WORD = re.compile("[a-zß-öø-ÿ]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[!-/:-@\\[-`{-~]+")
 BESIDES_LETTERS = re.compile("'(?:s|t|re|ve|m|ll|d)|[0-9]|[!-/:-@\\[-`{-~]+")
-#: Words that a worker remembers; beyond that it forgets all and learns again.
-REMEMBERED = 500_000
+#: Bytes of words and ids that a worker remembers; beyond that it forgets all that it learnt and learns again.
+REMEMBERED = 32 << 20
+#: Longer words, in bytes, hardly repeat; they are encoded where they stand and not remembered.
+LONG_WORD = 256
 
 
 def split_words(text: str, special: tuple[str, ...]) -> list[str]:
@@ -49,13 +51,13 @@ def _byte_letters() -> list[str]:
 
 
 class Encoder:
-    """Ids of words as little-endian unsigned 32-bit integers; `given` are words encoded before.
+    """Ids of words as little-endian unsigned 32-bit integers; `given` has the ids of words encoded before.
 
     The merges are the tokenizers library's: a plain word goes to them at once,
     any other through the whole tokenizer.
     """
 
-    def __init__(self, path: str, given: tuple[np.ndarray, list[bytes]] | None = None):
+    def __init__(self, path: str, given: dict[bytes, bytes] | None = None):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -64,53 +66,52 @@ class Encoder:
         self.merges = self.tokenizer.model
         self.letters = _byte_letters()
         self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.table = Table(given)
-
-    def split(self, text: str) -> list[str]:
-        return split_words(text, self.special)
+        self.given = given or {}
+        self.learnt: dict[bytes, bytes] = {}
+        self.held = 0
 
     def encode_word(self, word: str) -> bytes:
+        """The ids of a word of `spans.word_spans`: at once if it is plain, else cut further."""
+        return self._merged(word) if PLAIN_WORD.fullmatch(word) else b"".join(map(self._part, split_words(word, self.special)))
+
+    def _part(self, word: str) -> bytes:
         if PLAIN_WORD.fullmatch(word):
             return self._merged(word)
         ids = self.tokenizer.encode(word, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def encode(self, text: str) -> bytes:
-        """The ids of a whole text."""
-        return b"".join(map(self.encode_word, self.split(text)))
-
     def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and the n + 1 places where each text's begin and end.
 
-        The words of plain texts are found in the batch's bytes and told apart
-        by 64-bit fingerprints, so each distinct one is cut out and encoded
-        once per worker; other texts go through `encode`.
+        The words are found in the batch's bytes and told apart by them; each
+        distinct one is looked up, or cut out and encoded, once.
         """
         data, offsets = spans.buffers(texts)
-        low, starts, ends, odd = spans.plain_words(data, offsets)
-        prints, inverse, first = spans.runs(spans.fingerprints(low, starts, ends))
-        entries = self.table.places(
-            prints, lambda k: self._encode_spans(low, starts[first[k]], ends[first[k]], bool(odd.any()))
-        )
-        sizes = self.table.sizes[entries][inverse]
-        ids = self.table.gather(entries[inverse], sizes)
-        bounds = np.append(0, np.cumsum(sizes))[np.searchsorted(starts, offsets)]
-        if not odd.any():
-            return ids, bounds
-        pieces = [
-            np.frombuffer(self.encode(text.as_py() or ""), "<u4") if odd[i] else ids[bounds[i] : bounds[i + 1]]
-            for i, text in enumerate(texts)
-        ]
-        return np.concatenate(pieces), np.append(0, np.cumsum([len(p) for p in pieces]))
-
-    def _encode_spans(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray, some_odd: bool) -> list[bytes]:
-        whole = low.tobytes()
-        words = [whole[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
-        if some_odd:
-            # Bytes of odd texts may be cut anywhere; the ids of what is no plain word are never used.
-            plain = (w.decode("utf-8", "replace") for w in words)
-            return [self.encode_word(w) if PLAIN_WORD.fullmatch(w) else b"" for w in plain]
-        return [self._merged(w.decode()) for w in words]
+        low, starts, ends = spans.word_spans(data, offsets)
+        words, inverse = spans.distinct(low, starts, ends)
+        found = [self.look_up(w) for w in words]
+        pool = np.frombuffer(b"".join(found), "<u4")
+        sizes = np.array([len(x) // 4 for x in found], np.int64)
+        begins, own = np.cumsum(sizes) - sizes, sizes[inverse]
+        stops = np.cumsum(own)
+        total = int(stops[-1]) if len(stops) else 0
+        ids = pool[np.repeat(begins[inverse] - stops + own, own) + np.arange(total)]
+        return ids, np.append(0, stops)[np.searchsorted(starts, offsets)]
+
+    def look_up(self, word: bytes) -> bytes:
+        """The ids of a word, encoded unless it was given or learnt."""
+        ids = self.given.get(word)
+        if ids is None:
+            ids = self.learnt.get(word)
+        if ids is None:
+            ids = self.encode_word(word.decode())
+            if len(word) <= LONG_WORD:
+                if self.held > REMEMBERED:
+                    self.learnt.clear()
+                    self.held = 0
+                self.learnt[word] = ids
+                self.held += len(word) + len(ids) + 100
+        return ids
 
     def _merged(self, plain: str) -> bytes:
         shown = plain if plain.isascii() else "".join(self.letters[b] for b in plain.encode())
@@ -118,49 +119,6 @@ class Encoder:
         return struct.pack(f"<{len(ids)}I", *ids)
 
 
-class Table:
-    """Ids by word fingerprint; `given` stay, those learnt are forgotten beyond `REMEMBERED`."""
-
-    def __init__(self, given: tuple[np.ndarray, list[bytes]] | None = None):
-        self.given = given or (np.zeros(0, np.uint64), [])
-        self._reset()
-
-    def _reset(self) -> None:
-        self.keys, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.begins, self.sizes, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
-        if len(self.given[0]):
-            self.add(*self.given)
-
-    def add(self, keys: np.ndarray, ids: list[bytes]) -> None:
-        sizes = np.array([len(x) // 4 for x in ids], np.int64)
-        first = len(self.sizes)
-        self.begins = np.concatenate([self.begins, len(self.pool) + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(ids), "<u4")])
-        keys, at = np.concatenate([self.keys, keys]), np.concatenate([self.at, np.arange(first, len(self.sizes))])
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.at = keys[order], at[order]
-
-    def places(self, prints: np.ndarray, encode) -> np.ndarray:
-        """The entry of each of the distinct fingerprints; `encode` gives ids for those at some indices."""
-        if len(self.keys) + len(prints) > len(self.given[0]) + REMEMBERED:
-            self._reset()
-        for _ in range(2):
-            k = np.minimum(np.searchsorted(self.keys, prints), max(len(self.keys) - 1, 0))
-            found = self.keys[k] == prints if len(self.keys) else np.zeros(len(prints), bool)
-            if found.all():
-                return self.at[k] if len(prints) else np.zeros(0, np.int64)
-            missing = np.flatnonzero(~found)
-            self.add(prints[missing], encode(missing))
-        raise AssertionError("a word was not learnt")
-
-    def gather(self, entries: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """The ids of the entries in a row."""
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        return self.pool[np.repeat(self.begins[entries] - ends + sizes, sizes) + np.arange(total)]
-
-
 @functools.cache
 def encoder(path: str) -> Encoder:
     """One per worker process and vocabulary."""

@@ -536,3 +536,51 @@ def test_pipeline_stages(spark, small, odd_docs, vocabulary):
         for _, stage in pipeline.STAGES:
             docs = stage(spark, docs, small)
         docs.collect()
+
+
+# Words that polynomial hashes confuse
+
+
+def thue_morse(n, letters="ab"):
+    return "".join(letters[i.bit_count() % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_words_that_polynomial_hashes_confuse(spark, vocabulary, n):
+    one, two = thue_morse(n), thue_morse(n, "ba")
+    docs = spark.createDataFrame([(1, one), (2, two), (3, f"{one} x {two}")], "doc_id long, text string").coalesce(1)
+    library, want = library_ids(vocabulary, [one, two, f"{one} x {two}"])
+    rows = bpe.encode_and_decode(docs, vocabulary).orderBy("doc_id").collect()
+    assert [list(struct.unpack(f"<{len(r['ids']) // 4}I", r["ids"])) for r in rows] == want
+    assert [r["decoded"] for r in rows] == [library.decode(i, skip_special_tokens=False) for i in want]
+    packed = packing.pack_documents(docs, vocabulary, 2, 100_000).orderBy("doc_id").collect()
+    assert [r["ids_crc32"] for r in packed] == [zlib.crc32(struct.pack(f"<{len(i) + 1}I", *i, 2)) for i in want]
+    texts = spark.createDataFrame([(1, f"a b c d {one}"), (2, f"a b c d {two}")], "doc_id long, text string").coalesce(1)
+    assert [r["component_id"] for r in jaccard.near_duplicates(texts).orderBy("doc_id").collect()] == [1, 2]
+
+
+def test_distinct_spans_by_bytes():
+    data = np.frombuffer(b"ab cd ab  abcd", np.uint8)
+    words, inverse = spans.distinct(data, np.array([0, 3, 6, 10, 12]), np.array([2, 5, 8, 12, 14]))
+    assert words == [b"ab", b"cd"] and inverse.tolist() == [0, 1, 0, 0, 1]
+    assert spans.distinct(data, np.zeros(0, np.int64), np.zeros(0, np.int64))[0] == []
+    assert len(set(spans.hashes([b"a", b"b", b""]).tolist())) == 3
+
+
+def test_one_odd_character_leaves_the_other_words_plain():
+    texts = pa.array(["Some Words’ end, İ don't 漢字x É", "’", None, "plain’s Étude"])
+    data, offsets = spans.buffers(texts)
+    low, starts, ends = spans.word_spans(data, offsets)
+    words = [low[a:b].tobytes().decode() for a, b in zip(starts, ends, strict=True)]
+    assert words == ["some", "Words’", "end", ",", "İ", "don", "'t", "漢字x", "é", "’", "plain’s", "étude"]
+
+
+def test_words_of_any_script_go_through_the_table(spark, vocabulary):
+    docs = spark.createDataFrame([(i, "Всё хорошо, “quoted” words — 漢字 and é " * 3) for i in range(4)], "doc_id long, text string")
+    counted = {r["word"]: r["n"] for r in bpe.count_words(docs).collect()}
+    assert counted["Всё"] == counted["漢字"] == counted["“quoted”"] == counted["words"] == 12
+    table = {r["word"]: bytes(r["ids"]) for r in bpe.word_table(bpe.count_words(docs), vocabulary).collect()}
+    _, want = library_ids(vocabulary, list(table))
+    assert [struct.pack(f"<{len(i)}I", *i) for i in want] == list(table.values())
+    assert bpe.word_table(bpe.count_words(docs), vocabulary, 3).count() <= 3
+    assert bpe.word_table(bpe.count_words(docs), vocabulary, 1000, 0).count() == 0
