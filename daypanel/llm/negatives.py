@@ -19,6 +19,8 @@ SEGMENTS = 16
 BLOCK, ANCHORS = 2048, 16384
 #: Rows and anchors of a block that are compared at once.
 ROWS_AT_ONCE, ANCHORS_AT_ONCE = 1024, 64
+#: Pools, of one length or one length and label, whose numbers of blocks are broadcast; more of them are joined.
+POOLS = 1 << 16
 NO_SCORE = np.iinfo(np.int64).min
 
 SUMMARY = "row long, key long, label string, size int, anchor boolean, x array<long>, means array<double>, deviations array<double>"
@@ -181,7 +183,9 @@ def _first(anchors: DataFrame, rows: DataFrame, pool: list[str], k: int, alike:
     up_to = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
     asked = rows.groupBy(*pool).agg(F.ceil(F.count(F.lit(1)) / block).alias("asked"))
     asking = anchors.groupBy(*pool).agg(F.ceil(F.count(F.lit(1)) / many).alias("asking"))
-    blocks = asked.join(asking, pool)
+    blocks = written(asked.join(asking, pool))
+    if blocks.limit(POOLS + 1).count() <= POOLS:
+        blocks = F.broadcast(blocks)
     spread = F.xxhash64("row")
     columns = ["pool", "i", "j", "asks", "row", "key", "label", "x", "means", "deviations", "given"]
     dealt = anchors.join(blocks, pool).withColumn("pool", F.concat_ws("/", *pool))
