@@ -5,12 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from daypanel.functions.series import let
+from daypanel.llm.text import named
+
 # The marks of the template.
 START = "<|im_start|>"
 NEXT = "<|im_sep|>"
 END = "<|im_end|>"
 TRAINED_ROLE = "assistant"
 
+#: Characters of the blocks that a text is read by, so that a span costs its own length and not that of what stands before it.
+BLOCK = 4096
+#: Pieces whose places are added up at once.
+PIECES = 256
+
 
 def escape(text: Column) -> Column:
     """Text without any mark in it; `unescape` undoes it exactly."""
@@ -30,6 +38,48 @@ def _unescape_role(role: Column) -> Column:
     return unescape(F.replace(role, F.lit("&nl;"), F.lit("\n")))
 
 
+def _cut(blocks: Column, start: Column, length: Column) -> Column:
+    """The `length` characters from `start` on of a text in blocks of `BLOCK` characters, of which only those it lies in are read."""
+    first = F.floor(start / BLOCK).cast("int")
+    last = F.floor((start + length) / BLOCK).cast("int")
+    near = F.array_join(F.transform(F.sequence(first, last), lambda i: F.coalesce(F.get(blocks, i), F.lit(""))), "")
+    return near.substr(start - first * BLOCK + 1, length)
+
+
+def _spans(pieces: Column) -> Column:
+    """Where the trained pieces lie, (start, length) each.
+
+    An array grows by being copied, so places are added up in blocks of pieces,
+    after the blocks' own lengths were.
+    """
+    none = F.filter(F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("length"))), lambda _: F.lit(False))
+    whole = lambda p: p["before"] + p["own"] + p["after"]
+    last = F.floor((F.size(pieces) - 1) / PIECES).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(pieces, b * PIECES + 1, PIECES))
+
+    def begins(cut: Column) -> Column:
+        lengths = F.transform(cut, lambda block: F.aggregate(block, F.lit(0), lambda n, p: n + whole(p)))
+        start = F.struct(F.lit(0).alias("at"), F.filter(F.array(F.lit(0)), lambda _: F.lit(False)).alias("out"))
+        return F.aggregate(
+            lengths,
+            start,
+            lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")),
+            lambda acc: acc["out"],
+        )
+
+    def inside(block: Column, begin: Column) -> Column:
+        def step(acc: Column, p: Column) -> Column:
+            span = F.struct((acc["at"] + p["before"]).alias("start"), p["own"].alias("length"))
+            spans = F.when(p["trained"], F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
+            return F.struct((acc["at"] + whole(p)).alias("at"), spans.alias("spans"))
+
+        return F.aggregate(block, F.struct(begin.alias("at"), none.alias("spans")), step, lambda acc: acc["spans"])
+
+    return let(
+        blocks, lambda cut: let(begins(cut), lambda at: F.flatten(F.transform(cut, lambda block, i: inside(block, F.get(at, i)))))
+    )
+
+
 def format_conversations(
     rows: DataFrame, conversation: str = "conv_id", order: str = "turn", role: str = "role", text: str = "text"
 ) -> DataFrame:
@@ -44,14 +94,15 @@ def format_conversations(
     conversation of their own, equal turn numbers are ordered by role and text
     (a null number comes first), repeated rows are all kept, an empty table
     gives no rows, and columns other than the four named are left out. One
-    conversation is one text, hence one row; there is no limit on its turns.
+    conversation is one text, hence one row of one task, which holds it a few
+    times over; its turns are limited by the two gigabytes of a string.
     """
     turns = rows.select(
-        F.col(conversation).alias("conv_id"),
+        named(conversation).alias("conv_id"),
         F.struct(
-            F.col(order).alias("turn"),
-            F.coalesce(F.col(role), F.lit("")).alias("role"),
-            F.coalesce(F.col(text), F.lit("")).alias("text"),
+            named(order).alias("turn"),
+            F.coalesce(named(role), F.lit("")).alias("role"),
+            F.coalesce(named(text), F.lit("")).alias("text"),
         ).alias("t"),
     )
     whole = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
@@ -93,24 +144,7 @@ def format_conversations(
             ),
         )
 
-    span = F.struct(F.lit(0).alias("start"), F.lit(0).alias("length"))
-    spans = F.aggregate(
-        F.flatten(F.transform("messages", pieces)),
-        F.struct(F.lit(0).alias("at"), F.filter(F.array(span), lambda _: F.lit(False)).alias("spans")),
-        lambda acc, p: F.struct(
-            (acc["at"] + p["before"] + p["own"] + p["after"]).alias("at"),
-            F.when(
-                p["trained"],
-                F.concat(
-                    acc["spans"],
-                    F.array(F.struct((acc["at"] + p["before"]).alias("start"), p["own"].alias("length"))),
-                ),
-            )
-            .otherwise(acc["spans"])
-            .alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
+    spans = let(F.flatten(F.transform("messages", pieces)), _spans)
     return merged.select("conv_id", formatted.alias("formatted"), spans.alias("loss_spans"))
 
 
@@ -134,5 +168,8 @@ def read_conversations(formatted: DataFrame) -> DataFrame:
         "turns", F.coalesce(F.flatten(F.transform(messages, turns)), F.array().cast("array<struct<role:string,text:string>>"))
     ).withColumn(
         "loss_texts",
-        F.transform("loss_spans", lambda s: unescape(F.col("formatted").substr(s["start"] + 1, s["length"]))),
+        let(
+            F.regexp_extract_all("formatted", F.lit(rf"(?s).{{1,{BLOCK}}}"), F.lit(0)),
+            lambda blocks: F.transform("loss_spans", lambda s: unescape(_cut(blocks, s["start"], s["length"]))),
+        ),
     )
