@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from daypanel.llm.text import named
 from daypanel.sources.tables import written
 
 # Parameters of the chunking: a boundary after one line in SHARE, by a rolling hash over two line hashes.
@@ -79,7 +80,7 @@ def drop_repeated_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text
     names, but for `lines_total` and `lines_removed`, which are replaced.
     """
     own = docs.select(
-        F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("key"), F.xxhash64(F.col(text)).alias("print"), F.col(text).alias("text")
+        F.coalesce(named(key).cast("long"), F.lit(NO_KEY)).alias("key"), F.xxhash64(named(text)).alias("print"), named(text).alias("text")
     )
     found = with_chunks(own, "text").select("key", "print", "lines", F.explode(F.filter("chunks", _removable)).alias("chunk"))
     # Documents in order of their keys, texts and lines in order inside them: different rows are never one place.
@@ -125,9 +126,9 @@ def _merged(units: Column) -> Column:
 def _without(docs: DataFrame, gone: DataFrame, key: str, text: str) -> DataFrame:
     """`docs` without the lines of `gone`, (gone_key, gone_print, gone: array of (start, size)), with the two counts."""
     kept = [c for c in docs.columns if c not in ("lines_total", "lines_removed")]
-    row = F.struct(*[F.col(c) for c in kept]).alias("row")
+    row = F.struct(*[named(c) for c in kept]).alias("row")
     rows = docs.select(
-        F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("gone_key"), F.xxhash64(F.col(text)).alias("gone_print"), row
+        F.coalesce(named(key).cast("long"), F.lit(NO_KEY)).alias("gone_key"), F.xxhash64(named(text)).alias("gone_print"), row
     )
     ranges = gone.select("gone_key", "gone_print", _merged(F.col("gone")).alias("ranges"))
     joined = rows.join(ranges.hint("shuffle_hash"), ["gone_key", "gone_print"], "left")
@@ -205,7 +206,7 @@ def drop_repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "te
     as in `drop_repeated_chunks`.
     """
     own = docs.select(
-        F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("key"), F.xxhash64(F.col(text)).alias("print"), F.col(text).alias("text")
+        F.coalesce(named(key).cast("long"), F.lit(NO_KEY)).alias("key"), F.xxhash64(named(text)).alias("print"), named(text).alias("text")
     )
     # A plain explode gets a filter on its array, which is pushed below and makes the lines anew for each unit.
     placed = with_units(own, "text").select("key", "print", F.explode_outer("units").alias("unit")).filter("unit IS NOT NULL")
@@ -225,9 +226,8 @@ def drop_repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "te
     return _without(docs, gone, key, text)
 
 
-# What `drop_repeated_chunks` gives for doc_id and text, for distinct documents, in the SQL of the check.
-SQL = f"""
-WITH own AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
+_LINES = f"""
+own AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
 line AS (
   SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM own),
 fact AS (
@@ -241,7 +241,11 @@ part AS (SELECT *, sum(starts::INT) OVER (PARTITION BY doc_id ORDER BY i) AS chu
 chunk AS (
   SELECT doc_id, chunk, min(i) AS start, count(*) AS size, sum(words) AS words,
          string_agg(line, chr(10) ORDER BY i) AS bytes FROM part GROUP BY doc_id, chunk),
-removable AS (SELECT * FROM chunk WHERE size >= 2 AND words >= {LEAST_WORDS} OR words > {LONG_WORDS}),
+removable AS (SELECT * FROM chunk WHERE size >= 2 AND words >= {LEAST_WORDS} OR words > {LONG_WORDS})"""
+
+# What the two operators give for doc_id and text, for distinct documents, in the SQL of the check.
+CHUNKS_SQL = f"""
+WITH {_LINES},
 ranked AS (SELECT *, row_number() OVER (PARTITION BY bytes ORDER BY doc_id, start) AS place FROM removable),
 gone AS (SELECT doc_id, chunk FROM ranked WHERE place > 1),
 left_over AS (
@@ -252,3 +256,35 @@ SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(l.text, '') END AS t
        coalesce(l.total, 0)::INT AS lines_total, coalesce(l.removed, 0)::INT AS lines_removed
 FROM documents d LEFT JOIN left_over l ON l.doc_id = d.doc_id
 """
+
+# A line goes if a run of whole lines around it, of more than LONG_WORDS words, stands at an earlier place too. Every such
+# run is covered by those in it that lose that many words with their first or their last line.
+PASSAGES_SQL = f"""
+WITH {_LINES},
+worded AS (
+  SELECT doc_id, i, len(regexp_extract_all(line, '[^ \t\n\x0b\f\r]+')) AS n FROM line),
+numbered AS (
+  SELECT *, row_number() OVER w AS k, sum(n) OVER w AS upto FROM worded WHERE n > 0 WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+run AS (
+  SELECT a.doc_id, a.i AS start, min(b.i) AS stop FROM numbered a JOIN numbered b
+    ON a.doc_id = b.doc_id AND b.k BETWEEN a.k AND a.k + {LONG_WORDS} AND b.upto - a.upto + a.n > {LONG_WORDS} GROUP BY ALL
+  UNION
+  SELECT b.doc_id, max(a.i) AS start, b.i AS stop FROM numbered a JOIN numbered b
+    ON a.doc_id = b.doc_id AND a.k BETWEEN b.k - {LONG_WORDS} AND b.k AND b.upto - a.upto + a.n > {LONG_WORDS} GROUP BY b.doc_id, b.i
+  UNION
+  SELECT doc_id, start, start + size - 1 AS stop FROM removable),
+unit AS (
+  SELECT r.doc_id, r.start, r.stop, array_to_string(list_slice(o.lines, r.start + 1, r.stop + 1), chr(10)) AS bytes
+  FROM run r JOIN own o USING (doc_id)),
+placed AS (SELECT *, min((doc_id, start)) OVER (PARTITION BY bytes) AS first FROM unit),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(start, stop + 1)) AS i FROM placed
+  WHERE NOT (doc_id = first[1] AND start < first[2] + (stop - start + 1))),
+left_over AS (
+  SELECT p.doc_id, string_agg(p.line, chr(10) ORDER BY p.i) FILTER (WHERE g.i IS NULL) AS text,
+         count(*) FILTER (WHERE g.i IS NOT NULL) AS removed, count(*) AS total
+  FROM line p LEFT JOIN gone g ON g.doc_id = p.doc_id AND g.i = p.i GROUP BY p.doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(l.text, '') END AS text,
+       coalesce(l.total, 0)::INT AS lines_total, coalesce(l.removed, 0)::INT AS lines_removed
+FROM documents d LEFT JOIN left_over l ON l.doc_id = d.doc_id
+"""

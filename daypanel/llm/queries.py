@@ -104,13 +104,13 @@ def op5_language(spark: SparkSession, where: str) -> DataFrame:
 
 def op6_line_dedup(spark: SparkSession, where: str) -> DataFrame:
     docs = load(spark, where, "documents").select("doc_id", "text")
-    return lines.drop_repeated_chunks(docs)
+    return lines.drop_repeated_passages(docs)
 
 
-def op6_passages(spark: SparkSession, where: str) -> DataFrame:
-    """Line dedup with every repeated passage whole; `op6_line_dedup` is what its SQL fixes."""
+def op6_chunks(spark: SparkSession, where: str) -> DataFrame:
+    """Line dedup by content-defined chunks alone, which miss passages whose lines fall into chunks with their neighbours."""
     docs = load(spark, where, "documents").select("doc_id", "text")
-    return lines.drop_repeated_passages(docs)
+    return lines.drop_repeated_chunks(docs)
 
 
 def op7_bpe(spark: SparkSession, where: str) -> DataFrame:
@@ -238,7 +238,7 @@ QUERIES = {
         op4_warc,
         op5_language,
         op6_line_dedup,
-        op6_passages,
+        op6_chunks,
         op7_bpe,
         op8_near_vectors,
         op9_sharding,
@@ -252,7 +252,8 @@ QUERIES = {
 TWINS = {
     "op1_chat": OP1_SQL,
     "op4_warc": OP4_SQL,
-    "op6_line_dedup": lines.SQL,
+    "op6_line_dedup": lines.PASSAGES_SQL,
+    "op6_chunks": lines.CHUNKS_SQL,
     "op8_near_vectors": OP8_SQL,
     "op10_exact_dedup": OP10_SQL,
     "op11_hard_negatives": OP11_SQL,
