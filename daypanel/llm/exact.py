@@ -7,7 +7,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from daypanel.llm.text import lower_ascii
+from daypanel.llm.text import lower_ascii, named
 from daypanel.sources.tables import written
 
 # A chunk ends at the first line or sentence end after 512 characters, or at 8,192.
@@ -52,7 +52,7 @@ def find_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     no rows; other columns of `docs`, whatever their names, are not read.
     """
     normal = docs.select(
-        F.col(key).alias("key"), lower_ascii(F.coalesce(F.col(text), F.lit(""))).alias("normal")
+        named(key).alias("key"), lower_ascii(F.coalesce(named(text), F.lit(""))).alias("normal")
     )
     seed = verified_seed(normal.select(F.explode(chunks_of(F.col("normal"))).alias("chunk")))
     recipes = written(
@@ -84,9 +84,15 @@ def find_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that `find_copies` keeps, with all their columns.
 
-    Rows are matched by key and text, and one of several identical rows stays.
+    Rows are matched by key and text, and one of several rows that repeat both
+    stays, whichever it is. Null and empty texts are equal, a null key is one
+    too; an empty table gives no rows, and a very long text is hashed where it
+    is. Columns may have any names.
     """
-    kept = find_copies(docs, key, text).filter("kept").select(F.col(key).alias("kept_key"), "text_sha256")
-    sha = F.sha2(lower_ascii(F.coalesce(F.col(text), F.lit(""))).cast("binary"), 256)
-    same = F.col(key).eqNullSafe(F.col("kept_key")) & (sha == F.col("text_sha256"))
-    return docs.join(kept, same, "left_semi").dropDuplicates([key, text])
+    found = find_copies(docs, key, text).filter("kept")
+    kept = found.select(named(key).alias("kept_key"), F.col("text_sha256").alias("kept_sha"))
+    sha = F.sha2(lower_ascii(F.coalesce(named(text), F.lit(""))).cast("binary"), 256)
+    rows = docs.select(F.struct(*map(named, docs.columns)).alias("row"), named(key).alias("key"), sha.alias("sha"))
+    same = F.col("key").eqNullSafe(F.col("kept_key")) & (F.col("sha") == F.col("kept_sha"))
+    single = rows.join(kept, same, "left_semi").dropDuplicates(["key", "sha"])
+    return single.select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -7,6 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from daypanel.llm.text import named
+from daypanel.sources.tables import written
+
 ROUNDS = 6
 WALKS = 32
 
@@ -23,20 +26,22 @@ def number_rows(df: DataFrame, buckets: int = 4096) -> tuple[DataFrame, int]:
     """
     columns = df.columns
     n, at, bucket = "row_copies", "row_number", "row_bucket"
-    counted = df.groupBy(*columns).agg(F.count(F.lit(1)).alias(n))
-    counted = counted.withColumn(bucket, F.pmod(F.xxhash64(*columns), F.lit(buckets)))
+    cells = [named(c) for c in columns]
+    counted = df.groupBy(*cells).agg(F.count(F.lit(1)).alias(n))
+    # Stored: sizes and places read it, and the texts are hashed and moved once.
+    counted = written(counted.withColumn(bucket, F.pmod(F.xxhash64(*cells), F.lit(buckets))))
     sizes = counted.groupBy(bucket).agg(F.sum(n).alias("bucket_rows"))
     total = sizes.agg(F.sum("bucket_rows")).first()[0] or 0
     # One row per bucket: a bounded table in one task.
     before = Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(bucket, F.coalesce(F.sum("bucket_rows").over(before), F.lit(0)).alias("bucket_start"))
-    within = Window.partitionBy(bucket).orderBy(*columns).rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy(bucket).orderBy(*cells).rowsBetween(Window.unboundedPreceding, -1)
     placed = counted.withColumn(at, F.coalesce(F.sum(n).over(within), F.lit(0)))
     placed = placed.join(F.broadcast(offsets), bucket)
     # sequence() counts down if its end lies below its start; every count here is 1 or more.
     copies = F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).alias("row_copy")
-    placed = placed.select(*columns, (F.col(at) + F.col("bucket_start")).alias(at), copies)
-    return placed.select(*columns, (F.col(at) + F.col("row_copy")).alias(at)), total
+    placed = placed.select(*cells, (F.col(at) + F.col("bucket_start")).alias(at), copies)
+    return placed.select(*cells, (F.col(at) + F.col("row_copy")).alias(at)), total
 
 
 def _digits(rows: int) -> tuple[int, int]:
@@ -106,7 +111,7 @@ def shard_rows(df: DataFrame, shards: int, seed: int = 0, buckets: int = 4096) -
     numbered, rows = number_rows(df, buckets)
     place = numbered.withColumn("row_place", permute(F.col("row_number"), rows, seed))
     return place.select(
-        *df.columns,
+        *[named(c) for c in df.columns],
         "row_number",
         (F.col("row_place") % shards).cast("int").alias("shard"),
         F.floor(F.col("row_place") / shards).cast("long").alias("slot"),
