@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daypanel.llm import spans
-from daypanel.llm.text import least_count, named
+from daypanel.llm.text import least_count, named, numbered_columns
 from daypanel.llm.words import LONG_WORD, Encoder, encoder
 from daypanel.sources.tables import written
 
@@ -139,9 +139,10 @@ def encode_texts(docs: DataFrame, path: str, text: str = "text", ids: str = "ids
     columns of `docs` stay; one named like `ids` is replaced.
     """
     kept = [c for c in docs.columns if c != ids]
-    ordered = docs.select(*kept)
-    schema = ordered.withColumn(ids, F.lit(b"")).schema
-    return ordered.mapInArrow(_encoding(kept, kept, text, ids, _sent_table(docs, path, text, table_words), path), schema)
+    ordered = numbered_columns(docs, kept)
+    at, names = f"c{kept.index(text)}", ordered.columns
+    encode = _encoding(names, names, at, "ids", _sent_table(docs, path, text, table_words), path)
+    return ordered.mapInArrow(encode, ordered.withColumn("ids", F.lit(b"")).schema).toDF(*kept, ids)
 
 
 def decode_ids(encoded: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -154,8 +155,9 @@ def decode_ids(encoded: DataFrame, path: str, ids: str = "ids", text: str = "dec
     replaced.
     """
     kept = [c for c in encoded.columns if c != text]
-    ordered = encoded.select(*kept)
-    return ordered.mapInArrow(_decoding(kept, ids, text, path), ordered.withColumn(text, F.lit("")).schema)
+    ordered = numbered_columns(encoded, kept)
+    decode = _decoding(ordered.columns, f"c{kept.index(ids)}", "text", path)
+    return ordered.mapInArrow(decode, ordered.withColumn("text", F.lit("")).schema).toDF(*kept, text)
 
 
 def encode_and_decode(
@@ -163,11 +165,12 @@ def encode_and_decode(
 ) -> DataFrame:
     """`docs` without `text`, with its `ids` and their text `decoded`: both operators in one pass of one worker."""
     carried = [c for c in docs.columns if c not in (text, ids, decoded)]
-    ordered = docs.select(*carried, text)
-    schema = docs.select(*carried, F.lit(b"").alias(ids), F.lit("").alias(decoded)).schema
-    encode = _encoding(ordered.columns, carried, text, ids, _sent_table(docs, path, text, table_words), path)
-    decode = _decoding([*carried, ids], ids, decoded, path)
-    return ordered.mapInArrow(lambda batches: decode(encode(batches)), schema)
+    ordered = numbered_columns(docs, [*carried, text])
+    names = ordered.columns[:-1]
+    schema = ordered.select(*names, F.lit(b"").alias("ids"), F.lit("").alias("decoded")).schema
+    encode = _encoding(ordered.columns, names, ordered.columns[-1], "ids", _sent_table(docs, path, text, table_words), path)
+    decode = _decoding([*names, "ids"], "ids", "decoded", path)
+    return ordered.mapInArrow(lambda batches: decode(encode(batches)), schema).toDF(*carried, ids, decoded)
 
 
 def vocabulary_table(spark: SparkSession, path: str) -> DataFrame:

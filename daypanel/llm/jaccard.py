@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from daypanel.llm import spans
 from daypanel.llm.components import components
+from daypanel.llm.text import named
 from daypanel.sources.tables import written
 
 WORDS = 5
@@ -369,7 +370,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     its own n_shingles; rows of a null key link too, and a null component_id is
     theirs. An empty table gives no rows; other columns are not read.
     """
-    own = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("key"), F.col(text).alias("text"))
+    own = docs.select(F.coalesce(named(key).cast("long"), F.lit(NO_KEY)).alias("key"), named(text).alias("text"))
     described = written(describe(own))
     sets = described.filter("kind = 0").select("key", "n", "a", "b", "sketch")
     total = sets.count()
@@ -423,12 +424,13 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     """One row of `docs` per component: that of the smallest key, a null one being smaller than any other.
 
     Rows link by their texts alone, so rows of a null or repeated key fall
-    together only where their n-grams do. Rows without n-grams all stay.
+    together only where their n-grams do. Rows without n-grams all stay, and so
+    do all columns, whatever their names; an empty table gives no rows.
     """
     numbered = docs.select(
-        F.struct(*[F.col(c) for c in docs.columns]).alias("row"),
-        F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("key"),
-        F.xxhash64(F.col(text)).alias("print"),
+        F.struct(*[named(c) for c in docs.columns]).alias("row"),
+        F.coalesce(named(key).cast("long"), F.lit(NO_KEY)).alias("key"),
+        F.xxhash64(named(text)).alias("print"),
         F.monotonically_increasing_id().alias("row_id"),
     )
     # Stored, so that each later reading finds the same numbers.

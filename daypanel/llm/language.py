@@ -10,10 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from daypanel.llm import spans
+from daypanel.llm.text import named, numbered_columns
 
 #: Cells that hashed n-grams are counted in.
 CELLS = 1 << 14
-#: Labelled documents per language that a model is fitted on, at most.
+#: Labelled documents per language that a model is fitted on, about, where there are more.
 PER_LANGUAGE = 2_000
 UNKNOWN = "und"
 
@@ -49,17 +50,19 @@ def _counted(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", order: str = "doc_id", per_language: int = PER_LANGUAGE) -> dict:
     """The n-gram probabilities of each language, from rows whose text and `lang` aren't null.
 
-    At most `per_language` rows of each language count, those with the smallest
-    hash of `order`: a bounded sample, drawn alike in every run. The model has
+    About `per_language` rows of each language count, or all where there are
+    fewer: those whose hash of `order` is small, drawn alike in every run; how
+    many a share of the hashes hits varies by its root. The model has
     `CELLS` numbers per language and is small enough to send to every task.
     """
-    known = labelled.filter(F.col(text).isNotNull() & F.col(lang).isNotNull())
-    sizes = known.groupBy(lang).count().collect()
-    share = F.create_map(*[x for r in sizes for x in (F.lit(r[lang]), F.lit(min(1.0, 1.2 * per_language / r["count"])))]) if sizes else None
+    known = labelled.filter(named(text).isNotNull() & named(lang).isNotNull())
+    known = known.select(named(lang).alias("lang"), named(text).alias("text"), named(order).cast("string").alias("order"))
+    sizes = known.groupBy("lang").count().collect()
+    share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, per_language / r["count"])))]) if sizes else None
     if share is None:
         return {"languages": [], "logs": np.zeros((0, CELLS))}
-    place = F.pmod(F.xxhash64(F.col(order).cast("string")), F.lit(1 << 30)) / (1 << 30)
-    sample = known.filter(place < F.element_at(share, F.col(lang))).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    place = F.pmod(F.xxhash64("order"), F.lit(1 << 30)) / (1 << 30)
+    sample = known.filter(place < F.element_at(share, F.col("lang"))).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -154,9 +157,10 @@ def identify(docs: DataFrame, model: dict, text: str = "text", penalty: float =
     """
     added = ("lang_pred", "score", "lang_shares", "text_has_letter")
     kept = [c for c in docs.columns if c not in added]
-    source = docs.select(*kept, has_letter(F.col(text)).alias("text_has_letter"))
-    schema = docs.select(
-        *kept,
+    own = numbered_columns(docs, kept)
+    source = own.select("*", has_letter(F.col(f"c{kept.index(text)}")).alias("text_has_letter"))
+    schema = own.select(
+        "*",
         F.lit("").alias("lang_pred"),
         F.lit(0.0).alias("score"),
         F.create_map(F.lit(""), F.lit(0.0)).alias("lang_shares"),
@@ -183,7 +187,7 @@ def identify(docs: DataFrame, model: dict, text: str = "text", penalty: float =
                 columns = [batch.column(i).slice(at, len(part)) for i in range(len(kept))]
                 yield pa.RecordBatch.from_arrays(
                     [*columns, pa.array(lang, pa.string()), pa.array(score), pa.array(pairs, pa.map_(pa.string(), pa.float64()))],
-                    [*kept, "lang_pred", "score", "lang_shares"],
+                    schema.names,
                 )
 
-    return source.mapInArrow(predict, schema)
+    return source.mapInArrow(predict, schema).toDF(*kept, "lang_pred", "score", "lang_shares")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from daypanel.llm import spans
+from daypanel.llm.text import named, numbered_columns
 from daypanel.llm.words import encoder
 from daypanel.sources.tables import written
 
@@ -27,7 +28,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int, size: int, key: str = "doc
     last fill a sequence by themselves. `ids` are little-endian unsigned 32-bit
     integers, `ids_crc32` is their checksum.
     """
-    schema = f"`{key}` long, start long, length long, doc_tokens long, ids_crc32 long, ids binary"
+    schema = "key long, start long, length long, doc_tokens long, ids_crc32 long, ids binary"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -45,10 +46,11 @@ def tokenize(docs: DataFrame, path: str, end_id: int, size: int, key: str = "doc
                 kinds = [pa.int64()] * 5 + [pa.binary()]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(rows, kinds, strict=True)],
-                    [key, "start", "length", "doc_tokens", "ids_crc32", "ids"],
+                    ["key", "start", "length", "doc_tokens", "ids_crc32", "ids"],
                 )
 
-    return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(cut, schema)
+    pieces = docs.select(named(key).cast("long").alias("key"), named(text).alias("text")).mapInArrow(cut, schema)
+    return pieces.withColumnRenamed("key", key)
 
 
 class Bins:
@@ -102,21 +104,24 @@ def pack(pieces: DataFrame, size: int, length: str = "length", order: tuple[str,
     """
     kept = [c for c in pieces.columns if c not in ("sequence_id", "offset", "pack_group")]
     groups = max(1, -(-pieces.count() // group))
-    dealt = pieces.select(*kept, F.floor(F.rand(seed) * groups).cast("long").alias("pack_group"))
-    schema = pieces.select(*kept, F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).schema
+    own = numbered_columns(pieces, kept)
+    names, at = own.columns, f"c{kept.index(length)}"
+    by = [f"c{kept.index(c)}" for c in order]
+    dealt = own.select("*", F.floor(F.rand(seed) * groups).cast("long").alias("pack_group"))
+    schema = own.select("*", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).schema
 
     def fill(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(list(order), kind="stable") if order else frame
-        lengths = frame[length].to_numpy()
+        frame = frame.sort_values(by, kind="stable") if by else frame
+        lengths = frame[at].to_numpy()
         if len(lengths) and not 1 <= lengths.min() <= lengths.max() <= size:
             raise ValueError(f"lengths must lie between 1 and {size}")
         bins, offsets = first_fit_decreasing(lengths, size)
-        out = frame[kept].copy()
+        out = frame[names].copy()
         out["sequence_id"] = frame["pack_group"].to_numpy() * (1 << 32) + bins
         out["offset"] = offsets
         return out
 
-    return dealt.groupBy("pack_group").applyInPandas(fill, schema)
+    return dealt.groupBy("pack_group").applyInPandas(fill, schema).toDF(*kept, "sequence_id", "offset")
 
 
 def pack_documents(

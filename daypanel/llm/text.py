@@ -24,6 +24,11 @@ def named(column: str) -> Column:
     return F.col("`" + column.replace("`", "``") + "`")
 
 
+def numbered_columns(table: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns as c0, c1, ...: Spark's Python mappings look names up unquoted, so dots in them fail there."""
+    return table.select(*[named(c).alias(f"c{i}") for i, c in enumerate(columns)])
+
+
 def least_count(table: DataFrame, most_words: int, most_bytes: int) -> int:
     """The power of two such that the words of `table` (word, n) with as high an n keep within both bounds."""
     level = F.floor(F.log2("n")).cast("int").alias("level")
