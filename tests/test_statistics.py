@@ -1,12 +1,14 @@
 """Ordered sums, quantiles, curves, ANOVA tails and selection."""
 
+import math
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from daypanel.functions.tails import f_tail_value, incomplete_beta
+from brute_tails import f_tail_value, incomplete_beta, log_gamma_ratio
+from daypanel.functions import tails as T
 from daypanel.operators import evaluation as V
 from daypanel.operators.features import pivot_features
 from daypanel.operators import ordered as O
@@ -108,6 +110,26 @@ def test_beta_and_f_tail():
     assert f_tail_value(float("inf"), 1, 5) == 0.0
 
 
+def test_tail_expressions_equal_plain_python(spark):
+    cases = [(f, a, b) for f in (0.0, 1e-9, 0.3, 1.0, 4.9646, 37.0, 900.0) for a in (1.0, 2.0, 7.0, 150.0) for b in (1.0, 3.0, 10.0, 298.0, 1e5, 1e7)]
+    cases += [(float("inf"), 1.0, 5.0), (float("nan"), 1.0, 5.0), (None, 1.0, 5.0), (2.0, 1.0, 0.0)]
+    df = spark.createDataFrame(cases, "f double, a double, b double").coalesce(1)
+    rows = df.select("f", "a", "b", T.f_tail("f", "a", "b").alias("p")).collect()
+    for r in rows:
+        want = f_tail_value(r["f"], r["a"], r["b"])
+        assert r["p"] is want is None or r["p"] == pytest.approx(want, rel=1e-9, abs=1e-300), r
+    betas = df.select(T.incomplete_beta(F.lit(2), F.lit(3), F.lit(0.4)), T.incomplete_beta(F.lit(0.5), F.lit(0.5), F.lit(0.25))).first()
+    assert list(betas) == [pytest.approx(0.5248), pytest.approx(1 / 3)]
+    gammas = spark.range(1).select(*[T.log_gamma(F.lit(x)) for x in (0.5, 1.0, 2.0, 7.25, 1e6)]).first()
+    assert list(gammas) == [pytest.approx(math.lgamma(x), rel=1e-13, abs=1e-13) for x in (0.5, 1.0, 2.0, 7.25, 1e6)]
+
+
+def test_anova_needs_no_python_worker(spark):
+    df = spark.createDataFrame([(0, 1.0), (1, 2.0), (1, 3.5)], "target int, x double")
+    plan = S.anova(df, ["x"], "target")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
 def test_anova_against_numpy(spark):
     rng = np.random.default_rng(0)
     y = rng.integers(0, 2, 300)
@@ -153,7 +175,6 @@ def test_correlation_uses_every_row_of_a_pair(spark):
 
 
 def test_gamma_ratio_keeps_its_digits():
-    from daypanel.functions.tails import f_tail_value, log_gamma_ratio
 
     for d in (0.5, 1.0, 3.5):
         assert log_gamma_ratio(99_999.0, d) == pytest.approx(log_gamma_ratio(100_001.0, d), abs=d * 3e-5)
