@@ -9,12 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from daypanel.functions.tails import f_tail
+from daypanel.operators.correlation import correlation_long
 from daypanel.operators.panel import melt
 
 
@@ -115,45 +114,6 @@ def passing(tests: DataFrame, alpha: float = 0.05) -> DataFrame:
     return tests.where(F.col("p_value") <= alpha)
 
 
-def correlation_long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(index, variable, value): Pearson correlation of every ordered pair of columns.
-
-    A pair is taken over all rows in which both of its values are present,
-    whatever other columns lack. Each task sums up a matrix of products over
-    its rows; the tasks' sums meet per pair, and none of it passes the driver.
-    A column that is constant on the pair's rows has a null correlation.
-    """
-    cols = list(cols)
-    doubles = df.select(F.array(*[F.col(f"`{c}`").cast("double") for c in cols]).alias("x"), *[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
-    # Sums about the mean keep the digits of values far from 0.
-    middles = doubles.agg(*[F.avg(F.nanvl(f"c{i}", F.lit(None))).alias(f"c{i}") for i in range(len(cols))]).first()
-    shift = np.array([m if m is not None and np.isfinite(m) else 0.0 for m in middles])
-
-    def sums(batches):
-        total = None
-        for batch in batches:
-            if not len(batch):
-                continue
-            x = np.array([[np.nan if v is None else v for v in row] for row in batch["x"]], dtype=float) - shift
-            there = np.isfinite(x)
-            x = np.where(there, x, 0.0)
-            m = there.astype(float)
-            part = np.stack([m.T @ m, x.T @ m, m.T @ x, (x * x).T @ m, m.T @ (x * x), x.T @ x])
-            total = part if total is None else total + part
-        if total is not None:
-            i, j = np.nonzero(~np.eye(len(cols), dtype=bool))
-            values = dict(zip(("n", "a", "b", "aa", "bb", "ab"), (t[i, j] for t in total), strict=True))
-            yield pd.DataFrame({"i": i.astype("int32"), "j": j.astype("int32"), **values})
-
-    parts = doubles.select("x").mapInPandas(sums, "i int, j int, n double, a double, b double, aa double, bb double, ab double")
-    whole = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "a", "b", "aa", "bb", "ab")])
-    n, a, b = F.col("n"), F.col("a"), F.col("b")
-    spread = (F.col("aa") - a * a / n) * (F.col("bb") - b * b / n)
-    value = F.when((n > 1) & (spread > 0), (F.col("ab") - a * b / n) / F.sqrt(spread))
-    names = F.array(*[F.lit(c) for c in cols])
-    return whole.select(F.get(names, F.col("i")).alias("index"), F.get(names, F.col("j")).alias("variable"), value.alias("value"))
-
-
 def rank_pairs(pairs: DataFrame) -> DataFrame:
     """Add `rank`: per column, its partners from weakest to strongest correlation."""
     order = Window.partitionBy("index").orderBy(F.abs("value").asc_nulls_last(), "variable")

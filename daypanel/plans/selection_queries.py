@@ -9,7 +9,8 @@ from daypanel.functions.columns import yes
 from daypanel.operators import selection as S
 from daypanel.operators.features import abridged_features
 from daypanel.plans.registry import query, rounded
-from daypanel.plans.standins import EVENT_SERIES, SERIES, TAIL, TARGETS, event_panel, events, targets
+from daypanel.plans.standins import END, EVENT_SERIES, LONG, SERIES, START, TAIL, TARGETS, event_panel, events, targets
+from daypanel.sources.spine import day_count
 from daypanel.sources.tables import load
 
 COLS = [*EVENT_SERIES, "TS_UNITS", "TS_MEAN", "TS_TOP", "TS_ALL", "TS_ZERO", "TS_HOLES"]
@@ -133,6 +134,24 @@ def correlation_long(spark: SparkSession, where: str) -> DataFrame:
     return rounded(S.correlation_long(matrix(spark, where), USABLE))
 
 
+_TILED = f"""{LONG}, wide AS (SELECT user_id, kind || '_' || t AS name, x FROM long),
+pairs AS (SELECT a.name AS index, b.name AS variable, count(*) AS n, sum(a.x) AS a, sum(b.x) AS b,
+  sum(a.x * a.x) AS aa, sum(b.x * b.x) AS bb, sum(a.x * b.x) AS ab
+  FROM wide a JOIN wide b ON a.user_id = b.user_id AND a.name <> b.name GROUP BY 1, 2)"""
+
+
+@query(
+    "correlation_tiles",
+    f"""WITH {_TILED} SELECT index, variable,
+    round(CASE WHEN n * aa > a * a AND n * bb > b * b THEN (n * ab - a * b) / (sqrt(n * aa - a * a) * sqrt(n * bb - b * b)) END, 6) + 0.0 AS value FROM pairs""",
+)
+def correlation_tiles(spark: SparkSession, where: str) -> DataFrame:
+    """Every measure of every day against every other, in tiles of 32 columns."""
+    panel = event_panel(spark, where)
+    wide = {f"{c}_{t}": F.get(c, F.lit(t)) for c in SERIES for t in range(day_count(START, END))}
+    return rounded(S.correlation_long(panel.select(*[v.alias(k) for k, v in wide.items()]), list(wide), tile=32))
+
+
 @query(
     "correlation_rank",
     f"""WITH {MATRIX}, pairs AS ({_PAIRS}) SELECT index, variable,
