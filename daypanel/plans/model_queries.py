@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from daypanel.operators import boosting
 from daypanel.operators import models as M
 from daypanel.operators.evaluation import curve_areas
 from daypanel.operators.resample import class_weights, upsample
@@ -97,6 +98,26 @@ def gbt_importance(spark: SparkSession, where: str, rounds: int = ROUNDS, depth:
     return rounded(M.importances(model, train, top=20))
 
 
+@query("gbt_split_importance")
+def gbt_split_importance(spark: SparkSession, where: str, rounds: int = ROUNDS, depth: int = DEPTH) -> DataFrame:
+    """How often, on how many rows and to what gain the boosted trees split on each column."""
+    train, _ = _halves(spark, where)
+    model = M.fit_gbt(train, "labels", COLS, maxDepth=depth, maxIter=rounds, seed=11)
+    found = boosting.split_importance(model, train, top=20)
+    return rounded(found)
+
+
+@query("gbt_search")
+def gbt_search(spark: SparkSession, where: str, trials: int = boosting.TRIALS, rounds: int = boosting.ROUNDS) -> DataFrame:
+    """All fits of a search over boosted trees, scored on validation rows that neither the fits nor a test see."""
+    rows = matrix(spark, where).select("user_id", F.col("target").cast("double").alias("labels"), *COLS)
+    parts = split_by_mod(rows, "user_id")
+    table, _, _ = boosting.search_trees(
+        parts.where("split = 'train'"), parts.where("split = 'val'"), "labels", COLS, trials, seed=4231, rounds=rounds
+    )
+    return rounded(table.select("trial", "rung", "rounds", "score", F.to_json("params").alias("params")))
+
+
 @query("best_fold_model")
 def best_fold_model(spark: SparkSession, where: str) -> DataFrame:
     train, test = _halves(spark, where)
