@@ -104,6 +104,42 @@ def hashed_row_numbers(
     return numbered.select(*df.columns, (F.col("_before") + F.row_number().over(within)).alias(out))
 
 
+def shuffled_places(df: DataFrame, id: str, seed: int, files: int) -> DataFrame:
+    """Add `file`, from 0 to files - 1, and `place` in it, gapless from 0: a shuffle that repeats.
+
+    The order is that of a hash of the unique `id`, so the same rows get the
+    same places however they were partitioned, and again after a lost task;
+    files differ by one row at most.
+    """
+    total = df.count()
+    number = F.col("_rn") - 1
+    file = F.floor(number * files / F.lit(max(total, 1))).cast("int")
+    # Whole numbers: a quotient of doubles may fall on the wrong side of a file's first row.
+    first = lambda f: F.floor((f * F.lit(total) + (files - 1)) / files).cast("long")
+    placed = hashed_row_numbers(df, id, seed, out="_rn").withColumn("file", file)
+    placed = placed.withColumn("file", F.when(number < first(F.col("file").cast("long")), F.col("file") - 1).when(number >= first(F.col("file").cast("long") + 1), F.col("file") + 1).otherwise(F.col("file")))
+    return placed.withColumn("place", number - first(F.col("file").cast("long"))).drop("_rn")
+
+
+def stored_in_order(df: DataFrame, order: Sequence[Column], path: str) -> DataFrame:
+    """`df` sorted as a whole and stored at `path`, read back with `place`, its row number from 0.
+
+    Spark deals the rows to files by ranges of the order; a row's place is that
+    in its file behind the rows of the files before, one number per file. The
+    places are those of any other partitioning if the order leaves no ties.
+    """
+    df.orderBy(*order).write.mode("overwrite").parquet(path)
+    rows = df.sparkSession.read.schema(df.schema).parquet(path)
+    name = F.col("_metadata.file_name")
+    numbered = rows.select("*", F.regexp_extract(name, r"part-(\d+)", 1).cast("int").alias("_part"), F.regexp_extract(name, r"-c(\d+)\.", 1).cast("int").alias("_piece"), F.col("_metadata.row_index").alias("_row"))
+    before = Window.orderBy("_part", "_piece").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = numbered.groupBy("_part", "_piece").agg(F.count("*").alias("_n"))
+    # One row per file.
+    offsets = sizes.select("_part", "_piece", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    placed = numbered.join(offsets, ["_part", "_piece"])
+    return placed.select(*df.columns, (F.col("_before") + F.col("_row")).alias("place"))
+
+
 def exact_quantiles(
     df: DataFrame, col: str, points: Sequence[float], by: Sequence[str] = (), interpolate: bool = True
 ) -> DataFrame:

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from daypanel.functions.columns import to_column
 from daypanel.operators.neighbours import nearest
 from daypanel.operators.ordered import hashed_row_numbers
-from daypanel.operators.panel import replicate
 from daypanel.sources.spine import hash_fraction
 from daypanel.sources.tables import cut_lineage
 
@@ -37,14 +36,21 @@ def upsample(df: DataFrame, label: str, shuffle_seed: int | None = None) -> Data
 
     With more positives than negatives that number would be 0 and lose every
     positive; here each stays once. Labels other than 0 and 1 are an error.
+    With `shuffle_seed` the rows come in the order of a hash of their values
+    and copy number, which repeats whatever the partitioning.
     """
     zeros, ones = _two_counts(df, label)
     if df.where(F.coalesce(~F.col(label).isin(0, 1), F.lit(True))).limit(1).count():
         raise ValueError(f"{label} must be 0 or 1 in every row")
     times = max(1, zeros // ones) if ones else 1
-    copies = replicate(df.where(F.col(label) == 1), times)
-    out = df.where(F.col(label) == 0).unionByName(copies)
-    return out if shuffle_seed is None else out.orderBy(F.rand(shuffle_seed))
+    numbered = F.explode(F.sequence(F.lit(1), F.lit(times))).alias("_copy")
+    copies = df.where(F.col(label) == 1).select("*", numbered)
+    out = df.where(F.col(label) == 0).withColumn("_copy", F.lit(1)).unionByName(copies)
+    if shuffle_seed is None:
+        return out.drop("_copy")
+    values = F.concat_ws("#", F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])), F.col("_copy").cast("string"))
+    order = [hash_fraction(values, shuffle_seed), values]
+    return out.orderBy(*order).drop("_copy")
 
 
 def vector_of(cols: Sequence[str | Column]) -> Column:
@@ -104,6 +110,7 @@ def smote_nc(
     k: int = 5,
     seed: int = 2143,
     minority: int = 1,
+    key: str | None = None,
 ) -> DataFrame:
     """Original rows plus synthetic minority rows, until both classes are equal in number.
 
@@ -112,8 +119,10 @@ def smote_nc(
     a tie). In the distance a differing 0/1 column counts as two one-hot
     columns of half the median standard deviation each. Every minority row is
     the base of equally many synthetic rows, up to one; all draws are hashes of
-    the base id, so a recomputed task makes the same rows. Synthetic rows have
-    a null id and `synthetic` = 1.
+    the base id by md5, so a recomputed task, or any other engine, makes the
+    same rows. Synthetic rows have a null id and `synthetic` = 1. `key` names a
+    column to add that is unique: "o" and the id, or "s", the base id and the
+    number of the synthetic row made from it.
     """
     cols = [*numeric, *categorical]
     if not numeric:
@@ -122,7 +131,8 @@ def smote_nc(
     zeros, ones = _two_counts(df, label)
     fewer, more = (ones, zeros) if minority == 1 else (zeros, ones)
     base = df.select(id, label, *[F.col(c).cast("double").alias(c) for c in cols])
-    originals = base.withColumn("synthetic", F.lit(0))
+    named = [F.concat(F.lit("o"), F.col(id).cast("string")).alias(key)] if key else []
+    originals = base.select("*", F.lit(0).alias("synthetic"), *named)
     missing = more - fewer
     if missing <= 0:
         return originals
@@ -149,8 +159,9 @@ def smote_nc(
     drawn = (
         numbered.join(neighbourhood, "id")
         .withColumn("copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies.cast("int")))))
-        .withColumn("pick", F.pmod(F.xxhash64("id", "copy", F.lit(seed)), F.size("near")).cast("int"))
-        .withColumn("gap", hash_fraction(F.concat_ws(":", F.col("id").cast("string"), "copy"), seed + 1))
+        .withColumn("draw", F.concat_ws(":", F.col("id").cast("string"), F.col("copy").cast("string")))
+        .withColumn("pick", F.floor(hash_fraction(F.col("draw"), seed + 2) * F.size("near")).cast("int"))
+        .withColumn("gap", hash_fraction(F.col("draw"), seed + 1))
         .withColumn("other", F.get("near", F.col("pick"))["neighbour_num"])
     )
     made_numeric = [
@@ -167,20 +178,15 @@ def smote_nc(
         *made_numeric,
         *made_categorical,
         F.lit(1).alias("synthetic"),
+        *([F.concat(F.lit("s"), F.col("draw")).alias(key)] if key else []),
     )
     return originals.unionByName(synthetic)
 
 
-def _keyed(resampled: DataFrame, id: str, label: str, cols: Sequence[str]) -> DataFrame:
-    """A key for every row: originals by their id, synthetic rows by their content.
-
-    Equal synthetic rows share a key; they are the same vector with the same
-    label, so cleaning treats them alike.
-    """
-    key = F.when(F.col("synthetic") == 0, F.concat(F.lit("o"), F.col(id).cast("string"))).otherwise(
-        F.concat(F.lit("s"), F.md5(F.concat_ws(",", *[F.col(c).cast("string") for c in cols])))
-    )
-    return resampled.withColumn("_key", key)
+def _grown(df: DataFrame, id: str, label: str, numeric: Sequence[str], categorical: Sequence[str], k: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """The oversampled rows with a unique `_key`, stored, and their (key, label, vector)."""
+    grown = cut_lineage(smote_nc(df, id, label, numeric, categorical, k, seed, key="_key"))
+    return grown, grown.select("_key", label, vector_of([*numeric, *categorical]).alias("vector"))
 
 
 def smote_tomek(
@@ -193,9 +199,27 @@ def smote_tomek(
     seed: int = 2143,
     remove: str = "all",
 ) -> DataFrame:
-    """Oversample, then drop the ends of the nearest-neighbour links between the classes."""
-    cols = [*numeric, *categorical]
-    grown = cut_lineage(_keyed(smote_nc(df, id, label, numeric, categorical, k, seed), id, label, cols))
-    points = grown.groupBy("_key").agg(F.max(label).alias(label), F.first(vector_of(cols)).alias("vector"))
+    """Oversample, then drop the ends of the nearest-neighbour links between the classes.
+
+    Equal rows are each other's nearest neighbours.
+    """
+    grown, points = _grown(df, id, label, numeric, categorical, k, seed)
     kept = remove_tomek(points, "_key", label, "vector", remove)
     return grown.join(kept.select("_key"), "_key", "left_semi").drop("_key")
+
+
+def smote_enn(
+    df: DataFrame,
+    id: str,
+    label: str,
+    numeric: Sequence[str],
+    categorical: Sequence[str],
+    k: int = 5,
+    seed: int = 2143,
+    neighbours: int = 3,
+    rule: str = "all",
+) -> DataFrame:
+    """Oversample, then drop the rows whose nearest neighbours disagree with their class."""
+    grown, points = _grown(df, id, label, numeric, categorical, k, seed)
+    kept = remove_enn(points, "_key", label, "vector", neighbours, rule)
+    return grown.join(kept.select("_key"), "_key", "left_semi").drop("_key")

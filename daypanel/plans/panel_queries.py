@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from daypanel.functions.columns import add_measures, narrow_arrays, yes
 from daypanel.operators import panel as P
 from daypanel.operators.features import pivot_long
+from daypanel.operators.growth import merge_panels
 from daypanel.operators.intervals import interval_days
 from daypanel.plans.registry import query, r, rounded
 from daypanel.plans.standins import (
@@ -210,6 +211,38 @@ def narrowed_panel(spark: SparkSession, where: str) -> DataFrame:
     )
 
 
+@query(
+    "panel_grown",
+    f"""WITH {DENSE}, {EXPANDED}, top AS (SELECT user_id, date, max(k) AS k FROM ev GROUP BY user_id, date)
+    SELECT user_id, CAST(date - DATE '{START}' AS INTEGER) AS time, TS_CLMLINES_VIEW AS views,
+      coalesce(max(k) OVER (PARTITION BY user_id ORDER BY date), 0) AS top_k,
+      CAST(coalesce(active, 0) AS BIGINT) AS active, round(coalesce(rate, 0), 6) + 0.0 AS rate
+    FROM dense LEFT JOIN spread USING (user_id, date) LEFT JOIN top USING (user_id, date)""",
+)
+def panel_grown(spark: SparkSession, where: str) -> DataFrame:
+    """Two windows that overlap by three days, built apart and merged: as if built at once."""
+    old, new = (START, "2024-01-12"), ("2024-01-10", END)
+
+    def built(window: tuple[str, str]) -> DataFrame:
+        return P.build_panel(
+            events(spark, where),
+            "user_id",
+            "date",
+            *window,
+            sums={"views": yes(F.col("event_type") == "view")},
+            maxes={"top_k": F.col("k")},
+            spans={"active": F.lit(1), "rate": spend_rate()},
+            span_filter=F.col("event_type") == "purchase",
+            span_days=days_supply(),
+            carried=["top_k"],
+        )
+
+    cols = ["views", "top_k", "active", "rate"]
+    merged = merge_panels(built(old), built(new), "user_id", cols, old, new, carried=["top_k"])
+    days = merged.select("user_id", F.posexplode(F.arrays_zip(*cols)).alias("time", "at"))
+    return rounded(days.select("user_id", "time", *[f"at.{c}" for c in cols]))
+
+
 @query(
     "melt_wide",
     """SELECT l_orderkey, l_linenumber, unnest(['l_quantity', 'l_discount', 'l_tax']) AS variable,

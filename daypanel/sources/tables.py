@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import os
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -28,14 +31,17 @@ def save_table(
 
     `fmt="delta"` works where the Delta jars are installed. A panel bucketed
     by its id is read back already partitioned, so per-id aggregates and joins
-    on it need no further exchange.
+    on it need no further exchange. Its rows are dealt to their buckets first:
+    every bucket is one sorted file, however many tasks the panel came from.
     """
+    if bucket_by:
+        buckets = buckets or int(_conf(df, "spark.sql.shuffle.partitions", "200"))
+        df = df.repartition(buckets, bucket_by)
     writer = df.write.mode("overwrite").format(fmt).option("overwriteSchema", "true")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     if bucket_by:
-        writer = writer.bucketBy(buckets or int(_conf(df, "spark.sql.shuffle.partitions", "200")), bucket_by)
-        writer = writer.sortBy(bucket_by)
+        writer = writer.bucketBy(buckets, bucket_by).sortBy(bucket_by)
     writer.saveAsTable(target)
     return target
 
@@ -69,19 +75,73 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder for intermediate tables, which driver and executors can all reach.
 
     `spark.checkpoint.dir` names it; where that is unset it is a subfolder of
-    the session's warehouse, never a temporary folder of one machine.
+    the session's warehouse. On a cluster that must lie in a shared file system:
+    a folder of the driver's machine is an error there.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", "") or ""
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        if not folder and not context.master.startswith("local") and warehouse.split(":", 1)[0] in ("file", warehouse):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors reach")
         context.setCheckpointDir(folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_intermediate")
     return context.getCheckpointDir()
 
 
+class Intermediates:
+    """The folders that were stored inside one scope."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def clear(self) -> None:
+        """Delete the folders, through the file system that each of them names."""
+        jvm = self.spark._jvm
+        conf = self.spark._jsc.hadoopConfiguration()
+        while self.paths:
+            path = jvm.org.apache.hadoop.fs.Path(self.paths.pop())
+            path.getFileSystem(conf).delete(path, True)
+
+
+_scopes: list[Intermediates] = []
+_lock = threading.Lock()
+
+
+@contextmanager
+def intermediates(spark: SparkSession) -> Iterator[Intermediates]:
+    """A scope that owns what `written` and `cut_lineage` store in it, and clears it at its end.
+
+    Results must have been read or written elsewhere by then. Scopes may lie
+    inside each other, each owns what is stored while it is the innermost; what
+    is stored outside of any is left for the owner of the folder to clear.
+    Threads that the scope's code starts store into it too, so scopes of
+    independent threads should not overlap.
+    """
+    scope = Intermediates(spark)
+    with _lock:
+        _scopes.append(scope)
+    try:
+        yield scope
+    finally:
+        with _lock:
+            _scopes.remove(scope)
+        scope.clear()
+
+
+def _own(path: str) -> None:
+    with _lock:
+        if _scopes:
+            _scopes[-1].paths.append(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    cut = df.checkpoint()
+    file = cut._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if file.isDefined():
+        _own(file.get())
+    return cut
 
 
 def written(df: DataFrame, path: str | None = None) -> DataFrame:
@@ -91,7 +151,9 @@ def written(df: DataFrame, path: str | None = None) -> DataFrame:
     lost executors, and each step reads only the columns it needs. `path` names
     a target to overwrite; by default each call has its own in the shared folder.
     """
-    path = path or f"{shared_folder(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    if path is None:
+        path = f"{shared_folder(df.sparkSession)}/written-{uuid.uuid4().hex}"
+        _own(path)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
