@@ -11,8 +11,9 @@ from daypanel.operators import boosting
 from daypanel.operators import models as M
 from daypanel.operators.evaluation import curve_areas
 from daypanel.operators.resample import class_weights, upsample
+from daypanel.plans.newton_sql import log_odds, logistic_fit, normal_two_sided
 from daypanel.plans.registry import query, rounded
-from daypanel.plans.selection_queries import EVENT_SERIES, matrix
+from daypanel.plans.selection_queries import EVENT_SERIES, MATRIX, matrix
 from daypanel.sources.spine import TWO_WAY_SPLIT, split_by_mod
 
 # TS_ALL is the sum of the counts, so it is left out of the linear model.
@@ -28,7 +29,17 @@ def _halves(spark: SparkSession, where: str) -> tuple[DataFrame, DataFrame]:
     return parts.where("split = 'train'").persist(), parts.where("split = 'test'")
 
 
-@query("logistic_weighted")
+_DATA = f"WITH RECURSIVE {MATRIX}, data AS (SELECT *, target AS labels, user_id % 20 < 14 AS train FROM matrix)"
+_WEIGHTS = """share AS (SELECT count(*) FILTER (WHERE labels <> 1) / count(*) AS s FROM data WHERE train),
+weighted AS (SELECT 0 AS fit, labels AS y, CASE WHEN labels = 1 THEN s ELSE 1 - s END AS weight, data.* FROM data, share WHERE train)"""
+
+
+@query(
+    "logistic_weighted",
+    f"""{_DATA}, {_WEIGHTS}, {logistic_fit("weighted", COLS, 0.02, 5.5e-7)}
+    SELECT user_id, CAST(labels AS DOUBLE) AS labels, round(1 / (1 + exp(-({log_odds("coef", COLS, "data")}))), 6) + 0.0 AS score
+    FROM data, fitted WHERE NOT train""",
+)
 def logistic_weighted(spark: SparkSession, where: str) -> DataFrame:
     train, test = _halves(spark, where)
     model = M.fit_logistic(class_weights(train, "labels"), "labels", COLS, "classWeightCol", regParam=0.02, tol=5.5e-7)
@@ -36,7 +47,13 @@ def logistic_weighted(spark: SparkSession, where: str) -> DataFrame:
     return rounded(model.transform(test).select("user_id", "labels", F.col("prediction").alias("score")))
 
 
-@query("logistic_coefficients")
+@query(
+    "logistic_coefficients",
+    f"""{_DATA}, {_WEIGHTS}, {logistic_fit("weighted", COLS, 0.02)},
+    each AS (SELECT unnest([{", ".join(f"'{c}'" for c in COLS)}]) AS feature, unnest(coef[1:{len(COLS)}]) AS b, unnest(error[1:{len(COLS)}]) AS e FROM fitted)
+    SELECT feature, round(b, 6) + 0.0 AS log_odds, round(1 / (1 + exp(-b)), 6) + 0.0 AS probability,
+      round({normal_two_sided("(b / e)")}, 6) + 0.0 AS p_value, round(e, 6) + 0.0 AS standard_error FROM each""",
+)
 def logistic_coefficients(spark: SparkSession, where: str) -> DataFrame:
     train, _ = _halves(spark, where)
     weighted = class_weights(train, "labels")
@@ -45,7 +62,14 @@ def logistic_coefficients(spark: SparkSession, where: str) -> DataFrame:
     return rounded(M.coefficient_table(model, weighted))
 
 
-@query("logistic_summary")
+@query(
+    "logistic_summary",
+    f"""{_DATA}, plain AS (SELECT 0 AS fit, labels AS y, 1.0::DOUBLE AS weight, * FROM data WHERE train), {logistic_fit("plain", COLS, 0.02)},
+    likely AS (SELECT sum(CASE WHEN y = 1 THEN ln(mu) ELSE ln(1 - mu) END) AS l FROM (
+      SELECT y, 1 / (1 + exp(-({log_odds("coef", COLS, "plain")}))) AS mu FROM plain, fitted))
+    SELECT round(coef[{len(COLS) + 1}], 6) + 0.0 AS intercept_log_odds, round(1 / (1 + exp(-coef[{len(COLS) + 1}])), 6) + 0.0 AS intercept_probability,
+      round(2 * {len(COLS) + 1} - 2 * l, 6) + 0.0 AS aic FROM fitted, likely""",
+)
 def logistic_summary(spark: SparkSession, where: str) -> DataFrame:
     train, _ = _halves(spark, where)
     summary = M.fit_summary(M.fit_logistic(train, "labels", COLS, regParam=0.02), train)
