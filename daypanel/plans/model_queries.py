@@ -11,7 +11,7 @@ from daypanel.operators import boosting
 from daypanel.operators import models as M
 from daypanel.operators.evaluation import curve_areas
 from daypanel.operators.resample import class_weights, upsample
-from daypanel.plans.newton_sql import log_odds, logistic_fit, normal_two_sided
+from daypanel.plans.newton_sql import curve_steps, dealt_folds, log_odds, logistic_fit, normal_two_sided
 from daypanel.plans.registry import query, rounded
 from daypanel.plans.selection_queries import EVENT_SERIES, MATRIX, matrix
 from daypanel.sources.spine import TWO_WAY_SPLIT, split_by_mod
@@ -77,11 +77,26 @@ def logistic_summary(spark: SparkSession, where: str) -> DataFrame:
     return rounded(summary)
 
 
-@query("logistic_cross_validated")
+_SCORE = f"1 / (1 + exp(-({log_odds('f.coef', COLS, 'd')})))"
+
+
+@query(
+    "logistic_cross_validated",
+    f"""{_DATA}, folded AS MATERIALIZED {dealt_folds("(SELECT * FROM data WHERE train)", "user_id", "labels", 5, 42)},
+    parts AS (SELECT f.fit, d.labels AS y, 1.0::DOUBLE AS weight, d.* FROM folded d, (SELECT unnest(range(6)) AS fit) f WHERE d.fold <> f.fit),
+    {logistic_fit("parts", COLS, 0.02)},
+    held AS (SELECT f.fit, d.labels AS y, {_SCORE} AS score FROM folded d JOIN fitted f ON f.fit = d.fold),
+    tested AS (SELECT f.fit, d.labels AS y, {_SCORE} AS score FROM data d JOIN fitted f ON f.fit = 5 WHERE NOT d.train),
+    {curve_steps("held", "held_steps")}, {curve_steps("tested", "steps")},
+    each AS (SELECT fit, sum((y - y0) * (prec + prec0) / 2) AS area FROM held_steps GROUP BY fit)
+    SELECT round(sum((x - x0) * (y + y0) / 2), 6) + 0.0 AS roc_auc, round(sum((y - y0) * (prec + prec0) / 2), 6) + 0.0 AS pr_auc,
+      round(sum((y - y0) * prec), 6) + 0.0 AS average_precision, (SELECT round(avg(area), 6) + 0.0 FROM each) AS cv_pr_auc FROM steps""",
+)
 def logistic_cross_validated(spark: SparkSession, where: str) -> DataFrame:
     train, test = _halves(spark, where)
     pipeline = M.logistic_pipeline("labels", COLS, regParam=0.02)
-    fitted = M.cross_validate(pipeline, train, "labels", "prediction", folds=5, seed=42)
+    folded = M.add_folds(train, "user_id", "labels", 5, seed=42)
+    fitted = M.cross_validate(pipeline, folded, "labels", "prediction", folds=5, fold_col="fold")
     train.unpersist()
     scored = fitted.bestModel.transform(test).select("labels", "prediction")
     return rounded(curve_areas(scored, "labels", "prediction").withColumn("cv_pr_auc", F.lit(float(fitted.avgMetrics[0]))))
@@ -142,7 +157,17 @@ def gbt_search(spark: SparkSession, where: str, trials: int = boosting.TRIALS, r
     return rounded(table.select("trial", "rung", "rounds", "score", F.to_json("params").alias("params")))
 
 
-@query("best_fold_model")
+@query(
+    "best_fold_model",
+    f"""{_DATA}, folded AS MATERIALIZED {dealt_folds("(SELECT * FROM data WHERE train)", "user_id", "labels", 3, 2134)},
+    parts AS (SELECT f.fit, d.labels AS y, 1.0::DOUBLE AS weight, d.* FROM folded d, (SELECT unnest(range(3)) AS fit) f WHERE d.fold <> f.fit),
+    {logistic_fit("parts", COLS, 0.05)},
+    held AS (SELECT f.fit, d.labels AS y, {_SCORE} AS score FROM folded d JOIN fitted f ON f.fit = d.fold), {curve_steps("held", "steps")},
+    each AS (SELECT fit, sum((y - y0) * (prec + prec0) / 2) AS area FROM steps GROUP BY fit),
+    best AS (SELECT fit, area FROM each ORDER BY area DESC, fit LIMIT 1)
+    SELECT d.user_id, CAST(d.labels AS DOUBLE) AS labels, round({_SCORE}, 6) + 0.0 AS score, round(b.area, 6) + 0.0 AS fold_pr_auc
+    FROM data d, best b JOIN fitted f ON f.fit = b.fit WHERE NOT d.train""",
+)
 def best_fold_model(spark: SparkSession, where: str) -> DataFrame:
     train, test = _halves(spark, where)
     folded = M.add_folds(train, "user_id", "labels", 3, seed=2134).persist()

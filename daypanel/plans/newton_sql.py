@@ -66,3 +66,19 @@ def normal_two_sided(t: str) -> str:
     """P(|N| > |t|) by Simpson's rule over 2,000 steps of the density from 0 to |t|."""
     return f"""(1 - 2 * abs({t}) / 6000 / sqrt(2 * pi()) * list_sum(list_transform(range(0, 2001),
       lambda i: CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-pow(abs({t}) * i / 2000, 2) / 2))))"""
+
+
+def curve_steps(judged: str, name: str) -> str:
+    """CTE of the steps of the curves of `judged` (fit, y, score): rates and precision at each score and before it."""
+    w = "(PARTITION BY fit ORDER BY score DESC)"
+    return f"""{name} AS (
+  SELECT fit, fp / q AS x, tp / p AS y, tp / (tp + fp) AS prec, coalesce(lag(fp / q) OVER {w}, 0) AS x0,
+    coalesce(lag(tp / p) OVER {w}, 0) AS y0, coalesce(lag(tp / (tp + fp)) OVER {w}, tp / (tp + fp)) AS prec0
+  FROM (SELECT *, sum(pos) OVER {w} AS tp, sum(neg) OVER {w} AS fp, sum(pos) OVER (PARTITION BY fit) AS p, sum(neg) OVER (PARTITION BY fit) AS q
+    FROM (SELECT fit, score, sum(y) AS pos, sum(1 - y) AS neg FROM {judged} GROUP BY fit, score)))"""
+
+
+def dealt_folds(rows: str, id: str, label: str, k: int, seed: int) -> str:
+    """`rows` with `fold`: each label's rows dealt out in hashed order."""
+    h = f"('0x' || substr(md5({id} || '#{seed}'), 1, 13))::BIGINT"
+    return f"(SELECT *, CAST((row_number() OVER (PARTITION BY {label} ORDER BY {h}, {id}) - 1) % {k} AS INTEGER) AS fold FROM {rows})"
