@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daypanel.functions.series import let
-from daypanel.operators.models import choice, log_uniform, positive_weight
+from daypanel.operators.models import choice, drawn_trials, log_uniform, positive_weight
 from daypanel.sources.tables import shared_folder, written
 
 #: The published space. `gamma` is the loss, summed over rows, that a split must save.
@@ -65,8 +65,7 @@ def search_trees(
     fitted_on = dealt.sortWithinPartitions("place").drop("place").persist()
     judged_on = judged_on.persist()
     evaluator = BinaryClassificationEvaluator(rawPredictionCol="rawPrediction", labelCol=label, metricName=metric)
-    draw = random.Random(seed)
-    drawn = [{name: f(draw) for name, f in space.items()} for _ in range(trials)]
+    drawn = drawn_trials(space, trials, seed)
 
     def fit(number: int, steps: int) -> tuple[float, GBTClassifier]:
         p = drawn[number]
@@ -85,7 +84,8 @@ def search_trees(
         model = trees.fit(positive_weight(fitted_on, label, p["positive"]))
         return evaluator.evaluate(model.transform(judged_on)), model
 
-    rungs = max(1, math.ceil(math.log(max(trials, 2), shrink) - 1e-9))
+    # As many rungs as the trials allow, the first of them with one round at least.
+    rungs = max(1, min(math.ceil(math.log(max(trials, 2), shrink) - 1e-9), math.floor(math.log(rounds, shrink) + 1e-9) + 1))
     table, alive, best = [], list(range(trials)), None
     try:
         with ThreadPoolExecutor(parallel) as pool:

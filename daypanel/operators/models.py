@@ -123,6 +123,12 @@ def choice(options: Sequence) -> Callable[[random.Random], object]:
     return lambda rng: rng.choice(list(options))
 
 
+def drawn_trials(space: Mapping[str, Callable[[random.Random], object]], trials: int, seed: int) -> list[dict]:
+    """The parameters of the trials of a seeded search."""
+    rng = random.Random(seed)
+    return [{name: draw(rng) for name, draw in space.items()} for _ in range(trials)]
+
+
 def random_search(
     fit: Callable[[dict], tuple[float, object]],
     space: Mapping[str, Callable[[random.Random], object]],
@@ -134,10 +140,8 @@ def random_search(
 
     Gives the trials table, the best parameters and the best model.
     """
-    rng = random.Random(seed)
     rows, best = [], None
-    for number in range(trials):
-        params = {name: draw(rng) for name, draw in space.items()}
+    for number, params in enumerate(drawn_trials(space, trials, seed)):
         score, model = fit(params)
         rows.append((number, float(score), {k: str(v) for k, v in params.items()}))
         if best is None or score > best[0]:

@@ -29,6 +29,11 @@ def _halves(spark: SparkSession, where: str) -> tuple[DataFrame, DataFrame]:
     return parts.where("split = 'train'").persist(), parts.where("split = 'test'")
 
 
+def _sorted_json(params: str):
+    """A map as JSON, its keys in order."""
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(params))))
+
+
 _DATA = f"WITH RECURSIVE {MATRIX}, data AS (SELECT *, target AS labels, user_id % 20 < 14 AS train FROM matrix)"
 _WEIGHTS = """share AS (SELECT count(*) FILTER (WHERE labels <> 1) / count(*) AS s FROM data WHERE train),
 weighted AS (SELECT 0 AS fit, labels AS y, CASE WHEN labels = 1 THEN s ELSE 1 - s END AS weight, data.* FROM data, share WHERE train)"""
@@ -102,7 +107,20 @@ def logistic_cross_validated(spark: SparkSession, where: str) -> DataFrame:
     return rounded(curve_areas(scored, "labels", "prediction").withColumn("cv_pr_auc", F.lit(float(fitted.avgMetrics[0]))))
 
 
-@query("random_search")
+_SPACE = {"regParam": M.uniform(0.01, 0.5, 0.05), "tol": M.uniform(1e-8, 1e-6, 5e-7)}
+_DRAWN = M.drawn_trials(_SPACE, 20, 42)
+_TRIALS = ", ".join(f"""({i}, {p["regParam"]!r}::DOUBLE, {p["tol"]!r}::DOUBLE, '{{"regParam":"{p["regParam"]}","tol":"{p["tol"]}"}}')""" for i, p in enumerate(_DRAWN))
+
+
+@query(
+    "random_search",
+    f"""{_DATA}, fits(fit, ridge, tol, params) AS (VALUES {_TRIALS}),
+    parts AS (SELECT f.fit, f.ridge, f.tol, d.labels AS y, 1.0::DOUBLE AS weight, d.* FROM data d, fits f WHERE d.train),
+    {logistic_fit("parts", COLS, None, None)},
+    held AS (SELECT f.fit, d.labels AS y, {_SCORE} AS score FROM data d, fitted f WHERE d.user_id % 20 BETWEEN 14 AND 17), {curve_steps("held", "steps")}
+    SELECT CAST(fit AS INTEGER) AS trial, round(sum((y - y0) * (prec + prec0) / 2), 6) + 0.0 AS score, params
+    FROM steps JOIN fits USING (fit) GROUP BY fit, params""",
+)
 def random_search(spark: SparkSession, where: str, trials: int = 20) -> DataFrame:
     """Trials of the linear model, scored on validation rows that neither the fits nor a test see."""
     rows = matrix(spark, where).select("user_id", F.col("target").cast("double").alias("labels"), *COLS)
@@ -114,10 +132,9 @@ def random_search(spark: SparkSession, where: str, trials: int = 20) -> DataFram
         model = M.fit_logistic(train, "labels", COLS, **params)
         return evaluator.evaluate(model.transform(validation)), model
 
-    space = {"regParam": M.uniform(0.01, 0.5, 0.05), "tol": M.uniform(1e-8, 1e-6, 5e-7)}
-    table, _, _ = M.random_search(fit, space, trials, 42, spark)
+    table, _, _ = M.random_search(fit, _SPACE, trials, 42, spark)
     parts.unpersist()
-    return rounded(table.select("trial", "score", F.to_json("params").alias("params")))
+    return rounded(table.select("trial", "score", _sorted_json("params").alias("params")))
 
 
 @query("gbt_scores")
@@ -154,7 +171,7 @@ def gbt_search(spark: SparkSession, where: str, trials: int = boosting.TRIALS, r
     table, _, _ = boosting.search_trees(
         parts.where("split = 'train'"), parts.where("split = 'val'"), "labels", COLS, trials, seed=4231, rounds=rounds
     )
-    return rounded(table.select("trial", "rung", "rounds", "score", F.to_json("params").alias("params")))
+    return rounded(table.select("trial", "rung", "rounds", "score", _sorted_json("params").alias("params")))
 
 
 @query(

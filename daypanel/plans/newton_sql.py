@@ -26,29 +26,33 @@ def _matrix(size: int, penalty: Sequence[str]) -> str:
     return f"[{', '.join(rows)}]"
 
 
-def logistic_fit(rows: str, cols: Sequence[str], ridge: float, tol: float = 1e-6, most: int = 100) -> str:
+def logistic_fit(rows: str, cols: Sequence[str], ridge: float | None, tol: float | None = 1e-6, most: int = 100) -> str:
     """CTEs ending in `fitted` (fit, coef, error): coefficients in the order of `cols`, then the intercept, and standard errors.
 
     `rows` names (fit, y, weight, cols); every `fit` is one fit. The first step
     fits the smoothed log odds of the labels with standardised features and
     label, each further one the working response, until no coefficient moves by
-    `tol` or more. The ridge is scaled by the sum of the working weights.
+    `tol` or more. The ridge is scaled by the sum of the working weights. Ridge
+    and tolerance that are None are the columns `ridge` and `tol` of the rows.
     """
+    extra = "".join(f", {name}" for name, given in (("ridge", ridge), ("tol", tol)) if given is None)
+    limit = "d.tol" if tol is None else str(tol)
+    ridge = "max(ridge)" if ridge is None else str(ridge)
     p = len(cols)
     size = p + 1
     deviation = "sqrt(greatest(sum(w * z * z) / sum(w) - pow(sum(w * z) / sum(w), 2), 0))"
     first = [f"{ridge} / {deviation} * (sum(w * a[{i}] * a[{i}]) / sum(w) - pow(sum(w * a[{i}]) / sum(w), 2))" for i in range(1, size)]
     start = f"(SELECT fit, 0 AS iter, sum(w) AS total, {_matrix(size, [*first, '0'])} AS m FROM smoothed GROUP BY fit)"
     eta = " + ".join(f"f.coef[{i}] * d.a[{i}]" for i in range(1, size + 1))
-    working = f"""(SELECT fit, iter, coef, weight * mu * (1 - mu) AS w, eta + (y - mu) / (mu * (1 - mu)) AS z, a
-      FROM (SELECT *, 1 / (1 + exp(-eta)) AS mu FROM (SELECT f.fit, f.iter, f.coef, d.y, d.weight, d.a, {eta} AS eta
-        FROM fitting f JOIN design d ON d.fit = f.fit WHERE f.moved >= {tol} AND f.iter < {most})))"""
-    again = f"(SELECT fit, iter, coef, sum(w) AS total, {_matrix(size, [str(ridge)] * p + ['0'])} AS m FROM {working} GROUP BY fit, iter, coef)"
+    working = f"""(SELECT fit, iter, coef, weight * mu * (1 - mu) AS w, eta + (y - mu) / (mu * (1 - mu)) AS z, a{extra}
+      FROM (SELECT *, 1 / (1 + exp(-eta)) AS mu FROM (SELECT f.fit, f.iter, f.coef, d.* EXCLUDE (fit), {eta} AS eta
+        FROM fitting f JOIN design d ON d.fit = f.fit WHERE f.moved >= {limit} AND f.iter < {most})))"""
+    again = f"(SELECT fit, iter, coef, sum(w) AS total, {_matrix(size, [ridge] * p + ['0'])} AS m FROM {working} GROUP BY fit, iter, coef)"
     solution = f"list_transform(m, lambda r: r[{size + 1}])"
     errors = f"list_transform(m, lambda r, i: sqrt(r[{size + 1} + i] / total))"
     moved = "list_max(list_transform(range(1, len(m) + 1), lambda i: abs(m[i][len(m) + 1] - coef[i])))"
-    return f"""design AS MATERIALIZED (SELECT fit, y, weight, [{", ".join(cols)}, 1.0::DOUBLE] AS a FROM {rows}),
-smoothed AS (SELECT fit, weight AS w, ln(mu / (1 - mu)) AS z, a FROM (SELECT *, (weight * y + 0.5) / (weight + 1) AS mu FROM design)),
+    return f"""design AS MATERIALIZED (SELECT fit, y, weight, [{", ".join(cols)}, 1.0::DOUBLE] AS a{extra} FROM {rows}),
+smoothed AS (SELECT fit, weight AS w, ln(mu / (1 - mu)) AS z, a{extra} FROM (SELECT *, (weight * y + 0.5) / (weight + 1) AS mu FROM design)),
 fitting AS (
   SELECT fit, iter, {solution} AS coef, {errors} AS error, 1e9::DOUBLE AS moved FROM {_solved(start, size, ["fit", "iter", "total"])}
   UNION ALL

@@ -6,7 +6,7 @@ from check_twins import compare, connect
 import __spark_entry__ as contract
 
 TWINS = contract.oracle_sql()
-SLOW_WITHOUT_TWIN = {"random_search", "logistic_cross_validated"}
+SLOW_WITHOUT_TWIN = {"gbt_search"}
 
 
 @pytest.fixture(scope="module")
