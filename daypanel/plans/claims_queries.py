@@ -86,7 +86,8 @@ _CHRONIC = list(V.CONDITION_NAMES)[:27]
 
 
 def _tables(spark: SparkSession, where: str) -> dict[str, DataFrame]:
-    ev = events(spark, where)
+    # Every table below is made of these lines: they are read and their JSON parsed once.
+    ev = written(events(spark, where))
     made = dict(_LINE)
     made["first_srvc_dt"] = "date_add(DATE '2020-10-10', datediff(date, DATE '2024-01-01'))"
     text = [c for c in L.DIAGNOSIS_COLUMNS if c not in made]

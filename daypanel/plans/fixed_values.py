@@ -5,24 +5,27 @@ stated here as they are.
 """
 
 # Diagnosis codes of an opioid-related event.
-DIAGNOSIS_CODES = """
-F1110 F11120 F11121 F11122 F11129 F1113 F1114 F11150 F11151 F11159 F11181 F11182 F11188 F1119 F1120
-F11220 F11221 F11222 F11229 F1123 F1124 F11250 F11251 F11259 F11281 F11282 F11288 F1129 F1190 F11920
-F11921 F11922 F11929 F1193 F1194 F11950 F11951 F11959 F11981 F11982 F11988 F1199 T400X1A T400X1D
-T400X1S T400X2A T400X2D T400X2S T400X3A T400X3D T400X3S T400X4A T400X4D T400X4S T400X5A T400X5D
-T400X5S T401X1A T401X1D T401X1S T401X2A T401X2D T401X2S T401X3A T401X3D T401X3S T401X4A T401X4D
-T401X4S T402X1A T402X1D T402X1S T402X2A T402X2D T402X2S T402X3A T402X3D T402X3S T402X4A T402X4D
-T402X4S T402X5A T402X5D T402X5S T403X1A T403X1D T403X1S T403X2A T403X2D T403X2S T403X3A T403X3D
-T403X3S T403X4A T403X4D T403X4S T403X5A T403X5D T403X5S T404X1A T404X1D T404X1S T404X2A T404X2D
-T404X2S T404X3A T404X3D T404X3S T404X4A T404X4D T404X4S T404X5A T404X5D T404X5S T40411A T40411D
-T40411S T40412A T40412D T40412S T40413A T40413D T40413S T40414A T40414D T40414S T40415A T40415D
-T40415S T40421A T40421D T40421S T40422A T40422D T40422S T40423A T40423D T40423S T40424A T40424D
-T40424S T40425A T40425D T40425S T40491A T40491D T40491S T40492A T40492D T40492S T40493A T40493D
-T40493S T40494A T40494D T40494S T40495A T40495D T40495S T40601A T40601D T40601S T40602A T40602D
-T40602S T40603A T40603D T40603S T40604A T40604D T40604S T40605A T40605D T40605S T40691A T40691D
-T40691S T40692A T40692D T40692S T40693A T40693D T40693S T40694A T40694D T40694S T40695A T40695D
-T40695S
-""".split()
+DIAGNOSIS_CODES = [
+    "F1110", "F11120", "F11121", "F11122", "F11129", "F1113", "F1114", "F11150", "F11151", "F11159", "F11181",
+    "F11182", "F11188", "F1119", "F1120", "F11220", "F11221", "F11222", "F11229", "F1123", "F1124", "F11250",
+    "F11251", "F11259", "F11281", "F11282", "F11288", "F1129", "F1190", "F11920", "F11921", "F11922", "F11929",
+    "F1193", "F1194", "F11950", "F11951", "F11959", "F11981", "F11982", "F11988", "F1199", "T400X1A", "T400X1D",
+    "T400X1S", "T400X2A", "T400X2D", "T400X2S", "T400X3A", "T400X3D", "T400X3S", "T400X4A", "T400X4D", "T400X4S",
+    "T400X5A", "T400X5D", "T400X5S", "T401X1A", "T401X1D", "T401X1S", "T401X2A", "T401X2D", "T401X2S", "T401X3A",
+    "T401X3D", "T401X3S", "T401X4A", "T401X4D", "T401X4S", "T402X1A", "T402X1D", "T402X1S", "T402X2A", "T402X2D",
+    "T402X2S", "T402X3A", "T402X3D", "T402X3S", "T402X4A", "T402X4D", "T402X4S", "T402X5A", "T402X5D", "T402X5S",
+    "T403X1A", "T403X1D", "T403X1S", "T403X2A", "T403X2D", "T403X2S", "T403X3A", "T403X3D", "T403X3S", "T403X4A",
+    "T403X4D", "T403X4S", "T403X5A", "T403X5D", "T403X5S", "T404X1A", "T404X1D", "T404X1S", "T404X2A", "T404X2D",
+    "T404X2S", "T404X3A", "T404X3D", "T404X3S", "T404X4A", "T404X4D", "T404X4S", "T404X5A", "T404X5D", "T404X5S",
+    "T40411A", "T40411D", "T40411S", "T40412A", "T40412D", "T40412S", "T40413A", "T40413D", "T40413S", "T40414A",
+    "T40414D", "T40414S", "T40415A", "T40415D", "T40415S", "T40421A", "T40421D", "T40421S", "T40422A", "T40422D",
+    "T40422S", "T40423A", "T40423D", "T40423S", "T40424A", "T40424D", "T40424S", "T40425A", "T40425D", "T40425S",
+    "T40491A", "T40491D", "T40491S", "T40492A", "T40492D", "T40492S", "T40493A", "T40493D", "T40493S", "T40494A",
+    "T40494D", "T40494S", "T40495A", "T40495D", "T40495S", "T40601A", "T40601D", "T40601S", "T40602A", "T40602D",
+    "T40602S", "T40603A", "T40603D", "T40603S", "T40604A", "T40604D", "T40604S", "T40605A", "T40605D", "T40605S",
+    "T40691A", "T40691D", "T40691S", "T40692A", "T40692D", "T40692S", "T40693A", "T40693D", "T40693S", "T40694A",
+    "T40694D", "T40694S", "T40695A", "T40695D", "T40695S",
+]
 
 # Revenue centre codes of emergency and hospice lines.
 EMERGENCY_REVENUE_CODES = ["0450", "0451", "0452", "0456", "0459", "0981"]
@@ -182,10 +185,12 @@ UNASSIGNED = "Unassigned"
 # The one-hot vocabulary; its order is the order of the columns.
 VOCABULARY = {
     "STATIC_DEMO_sex_label": ["Female", "Male"],
-    "STATIC_DEMO_state_cd": """
-        SC AZ LA MN NJ DC OR VA RI KY WY NH MI NV WI ID CA CT NE MT NC VT MD DE MO VI IL ME ND
-        WA MS AL IN OH TN IA NM PA SD NY TX WV GA MA KS FL CO AK AR OK PR UT HI Unassigned
-    """.split(),
+    "STATIC_DEMO_state_cd": [
+        "SC", "AZ", "LA", "MN", "NJ", "DC", "OR", "VA", "RI", "KY", "WY", "NH", "MI", "NV", "WI", "ID", "CA", "CT",
+        "NE", "MT", "NC", "VT", "MD", "DE", "MO", "VI", "IL", "ME", "ND", "WA", "MS", "AL", "IN", "OH", "TN", "IA",
+        "NM", "PA", "SD", "NY", "TX", "WV", "GA", "MA", "KS", "FL", "CO", "AK", "AR", "OK", "PR", "UT", "HI",
+        "Unassigned",
+    ],
     "STATIC_DEMO_race_label": [
         "Black or African-American",
         "Asian / Pacific Islander",

@@ -172,6 +172,47 @@ def correlation_prune(spark: SparkSession, where: str) -> DataFrame:
     return S.correlated_losers(S.correlation_long(df, USABLE), S.anova(df, USABLE, "target"), cutoff=0.5)
 
 
+_CHOSEN_COLS = [f"{c}__{stat}{end}" for c in SERIES for end in ("", f"_{TAIL}_day") for stat in ("mean", "variance")]
+_FEATURES = ", ".join(
+    f"avg(x) FILTER (WHERE kind = '{c}' AND {rows}) AS {c}__mean{end}, var_pop(x) FILTER (WHERE kind = '{c}' AND {rows}) AS {c}__variance{end}"
+    for c in SERIES
+    for end, rows in (("", "true"), (f"_{TAIL}_day", f"t >= {day_count(START, END) - TAIL}"))
+)
+# Every feature from its variance to its fate: what select_features does, in rows.
+_SELECTION = f"""{LONG}, {TARGETS}, wide AS (SELECT user_id, {_FEATURES} FROM long GROUP BY user_id),
+labelled AS (SELECT target, wide.* FROM wide JOIN targets USING (user_id)),
+melted AS (SELECT user_id, target, unnest([{", ".join(f"'{c}'" for c in _CHOSEN_COLS)}]) AS feature, unnest([{", ".join(_CHOSEN_COLS)}]) AS x FROM labelled),
+usable AS (SELECT feature FROM melted GROUP BY feature HAVING max(x) > min(x) AND count(*) = count(x)),
+kept_long AS (SELECT * FROM melted SEMI JOIN usable USING (feature)),
+parts AS (SELECT feature, target, count(*) AS n, avg(x) AS m, coalesce(var_samp(x), 0) AS v FROM kept_long GROUP BY feature, target),
+grand AS (SELECT feature, sum(n * m) / sum(n) AS g FROM parts GROUP BY feature),
+fs AS (SELECT feature, (sum(n * (m - g) * (m - g)) / (count(*) - 1)) / (sum((n - 1) * v) / (sum(n) - count(*))) AS F,
+  CAST(sum(n) - count(*) AS DOUBLE) AS df_residual FROM parts JOIN grand USING (feature) GROUP BY feature),
+angles AS (SELECT *, atan(sqrt(F / df_residual)) AS a, pi() / 2 AS b FROM fs),
+nodes AS (SELECT i / 2000 AS part, CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END AS w FROM range(0, 2001) t(i)),
+tested AS (SELECT feature, F, (b - a) * sum(w * pow(cos(a + (b - a) * part), df_residual - 1)) / (b * sum(w * pow(cos(b * part), df_residual - 1))) AS p
+  FROM angles, nodes GROUP BY feature, F, a, b),
+strong AS (SELECT * FROM tested WHERE p <= 0.3),
+pairs AS (SELECT x.feature AS index, y.feature AS variable, corr(x.x, y.x) AS value
+  FROM kept_long x JOIN kept_long y ON x.user_id = y.user_id AND x.feature <> y.feature
+  WHERE x.feature IN (SELECT feature FROM strong) AND y.feature IN (SELECT feature FROM strong) GROUP BY 1, 2),
+losers AS (SELECT DISTINCT index AS feature FROM pairs JOIN strong i ON i.feature = index JOIN strong v ON v.feature = variable WHERE value >= 0.8 AND i.p > v.p)"""
+
+
+@query(
+    "selected_features",
+    f"""WITH {_SELECTION} SELECT feature, round(F, 4) + 0.0 AS F, round(p, 4) + 0.0 AS p_value,
+      CASE WHEN feature IN (SELECT feature FROM losers) THEN 'correlated' WHEN p > 0.3 THEN 'weak' ELSE 'selected' END AS fate FROM tested""",
+)
+def selected_features(spark: SparkSession, where: str) -> DataFrame:
+    """Every usable feature of the panel with its test and what the selection makes of it."""
+    made = abridged_features(event_panel(spark, where), "user_id", SERIES, TAIL)
+    wide = targets(spark, where).join(made, "user_id", "left")
+    chosen, tests = S.select_features(wide, [c for c in made.columns if c != "user_id"], "target", alpha=0.3)
+    fate = F.when(F.col("feature").isin(chosen), "selected").when(F.col("p_value") <= 0.3, "correlated").otherwise("weak")
+    return rounded(tests.select("feature", "F", "p_value", fate.alias("fate")), 4)
+
+
 @query("select_features")
 def select_features(spark: SparkSession, where: str) -> DataFrame:
     """Abridged features of the panel through the whole selection, joined to static columns."""

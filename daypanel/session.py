@@ -29,16 +29,19 @@ def build_session(master: str | None = None, name: str = "daypanel", **conf: str
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     session = builder.getOrCreate()
-    if not session.sparkContext.master.startswith("local["):
-        ship_package(session)
+    ship_package(session)
     return session
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to all executors, where it need not be installed then.
+    """Send this package to all Python workers, where it need not be installed then.
 
+    Local ones need it too: they don't inherit what the driver added to its path.
     The archive lies in the driver's own folder of files that Spark hands out.
     """
+    if getattr(spark.sparkContext, "_daypanel_shipped", False):
+        return
     root = Path(__file__).resolve().parent
     archive = shutil.make_archive(os.path.join(SparkFiles.getRootDirectory(), root.name), "zip", root.parent, root.name)
     spark.sparkContext.addPyFile(archive)
+    spark.sparkContext._daypanel_shipped = True
