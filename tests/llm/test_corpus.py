@@ -584,3 +584,24 @@ def test_words_of_any_script_go_through_the_table(spark, vocabulary):
     assert [struct.pack(f"<{len(i)}I", *i) for i in want] == list(table.values())
     assert bpe.word_table(bpe.count_words(docs), vocabulary, 3).count() <= 3
     assert bpe.word_table(bpe.count_words(docs), vocabulary, 1000, 0).count() == 0
+
+
+def test_hot_tokens_are_dealt_out_and_lose_no_link(spark, monkeypatch):
+    """Near copies in some runs of texts, single ones in others: with and without salts the links are the same."""
+    rng = np.random.default_rng(9)
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join([*base[: (k := rng.integers(60))], f"x{i}", *base[k:]]) for i in range(120)]
+    texts += [" ".join(rng.choice(["red", "blue", "green", "gold"], 6)) for _ in range(60)] + [" ".join(f"y{i}-{j}" for j in range(30)) for i in range(30)]
+    order = rng.permutation(len(texts))
+    rows = [(int(i), texts[i]) for i in order]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    want = brute_components(rows)
+    for hot in (2, 16, 10**9):
+        monkeypatch.setattr(jaccard, "HOT", hot)
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(df).collect()}
+        assert got == want
+    own = df.selectExpr("doc_id AS key", "text").coalesce(1)
+    monkeypatch.setattr(jaccard, "HOT", 16)
+    listed = jaccard.postings(own, 0, (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    largest = listed.groupBy("token", "salt").count().agg(F.max("count")).first()[0]
+    assert largest < 16 < listed.groupBy("token").count().agg(F.max("count")).first()[0]
