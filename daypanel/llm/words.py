@@ -18,7 +18,7 @@ UNPLAIN = re.compile("[^\t-\r -~À-ÖØ-öø-ÿ]")
 PLAIN_WORD = re.compile("[a-zß-öø-ÿ]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[!-/:-@\\[-`{-~]+")
 BESIDES_LETTERS = re.compile("'(?:s|t|re|ve|m|ll|d)|[0-9]|[!-/:-@\\[-`{-~]+")
 #: Bytes of words and ids that a worker remembers; beyond that it forgets all that it learnt and learns again.
-REMEMBERED = 32 << 20
+REMEMBERED = 64 << 20
 #: Longer words, in bytes, hardly repeat; they are encoded where they stand and not remembered.
 LONG_WORD = 256
 
