@@ -238,7 +238,7 @@ def _scan(batch_bytes: int):
 def read_archives(spark: SparkSession, path: str, split_bytes: int = 8 << 20, batch_bytes: int = 8 << 20) -> DataFrame:
     """The records of all archives under `path`, as `RECORDS`.
 
-    Every file is cut into ranges of `split_bytes`, one task's work each. A task
+    Every file is cut into ranges of `split_bytes`, each read by itself. A task
     looks for gzip magic in its range, accepts a place if a record header
     decodes there and the member is followed by another or by the end of the
     file, and then reads on from member to member: it owns the records that
@@ -251,6 +251,7 @@ def read_archives(spark: SparkSession, path: str, split_bytes: int = 8 << 20, ba
         "path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split_bytes))).alias("start")
     )
     ranges = ranges.withColumn("end", F.col("start") + split_bytes)
-    # A range's row is short but its work is not: one task per range, which coalescing must not undo.
+    # A range's row is short but its work is not: dealt by a hash to as many tasks as there are ranges, some of which get
+    # several and others none, and not coalesced.
     dealt = ranges.repartition(max(1, min(ranges.count(), 1 << 15)), "path", "start")
     return dealt.mapInPandas(_scan(batch_bytes), RECORDS)
