@@ -294,9 +294,10 @@ def extract_features(
 def pivot_features(long: DataFrame, id: str, kinds: Sequence[str], kind: str = "kind") -> DataFrame:
     """One row per id, one column `{kind}__{feature}` per kind and feature.
 
-    All features of a kind move as one struct, so the aggregate has one
-    expression per kind. Of rows that repeat id and kind the largest stays, in
-    order of the features.
+    All features of a kind are one struct, so the aggregate has one expression
+    per kind. Where the features were made of a panel that is grouped or
+    bucketed by `id` (`extract_features`), they meet without an exchange. Of
+    rows that repeat id and kind the largest stays, in order of the features.
     """
     names = [c for c in long.columns if c not in (id, kind)]
     row = F.struct(*[F.col(f"`{f}`") for f in names])

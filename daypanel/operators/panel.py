@@ -172,9 +172,14 @@ def melt(df: DataFrame, ids: Sequence[str], cols: Sequence[str], var: str = "var
 
 
 def series_by_kind(panel: DataFrame, id: str, cols: Sequence[str]) -> DataFrame:
-    """(id, kind, series): one row per entity and measure."""
-    cast = panel.select(id, *[F.col(c).cast("array<double>").alias(c) for c in cols])
-    return melt(cast, [id], cols, "kind", "series")
+    """(id, kind, series): one row per entity and measure.
+
+    The rows of an entity are made from its own row and stay where that is, so
+    what is grouped by `id` before or stored bucketed by it can be grouped so
+    again without an exchange.
+    """
+    kinds = [F.struct(F.lit(c).alias("kind"), F.col(c).cast("array<double>").alias("series")) for c in cols]
+    return panel.select(id, F.explode(F.array(*kinds)).alias("_series")).select(id, "_series.kind", "_series.series")
 
 
 def panel_to_long(panel: DataFrame, id: str, cols: Sequence[str]) -> DataFrame:

@@ -7,6 +7,8 @@ import numpy as np
 import pytest
 
 from daypanel.operators import features as X
+from daypanel.plans.standins import SERIES as PANEL
+from daypanel.plans.standins import event_panel
 
 SERIES = {
     "zero": [0.0] * 24,
@@ -37,6 +39,19 @@ def same(a, b):
     return a is not None and a == pytest.approx(b, abs=1e-9)
 
 
+def test_wide_features_need_no_exchange_of_their_own(spark, small):
+    panel = event_panel(spark, small)
+    exchanges = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+    some = ["mean", "maximum", "quantile__q_0.1"]
+    wide = X.pivot_features(X.extract_features(panel, "user_id", PANEL, some), "user_id", PANEL)
+    assert exchanges(wide) == exchanges(panel) == 2
+    assert len(wide.columns) == 1 + 3 * len(PANEL) and wide.count() == panel.count()
+
+
+def test_every_feature_is_listed_once():
+    assert len(set(X.ALL_FEATURES)) == len(X.ALL_FEATURES) == 71
+
+
 def test_names_and_count(spark):
     assert len(X.ALL_FEATURES) == 71 == len(set(X.ALL_FEATURES))
     assert list(X.feature_columns()) == X.ALL_FEATURES
