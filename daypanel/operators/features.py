@@ -316,10 +316,13 @@ def feature_name(kind: str, feature: str) -> str:
     return plain_name(f"{kind}__{feature}")
 
 
-def abridged_features(panel: DataFrame, id: str, cols: Sequence[str], tail: int = TAIL_DAYS) -> DataFrame:
-    """Mean and population variance of each series, whole and over its tail."""
+def abridged_features(
+    panel: DataFrame, id: str, cols: Sequence[str], tail: int = TAIL_DAYS, keep: Sequence[str] = ()
+) -> DataFrame:
+    """Mean and population variance of each series, whole and over its tail; `keep` names columns that stay beside them."""
     halves = {"": lambda c: F.col(c).cast("array<double>"), f"_{tail}_day": lambda c: S.tail(F.col(c), tail).cast("array<double>")}
-    arrays = panel.select(id, *[cut(c).alias(f"{c}{end}") for c in cols for end, cut in halves.items()])
+    kept = [F.col(f"`{c}`") for c in keep]
+    arrays = panel.select(id, *kept, *[cut(c).alias(f"{c}{end}") for c in cols for end, cut in halves.items()])
     with_means = arrays.withColumns(
         {f"{c}__mean{end}": S.share(S.total(F.col(f"{c}{end}")), F.size(f"{c}{end}")) for c in cols for end in halves}
     )
@@ -329,4 +332,4 @@ def abridged_features(panel: DataFrame, id: str, cols: Sequence[str], tail: int
             mean = F.col(f"{c}__mean{end}")
             spread = S.share(S.square_total(S.gaps_from(F.col(f"{c}{end}"), mean)), F.size(f"{c}{end}"))
             columns += [mean, spread.alias(f"{c}__variance{end}")]
-    return with_means.select(id, *columns)
+    return with_means.select(id, *kept, *columns)

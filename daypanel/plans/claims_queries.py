@@ -293,7 +293,8 @@ def _encoded_sql() -> str:
 def _encoded(spark: SparkSession, where: str) -> DataFrame:
     panel = written(_panel(spark, where))
     series = list(L.series_names(panel))
-    wide = panel.drop(*series).join(abridged_features(panel, "bene_id", series), "bene_id")
+    # Made in the person's row: no join of the panel with its own features.
+    wide = abridged_features(panel, "bene_id", series, keep=[c for c in panel.columns if c not in ("bene_id", *series)])
     coded = encode_table(L.area_labels_for_encoding(wide), "bene_id", "target", V.VOCABULARY, drop=["STATIC_DEMO_bene_age"])
     return coded.select(
         *[r(c, 4 if "__variance" in c else 6).alias(c) if c.startswith("TS_") else F.col(c) for c in coded.columns]
