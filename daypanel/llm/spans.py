@@ -28,7 +28,7 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def parts(texts: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, pa.Array]]:
+def parts(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, pa.Array]]:
     """The array in runs of texts of about `most` bytes, one text at least, and where each begins."""
     sizes = np.frombuffer(texts.cast(pa.large_binary()).buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     at = 0

@@ -17,8 +17,8 @@ SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 UNPLAIN = re.compile("[^\t-\r -~À-ÖØ-öø-ÿ]")
 PLAIN_WORD = re.compile("[a-zß-öø-ÿ]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[!-/:-@\\[-`{-~]+")
 BESIDES_LETTERS = re.compile("'(?:s|t|re|ve|m|ll|d)|[0-9]|[!-/:-@\\[-`{-~]+")
-#: Bytes of words and ids that a worker remembers; beyond that it forgets all that it learnt and learns again.
-REMEMBERED = 64 << 20
+#: Bytes of words and ids that a worker remembers: in two halves, of which the one that was used less lately is forgotten.
+REMEMBERED = 48 << 20
 #: Longer words, in bytes, hardly repeat; they are encoded where they stand and not remembered.
 LONG_WORD = 256
 
@@ -68,6 +68,7 @@ class Encoder:
         self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.given = given or {}
         self.learnt: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
         self.held = 0
 
     def encode_word(self, word: str) -> bytes:
@@ -104,13 +105,15 @@ class Encoder:
         if ids is None:
             ids = self.learnt.get(word)
         if ids is None:
-            ids = self.encode_word(word.decode())
+            ids = self.before.get(word)
+            if ids is None:
+                ids = self.encode_word(word.decode())
             if len(word) <= LONG_WORD:
-                if self.held > REMEMBERED:
-                    self.learnt.clear()
-                    self.held = 0
+                if self.held > REMEMBERED // 2:
+                    self.before, self.learnt, self.held = self.learnt, {}, 0
                 self.learnt[word] = ids
-                self.held += len(word) + len(ids) + 100
+                # The objects that hold them take some 170 bytes.
+                self.held += len(word) + len(ids) + 170
         return ids
 
     def _merged(self, plain: str) -> bytes:
