@@ -111,14 +111,12 @@ def shuffled_places(df: DataFrame, id: str, seed: int, files: int) -> DataFrame:
     same places however they were partitioned, and again after a lost task;
     files differ by one row at most.
     """
-    total = df.count()
-    number = F.col("_rn") - 1
-    file = F.floor(number * files / F.lit(max(total, 1))).cast("int")
-    # Whole numbers: a quotient of doubles may fall on the wrong side of a file's first row.
-    first = lambda f: F.floor((f * F.lit(total) + (files - 1)) / files).cast("long")
+    total = max(df.count(), 1)
+    # Whole-number division: a quotient of doubles may fall on the wrong side of a file's first row.
+    file = F.expr(f"CAST((_rn - 1) * {files}L div {total}L AS INT)")
+    first = F.expr(f"(file * {total}L + {files - 1}L) div {files}L")
     placed = hashed_row_numbers(df, id, seed, out="_rn").withColumn("file", file)
-    placed = placed.withColumn("file", F.when(number < first(F.col("file").cast("long")), F.col("file") - 1).when(number >= first(F.col("file").cast("long") + 1), F.col("file") + 1).otherwise(F.col("file")))
-    return placed.withColumn("place", number - first(F.col("file").cast("long"))).drop("_rn")
+    return placed.withColumn("place", F.col("_rn") - 1 - first).drop("_rn")
 
 
 def stored_in_order(df: DataFrame, order: Sequence[Column], path: str) -> DataFrame:
@@ -130,8 +128,10 @@ def stored_in_order(df: DataFrame, order: Sequence[Column], path: str) -> DataFr
     """
     df.orderBy(*order).write.mode("overwrite").parquet(path)
     rows = df.sparkSession.read.schema(df.schema).parquet(path)
-    name = F.col("_metadata.file_name")
-    numbered = rows.select("*", F.regexp_extract(name, r"part-(\d+)", 1).cast("int").alias("_part"), F.regexp_extract(name, r"-c(\d+)\.", 1).cast("int").alias("_piece"), F.col("_metadata.row_index").alias("_row"))
+    number = lambda pattern: F.regexp_extract("_metadata.file_name", pattern, 1).cast("int")
+    numbered = rows.select(
+        "*", number(r"part-(\d+)").alias("_part"), number(r"-c(\d+)\.").alias("_piece"), F.col("_metadata.row_index").alias("_row")
+    )
     before = Window.orderBy("_part", "_piece").rowsBetween(Window.unboundedPreceding, -1)
     sizes = numbered.groupBy("_part", "_piece").agg(F.count("*").alias("_n"))
     # One row per file.
