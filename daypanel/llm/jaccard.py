@@ -35,7 +35,8 @@ NO_KEY = -(1 << 63)
 SUBSET = (1 << 31) - 1
 
 #: Rows of one token in one run of texts from which on they are dealt out, and to how many places.
-HOT, PLACES = 16, 4096
+HOT, PLACES = 32, 4096
+SIGN = np.int64(-1 << 63)
 
 _FACTORS = spans.mix(np.arange(1, WORDS + 2, dtype=np.uint64)) | np.uint64(1)
 
@@ -209,15 +210,15 @@ def boundary(sizes: dict[int, int]) -> int:
 
 
 def postings(docs: DataFrame, small: int, often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(token, key, held, salt): what may bring two sets together; `held` packs the set's size and the token's place in it.
+    """(token, key, held): what may bring two sets together; `held` packs the set's size and the token's place in it.
 
     A small set gives its subsets of each fixed size that a link with a small
     partner needs. A set that may link with a large one gives its first n-grams,
     rare ones first: any two linked sets have one of these in common. Of equal
     sets in one task only the first is listed. Rows of a token that many texts of
-    one run hold have a salt, by which they are dealt apart: it is known that they
-    are not alone. One of them is listed without a salt too, for the rows of other
-    runs to meet.
+    one run hold have the sign of `held` set, and are dealt apart: it is known that
+    they are not alone. One of them is listed without the sign too, for the rows of
+    other runs to meet.
     """
     sent = docs.sparkSession.sparkContext.broadcast(often)
 
@@ -260,22 +261,16 @@ def postings(docs: DataFrame, small: int, often: tuple[np.ndarray, np.ndarray])
                 held, key = (size.astype(np.int64) << 32) | where.astype(np.int64), key.astype(np.int64)
                 _, one, inverse, times = np.unique(token, return_index=True, return_inverse=True, return_counts=True)
                 hot = times >= HOT
-                salt = np.where(hot[inverse], 1 + (spans.mix(key.view(np.uint64)) % np.uint64(PLACES)).astype(np.int64), 0)
                 one = one[hot]
-                columns = [(token.view(np.int64), one), (key, one), (held, one)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *[pa.array(np.append(column, column[again])) for column, again in columns],
-                        pa.array(np.append(salt, np.zeros(len(one), np.int64)).astype(np.int32)),
-                    ],
-                    ["token", "key", "held", "salt"],
-                )
+                signed = np.where(hot[inverse], held | SIGN, held)
+                columns = (token.view(np.int64), token.view(np.int64)[one]), (key, key[one]), (signed, held[one])
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(a, b)) for a, b in columns], ["token", "key", "held"])
 
-    return docs.mapInArrow(read, "token long, key long, held long, salt int")
+    return docs.mapInArrow(read, "token long, key long, held long")
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows in token order, those whose token has another row or that have a salt; one row is held over."""
+    """Of rows in token order, those whose token has another row or that have the sign; one row is held over."""
     last, waiting = None, None
     for batch in batches:
         token = batch.column(0).to_numpy()
@@ -285,14 +280,14 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = np.zeros(len(token), bool)
         keep[1:] |= same
         keep[:-1] |= same
-        keep |= batch.column(3).to_numpy() > 0
+        keep |= batch.column(2).to_numpy() < 0
         if last is not None and token[0] == last:
             keep[0] = True
             if waiting is not None:
-                yield waiting.select([0, 1, 2])
+                yield waiting
         waiting = None if keep[-1] else batch.slice(len(token) - 1, 1)
         last = token[-1]
-        yield batch.filter(pa.array(keep)).select([0, 1, 2])
+        yield batch.filter(pa.array(keep))
 
 
 def tokens_of(docs: DataFrame, keys: DataFrame, key: str = "key") -> DataFrame:
@@ -388,8 +383,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     total = sets.count()
     sizes = {r["n"]: r["k"] for r in sets.filter(F.col("n").between(1, SMALL_LIMIT)).groupBy("n").agg(F.count(F.lit(1)).alias("k")).collect()}
     listed = postings(own, boundary(sizes), frequent(described, total))
-    ordered = listed.repartition("token", "salt").sortWithinPartitions("token", "key")
+    apart = F.when(F.col("held") < 0, 1 + F.pmod(F.xxhash64("key"), F.lit(PLACES))).otherwise(0)
+    ordered = listed.repartition("token", apart).sortWithinPartitions("token", "key")
     shared = ordered.mapInArrow(_shared, "token long, key long, held long")
+    shared = shared.withColumn("held", F.col("held").bitwiseAND(F.lit((1 << 63) - 1)))
 
     # Equal sets: the smallest key stands for them.
     full = sets.filter("n > 0").select("key", "n", "a", "b")
