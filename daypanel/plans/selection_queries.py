@@ -167,9 +167,9 @@ def correlation_rank(spark: SparkSession, where: str) -> DataFrame:
     SELECT DISTINCT index FROM pairs JOIN fs a ON a.feature = index JOIN fs b ON b.feature = variable WHERE value >= 0.5 AND a.F < b.F""",
 )
 def correlation_prune(spark: SparkSession, where: str) -> DataFrame:
-    # With equal degrees of freedom a larger p is a smaller F, which the twin can compute.
+    # With equal degrees of freedom a larger p is a smaller F, which the twin can compute; on many rows p is 0 for several.
     df = matrix(spark, where)
-    return S.correlated_losers(S.correlation_long(df, USABLE), S.anova(df, USABLE, "target"), cutoff=0.5)
+    return S.correlated_losers(S.correlation_long(df, USABLE), S.anova(df, USABLE, "target"), cutoff=0.5, break_ties=True)
 
 
 _CHOSEN_COLS = [f"{c}__{stat}{end}" for c in SERIES for end in ("", f"_{TAIL}_day") for stat in ("mean", "variance")]

@@ -1,19 +1,25 @@
 """Ordered sums, quantiles, curves, ANOVA tails and selection."""
 
+import datetime
 import math
 import random
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from brute_tails import f_tail_value, incomplete_beta, log_gamma_ratio
+from check_twins import compare
 from daypanel.functions import tails as T
 from daypanel.operators import evaluation as V
 from daypanel.operators.features import pivot_features
 from daypanel.operators import ordered as O
 from daypanel.operators import selection as S
 from daypanel.operators.encoding import one_hot
+from daypanel.plans import selection_queries as Q
+from daypanel.plans.registry import TWINS
 
 
 @pytest.fixture(scope="module")
@@ -199,3 +205,24 @@ def test_pivot_keeps_kinds_apart(spark):
     wide = pivot_features(spark.createDataFrame(rows, "id long, kind string, f double, `g__q_0.1` double"), "id", ["a", "b"])
     assert wide.columns == ["id", "a__f", "a__g__q_01", "b__f", "b__g__q_01"]
     assert sorted(map(tuple, wide.collect())) == [(1, 1.0, 2.0, None, 4.0), (2, None, None, 5.0, 6.0)]
+
+
+def test_correlation_prune_where_p_underflows(spark, tmp_path):
+    """1,500 users whose counts, totals and means all have a p of 0: F alone says which is weaker."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for user in range(1500):
+        hit = user % 2
+        late = datetime.datetime(2024, 1, 26)
+        rows += [(user, late, "error", 150.0 if hit else 50.0)]
+        rows += [(user, late, kind, 10.0) for kind in Q.EVENT_SERIES.values() for _ in range(int(rng.integers(0, 2)))]
+        rows += [(user, late, "click", (200.0 if hit else 40.0) + float(rng.integers(0, 20))) for _ in range(4 + 5 * hit + int(rng.integers(0, 4)))]
+    events = pd.DataFrame([(i, ts, user, kind, value, '{"k": 1}') for i, (user, ts, kind, value) in enumerate(rows)])
+    events.columns = ["event_id", "ts", "user_id", "event_type", "value", "props"]
+    events.to_parquet(tmp_path / "events.parquet", coerce_timestamps="us")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    tests = S.anova(Q.matrix(spark, str(tmp_path)), Q.USABLE, "target").where("p_value = 0")
+    assert tests.count() > 2
+    ok, text = compare(spark, con, str(tmp_path), "correlation_prune", Q.correlation_prune, TWINS["correlation_prune"])
+    assert ok and " 0 rows" not in text, text
