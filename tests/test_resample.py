@@ -7,9 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from daypanel.operators import neighbours as N
+from daypanel.operators import pivot_tree
 from daypanel.operators import resample as B
 from daypanel.operators.neighbours import nearest
-from daypanel.operators.pivot_tree import PivotTree, distances
+from daypanel.operators.pivot_tree import PivotTree, closest, distances
 from daypanel.plans.standins import vectors
 
 
@@ -103,6 +104,48 @@ def test_candidate_pairs_stay_far_below_all_pairs(spark):
     assert own + further < 0.1 * 6000**2
 
 
+@pytest.mark.parametrize("form", ["plain", "ties", "far", "huge", "tiny", "corners"])
+@pytest.mark.parametrize("keep", [1, 6])
+def test_closest_takes_few_distances_and_loses_none(form, keep, monkeypatch):
+    """What the matrix product rules out is never one of the nearest, whatever the digits; ties go to the smaller column."""
+    rng = np.random.default_rng(7)
+    a, b = {
+        "plain": lambda: (rng.normal(size=(300, 16)), rng.normal(size=(900, 16))),
+        "ties": lambda: (rng.integers(0, 3, (300, 4)).astype(float), rng.integers(0, 3, (900, 4)).astype(float)),
+        "far": lambda: (1e8 + rng.normal(size=(300, 5)), 1e8 + rng.normal(size=(900, 5))),
+        "huge": lambda: (1e200 * rng.normal(size=(30, 5)), 1e200 * rng.normal(size=(900, 5))),
+        "tiny": lambda: (1e-170 * rng.normal(size=(30, 5)), 1e-170 * rng.normal(size=(900, 5))),
+        "corners": lambda: (np.eye(300), np.eye(300)),
+    }[form]()
+    taken = []
+    real = pivot_tree._pair_distances
+    monkeypatch.setattr(pivot_tree, "_pair_distances", lambda x, y: taken.append(len(x)) or real(x, y))
+    with np.errstate(over="ignore"):
+        d = distances(a, b)
+        for limit in (np.full(len(a), np.inf), 0.8 * np.median(d, axis=1)):
+            taken.clear()
+            meetings = [(np.arange(len(a)), np.arange(i, len(b), 3)) for i in range(3)]
+            row, column, distance = closest(a, b, limit, keep, meetings)
+            want = [(i, j, d[i, j]) for i in range(len(a)) for j in d[i].argsort(kind="stable")[:keep] if not d[i, j] > limit[i]]
+            assert list(zip(row.tolist(), column.tolist(), distance.tolist(), strict=True)) == want
+            assert form != "plain" or sum(taken) < 0.1 * d.size
+
+
+def test_a_vector_is_sent_to_sections_and_not_to_leaves(spark):
+    """Without structure each vector visits nearly all leaves: it moves once per section all the same."""
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(3000, 24)))]
+    placed, tree = N.plant(N.distinct_heads(spark.createDataFrame(rows, "id long, vector array<double>"), 2), leaf_rows=30)
+    best = N._best(N._within_leaves(placed, tree, 2, [], 4096), 2, [])
+    plan = N.sections(tree, 700)
+    sent = N.section_visits(placed, best, tree, 2, plan).collect()
+    leaves = {r["query"]: r["n"] for r in N.visits(placed, best, tree, 2).groupBy("query").agg(F.count("*").alias("n")).collect()}
+    assert sum(leaves.values()) > 3000 * 50
+    assert len(set(plan["section"])) <= 5 and max(len(r["sections"]) for r in sent) <= 5
+    marked = {r["query"]: sum(int.from_bytes(bytes(x), "big").bit_count() for x in r["leaves"]) for r in sent}
+    assert {q: n for q, n in marked.items() if n} == leaves
+
+
 def test_upsample_never_loses_a_class(spark):
     more = spark.createDataFrame([(i, int(i < 7)) for i in range(10)], "id int, y int")
     assert {r["y"]: r["n"] for r in B.class_counts(B.upsample(more, "y"), "y").collect()} == {0: 3, 1: 7}
