@@ -100,8 +100,10 @@ _SCORE = f"1 / (1 + exp(-({log_odds('f.coef', COLS, 'd')})))"
 def logistic_cross_validated(spark: SparkSession, where: str) -> DataFrame:
     train, test = _halves(spark, where)
     pipeline = M.logistic_pipeline("labels", COLS, regParam=0.02)
-    folded = M.add_folds(train, "user_id", "labels", 5, seed=42)
+    # Every step of the last fit reads all folds.
+    folded = M.add_folds(train, "user_id", "labels", 5, seed=42).persist()
     fitted = M.cross_validate(pipeline, folded, "labels", "prediction", folds=5, fold_col="fold")
+    folded.unpersist()
     train.unpersist()
     scored = fitted.bestModel.transform(test).select("labels", "prediction")
     return rounded(curve_areas(scored, "labels", "prediction").withColumn("cv_pr_auc", F.lit(float(fitted.avgMetrics[0]))))

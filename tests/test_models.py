@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from daypanel.operators import models as M
+from daypanel.plans.catalogue import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -90,3 +91,11 @@ def test_named_queries_fit_whole_models(monkeypatch, spark, small):
     assert list(net.getLayers()[1:-1]) == [128, 128, 128, 64, 32, 16, 3] and net.getOrDefault("maxIter") == 50
     assert Q.gbt_importance(spark, small, rounds=2, depth=2).count() > 0
     assert Q.hidden_representation(spark, small, layers=[4, 2], iterations=3).columns == ["user_id", "labels", "h0", "h1"]
+
+
+def test_folds_are_dealt_once_for_all_fits(spark, medium, monkeypatch):
+    """A linear fit reads its rows once a step: without keeping the folds each step dealt them anew."""
+    seen, fit = [], M.cross_validate
+    monkeypatch.setattr(M, "cross_validate", lambda pipeline, df, *a, **k: seen.append(df.storageLevel.useMemory) or fit(pipeline, df, *a, **k))
+    assert QUERIES["logistic_cross_validated"](spark, medium).count() == 1
+    assert seen == [True]
