@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daypanel.functions.series import let
-from daypanel.operators.models import choice, drawn_trials, log_uniform, positive_weight
+from daypanel.operators.models import choice, dealt, drawn_trials, log_uniform, positive_weight
 from daypanel.sources.tables import shared_folder, written
 
 #: The published space. `gamma` is the loss, summed over rows, that a split must save.
@@ -29,7 +29,7 @@ TREE_SPACE = {
     "positive": choice([100, 150, 200, 250, 300, 350, 400, 450]),
 }
 TRIALS, ROUNDS = 300, 100
-#: Rows of a partition that trees are fitted on.
+#: Rows of a partition that trees are fitted on, many fits side by side.
 PARTITION_ROWS = 100_000
 
 
@@ -56,14 +56,11 @@ def search_trees(
     same seed and rows give the same table.
     """
     assembler = VectorAssembler(inputCols=list(cols), outputCol="features")
-    place = F.xxhash64(label, *[F.col(f"`{c}`") for c in cols]).alias("place")
-    fitted_on = written(assembler.transform(train.withColumn("place", place)).select(label, "features", "place"))
-    judged_on = written(assembler.transform(validation).select(label, "features"))
-    rows = fitted_on.count()
     # Subsamples are drawn row by row, so the rows lie in an order of their own.
-    dealt = fitted_on.repartition(max(1, math.ceil(rows / PARTITION_ROWS)), "place")
-    fitted_on = dealt.sortWithinPartitions("place").drop("place").persist()
-    judged_on = judged_on.persist()
+    fitted_on, judged_on = (
+        dealt(assembler.transform(part.select(label, *cols)), [label, *cols], PARTITION_ROWS, parallel) for part in (train, validation)
+    )
+    rows = fitted_on.count()
     evaluator = BinaryClassificationEvaluator(rawPredictionCol="rawPrediction", labelCol=label, metricName=metric)
     drawn = drawn_trials(space, trials, seed)
 

@@ -8,6 +8,7 @@ from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -19,6 +20,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from daypanel.operators.ordered import hashed_row_numbers
+from daypanel.sources.tables import written
+
+#: Rows of a partition that models are fitted on.
+PARTITION_ROWS = 32_768
+
+
+def dealt(df: DataFrame, cols: Sequence[str], per: int = PARTITION_ROWS, readers: int = 1) -> DataFrame:
+    """The rows kept for fits, in a partition for every `per` of them and in an order by a hash of `cols`.
+
+    A fit runs a job or more per step, with a task per partition: in the partitions
+    of a shuffle, whose number is a setting, the tasks cost more than their rows.
+    Draws by row and partition repeat. Tasks run where their partition is kept, so
+    few partitions are kept in several copies for `readers` fits side by side.
+    """
+    stored = written(df.withColumn("_place", F.xxhash64(*[F.col(f"`{c}`") for c in cols])))
+    parts = max(1, math.ceil(stored.count() / per))
+    placed = stored.repartition(parts, "_place").sortWithinPartitions("_place").drop("_place")
+    return placed.persist(StorageLevel(True, True, False, True, max(1, math.ceil(readers / parts))))
 
 
 def logistic_pipeline(label: str, cols: Sequence[str], weight: str | None = None, **params) -> Pipeline:

@@ -99,3 +99,11 @@ def test_folds_are_dealt_once_for_all_fits(spark, medium, monkeypatch):
     monkeypatch.setattr(M, "cross_validate", lambda pipeline, df, *a, **k: seen.append(df.storageLevel.useMemory) or fit(pipeline, df, *a, **k))
     assert QUERIES["logistic_cross_validated"](spark, medium).count() == 1
     assert seen == [True]
+
+
+def test_dealt_rows_are_whole_and_few_partitions_are_kept_often(spark):
+    df = spark.range(1000).selectExpr("id", "id % 3 AS x")
+    kept = M.dealt(df, ["id"], per=300, readers=8)
+    assert kept.rdd.getNumPartitions() == 4 and kept.storageLevel.replication == 2
+    assert sorted(kept.collect()) == sorted(df.collect())
+    assert M.dealt(df.repartition(7), ["id"], per=300).rdd.glom().collect() == kept.rdd.glom().collect()
