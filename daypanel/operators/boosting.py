@@ -31,6 +31,8 @@ TREE_SPACE = {
 TRIALS, ROUNDS = 300, 100
 #: Rows of a partition that trees are fitted on, many fits side by side.
 PARTITION_ROWS = 100_000
+#: Walks of a row through a tree that a task makes.
+WALKS = 200_000
 
 
 def search_trees(
@@ -170,7 +172,8 @@ def split_importance(model: PipelineModel, df: DataFrame, top: int | None = None
     split on it meets on average, `gain` what such a split gains on average.
     """
     trees = written(tree_table(model))
-    passed = walked_paths(df, trees, []).select("tree", F.explode("path").alias("node"))
+    spread = df.repartition(max(1, math.ceil(df.count() * model.stages[-1].getNumTrees / WALKS)))
+    passed = walked_paths(spread, trees, []).select("tree", F.explode("path").alias("node"))
     met = passed.groupBy("tree", "node").agg(F.count("*").alias("rows"))
     splits = trees.where("left >= 0").join(met, ["tree", "node"], "left")
     found = splits.groupBy("feature").agg(

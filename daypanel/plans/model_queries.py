@@ -15,6 +15,7 @@ from daypanel.plans.newton_sql import curve_steps, dealt_folds, log_odds, logist
 from daypanel.plans.registry import query, rounded
 from daypanel.plans.selection_queries import EVENT_SERIES, MATRIX, matrix
 from daypanel.sources.spine import TWO_WAY_SPLIT, split_by_mod
+from daypanel.sources.tables import written
 
 # TS_ALL is the sum of the counts, so it is left out of the linear model.
 COLS = [*EVENT_SERIES, "TS_UNITS", "TS_TOP"]
@@ -23,10 +24,10 @@ LAYERS, EPOCHS, ROUNDS, DEPTH = (128, 128, 128, 64, 32, 16, 3), 50, 100, 6
 
 
 def _halves(spark: SparkSession, where: str) -> tuple[DataFrame, DataFrame]:
-    """Train and test rows; train is kept while a model is fitted on it."""
+    """Train and test rows, made once; train is kept, in few partitions, while a model is fitted on it."""
     rows = matrix(spark, where).select("user_id", F.col("target").cast("double").alias("labels"), *COLS)
-    parts = split_by_mod(rows, "user_id", bounds=TWO_WAY_SPLIT)
-    return parts.where("split = 'train'").persist(), parts.where("split = 'test'")
+    parts = written(split_by_mod(rows, "user_id", bounds=TWO_WAY_SPLIT))
+    return M.dealt(parts.where("split = 'train'"), ["user_id"]), parts.where("split = 'test'")
 
 
 def _sorted_json(params: str):
@@ -101,7 +102,7 @@ def logistic_cross_validated(spark: SparkSession, where: str) -> DataFrame:
     train, test = _halves(spark, where)
     pipeline = M.logistic_pipeline("labels", COLS, regParam=0.02)
     # Every step of the last fit reads all folds.
-    folded = M.add_folds(train, "user_id", "labels", 5, seed=42).persist()
+    folded = M.dealt(M.add_folds(train, "user_id", "labels", 5, seed=42), ["user_id"])
     fitted = M.cross_validate(pipeline, folded, "labels", "prediction", folds=5, fold_col="fold")
     folded.unpersist()
     train.unpersist()
@@ -189,7 +190,7 @@ def gbt_search(spark: SparkSession, where: str, trials: int = boosting.TRIALS, r
 )
 def best_fold_model(spark: SparkSession, where: str) -> DataFrame:
     train, test = _halves(spark, where)
-    folded = M.add_folds(train, "user_id", "labels", 3, seed=2134).persist()
+    folded = M.dealt(M.add_folds(train, "user_id", "labels", 3, seed=2134), ["user_id"])
     pipeline = M.logistic_pipeline("labels", COLS, regParam=0.05)
     model, value = M.best_fold_model(pipeline, folded, "labels", "prediction", "fold", 3)
     folded.unpersist()

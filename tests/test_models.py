@@ -101,6 +101,29 @@ def test_folds_are_dealt_once_for_all_fits(spark, medium, monkeypatch):
     assert seen == [True]
 
 
+def test_fits_read_few_partitions_whatever_the_setting(spark, medium, monkeypatch):
+    """Every step of a fit has a task per partition: shuffles in many partitions made the steps slow."""
+    from daypanel.plans import model_queries as Q
+
+    seen = []
+    for name in ("fit_gbt", "fit_mlp", "fit_logistic", "cross_validate"):
+        at = 1 if name == "cross_validate" else 0
+        monkeypatch.setattr(
+            M, name, lambda *a, n=name, at=at, f=getattr(M, name), **k: seen.append((n, a[at].rdd.getNumPartitions())) or f(*a, **k)
+        )
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "41")
+    try:
+        Q.gbt_scores(spark, medium, rounds=1, depth=2)
+        Q.gbt_importance(spark, medium, rounds=1, depth=2)
+        Q.gbt_split_importance(spark, medium, rounds=1, depth=2)
+        Q.mlp_scores(spark, medium, layers=[2], iterations=2)
+        Q.logistic_cross_validated(spark, medium)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen == [("fit_gbt", 1)] * 3 + [("fit_mlp", 1), ("cross_validate", 1)]
+
+
 def test_dealt_rows_are_whole_and_few_partitions_are_kept_often(spark):
     df = spark.range(1000).selectExpr("id", "id % 3 AS x")
     kept = M.dealt(df, ["id"], per=300, readers=8)
