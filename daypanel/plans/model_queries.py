@@ -127,7 +127,7 @@ _TRIALS = ", ".join(f"""({i}, {p["regParam"]!r}::DOUBLE, {p["tol"]!r}::DOUBLE, '
 def random_search(spark: SparkSession, where: str, trials: int = 20) -> DataFrame:
     """Trials of the linear model, scored on validation rows that neither the fits nor a test see."""
     rows = matrix(spark, where).select("user_id", F.col("target").cast("double").alias("labels"), *COLS)
-    parts = split_by_mod(rows, "user_id").where("split <> 'test'").persist()
+    parts = M.dealt(split_by_mod(rows, "user_id").where("split <> 'test'"), ["user_id"])
     train, validation = parts.where("split = 'train'"), parts.where("split = 'val'")
     evaluator = M.pr_evaluator("labels", "prediction")
 

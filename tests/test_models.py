@@ -118,10 +118,11 @@ def test_fits_read_few_partitions_whatever_the_setting(spark, medium, monkeypatc
         Q.gbt_importance(spark, medium, rounds=1, depth=2)
         Q.gbt_split_importance(spark, medium, rounds=1, depth=2)
         Q.mlp_scores(spark, medium, layers=[2], iterations=2)
+        Q.random_search(spark, medium, trials=1)
         Q.logistic_cross_validated(spark, medium)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
-    assert seen == [("fit_gbt", 1)] * 3 + [("fit_mlp", 1), ("cross_validate", 1)]
+    assert seen == [("fit_gbt", 1)] * 3 + [("fit_mlp", 1), ("fit_logistic", 1), ("cross_validate", 1)]
 
 
 def test_dealt_rows_are_whole_and_few_partitions_are_kept_often(spark):
