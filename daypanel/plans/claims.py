@@ -239,13 +239,18 @@ def nursing_home_panel(
 def finished_panel(
     series: DataFrame, targets: DataFrame, conditions: DataFrame, people: DataFrame, homes: DataFrame
 ) -> DataFrame:
-    """The stored panel: everything joined by person, narrowed and filled in.
+    """The panel: everything joined by person, narrowed and filled in.
 
-    The median needs the joined people, so the join is written before it.
+    The median needs the joined people, but not their series: only what is fixed
+    per person is stored for it, and the dense days are made once, where they are read.
     """
-    joined = written(reduce(lambda a, b: a.join(b, "bene_id"), [targets, conditions, people, homes], series))
-    filled = C.fill_median(joined, ["STATIC_DEMO_RUCA1"]).na.fill({"STATIC_DEMO_state_cd": V.UNASSIGNED})
-    return C.narrow_arrays(filled)
+    fixed = reduce(lambda a, b: a.join(b, "bene_id"), [targets, conditions, people])
+    for daily in (series, homes):
+        fixed = K.restrict(fixed, daily, "bene_id")
+    filled = C.fill_median(written(fixed), ["STATIC_DEMO_RUCA1"]).na.fill({"STATIC_DEMO_state_cd": V.UNASSIGNED})
+    own = [c for c in filled.columns if c != "bene_id"]
+    joined = series.join(filled, "bene_id").join(homes, "bene_id")
+    return C.narrow_arrays(joined.select(*series.columns, *own, *[c for c in homes.columns if c != "bene_id"]))
 
 
 def claims_panel(
@@ -265,8 +270,8 @@ def claims_panel(
 ) -> DataFrame:
     """All of the above in order.
 
-    The cohort's lines and the finished joins are read by several steps, so
-    each is written once to the shared folder.
+    The cohort's lines and what is fixed per person are read by several steps,
+    so each is written once to the shared folder.
     """
     cohort = written(with_drugs(cohort_lines(lines, enrolment, revenue, inpatient, literal, null_admission_ok), drugs))
     selected = written(with_prescriber_count(index_people(cohort)))

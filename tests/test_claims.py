@@ -156,3 +156,16 @@ def test_panel_to_model_input(tables):
     sums = encoded.select(sum((F.col(c) for c in hot[1:]), F.col(hot[0])).alias("s")).collect()
     assert [r["s"] for r in sums] == [6.0, 6.0, 6.0]
     assert encoded.columns[-1] == "labels"
+
+
+def test_dense_series_are_not_stored_for_the_median(tables, monkeypatch):
+    stored, write = [], L.written
+    monkeypatch.setattr(L, "written", lambda df: stored.append(df.dtypes) or write(df))
+    panel = L.claims_panel(**tables)
+    assert len(stored) == 3 and not [n for dtypes in stored for n, kind in dtypes if kind.startswith("array")]
+    # The median is that of the joined people only.
+    parts = [panel.select("bene_id", *L.series_names(panel)), panel.select("bene_id", "target"), panel.select("bene_id")]
+    people = panel.select("bene_id", "STATIC_DEMO_state_cd", F.when(F.col("bene_id") != 5, F.col("bene_id").cast("int")).alias("STATIC_DEMO_RUCA1"))
+    homes = panel.where("bene_id <> 1").select("bene_id", F.array(F.lit(0)).alias("TS_IN_HOME"))
+    found = L.finished_panel(*parts, people, homes).select("bene_id", "STATIC_DEMO_RUCA1").collect()
+    assert sorted(map(tuple, found)) == [(2, 2), (5, 2)]
