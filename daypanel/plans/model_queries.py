@@ -21,13 +21,15 @@ from daypanel.sources.tables import written
 COLS = [*EVENT_SERIES, "TS_UNITS", "TS_TOP"]
 # Full fits as published: 50 epochs of these layers; 100 rounds of depth 6 are the boosting library's defaults.
 LAYERS, EPOCHS, ROUNDS, DEPTH = (128, 128, 128, 64, 32, 16, 3), 50, 100, 6
+# A net's step costs far more per row than that of a tree or a linear model.
+NET_ROWS = 8_192
 
 
-def _halves(spark: SparkSession, where: str) -> tuple[DataFrame, DataFrame]:
+def _halves(spark: SparkSession, where: str, per: int = M.PARTITION_ROWS) -> tuple[DataFrame, DataFrame]:
     """Train and test rows, made once; train is kept, in few partitions, while a model is fitted on it."""
     rows = matrix(spark, where).select("user_id", F.col("target").cast("double").alias("labels"), *COLS)
     parts = written(split_by_mod(rows, "user_id", bounds=TWO_WAY_SPLIT))
-    return M.dealt(parts.where("split = 'train'"), ["user_id"]), parts.where("split = 'test'")
+    return M.dealt(parts.where("split = 'train'"), ["user_id"], per), parts.where("split = 'test'")
 
 
 def _sorted_json(params: str):
@@ -201,7 +203,7 @@ def best_fold_model(spark: SparkSession, where: str) -> DataFrame:
 
 @query("mlp_scores")
 def mlp_scores(spark: SparkSession, where: str, layers: Sequence[int] = LAYERS, iterations: int = EPOCHS) -> DataFrame:
-    train, test = _halves(spark, where)
+    train, test = _halves(spark, where, NET_ROWS)
     model = M.fit_mlp(upsample(train, "labels"), "labels", COLS, layers, seed=5, maxIter=iterations)
     train.unpersist()
     return rounded(M.with_probability(model.transform(test)).select("user_id", "labels", "score"))
@@ -209,7 +211,7 @@ def mlp_scores(spark: SparkSession, where: str, layers: Sequence[int] = LAYERS,
 
 @query("hidden_representation")
 def hidden_representation(spark: SparkSession, where: str, layers: Sequence[int] = LAYERS, iterations: int = EPOCHS) -> DataFrame:
-    train, test = _halves(spark, where)
+    train, test = _halves(spark, where, NET_ROWS)
     model = M.fit_mlp(train, "labels", COLS, layers, seed=5, maxIter=iterations)
     train.unpersist()
     hidden = M.hidden_representation(model, test, ["user_id", "labels"])
